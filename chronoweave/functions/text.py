@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronoweave.functions.binding import let
+
 # The whitespace class, entities and marks the results depend on.
 WHITESPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 ENTITIES = [
@@ -57,3 +59,156 @@ def timestamp_to_sec(x: Column) -> Column:
     """``H:MM:SS.mmm`` / ``MM:SS.mmm`` / seconds to seconds; unparseable parts count as 0."""
     parts = F.transform(F.split(F.trim(x), ":"), lambda p: F.coalesce(p.try_cast("double"), F.lit(0.0)))
     return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60.0 + p)
+
+
+def is_filler(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}']+|[^\p{L}\p{N}']+$", "")).rlike(FILLER)
+
+
+def strip_fillers(x: Column) -> Column:
+    return F.array_join(F.filter(tokens(x), lambda w: ~is_filler(w)), " ")
+
+
+def fluency_factor(line: Column) -> Column:
+    """1 without an immediately repeated word, 0.55 with one, 0.25 with more."""
+    def factor(w):
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        same = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: a == b)
+        repeats = F.size(F.filter(same, lambda b: b))
+        return F.when(repeats == 0, 1.0).when(repeats == 1, 0.55).otherwise(0.25)
+    return let(tokens(F.regexp_replace(F.lower(line), r"[^a-z0-9'\s]", " ")), factor)
+
+
+def sentences(x: Column) -> Column:
+    """Terminal-punctuation sentences without a leading connective, 29 to 219 characters."""
+    parts = F.split(squeeze(x), r"(?<=[.?!])\s+")
+    parts = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"(?i)^(and|um|uh|so|like)\s+", "")))
+    return F.filter(parts, lambda s: (F.length(s) > 28) & (F.length(s) < 220))
+
+
+def cut_at_word(x: Column, limit: int) -> Column:
+    return F.trim(F.regexp_replace(F.substring(x, 1, limit), r"\s+\S*$", ""))
+
+
+def hook_text(x: Column, limit: int = 90) -> Column:
+    clean = squeeze(F.split(x, r"(?<=[.?!])\s", 2)[0])
+    clipped = F.substring(clean, 1, limit)
+    last = F.lit(limit) - F.locate(" ", F.reverse(clipped))  # 0-based index of the last space
+    has = F.locate(" ", F.reverse(clipped)) > 0
+    stem = F.when(has & (last > limit * 0.5), F.substring(clipped, F.lit(1), last)).otherwise(clipped)
+    cut = F.concat(F.regexp_replace(stem, r"[,;:.\-–—]+$", ""), F.lit("…"))
+    return F.when(F.length(clean) <= limit, clean).otherwise(cut)
+
+
+# Phrases a title may not contain, title and description caps.
+BANNED_TITLE = [
+    r"(?i)you won'?t believe",
+    r"(?i)crazy (podcast )?moment",
+    r"(?i)gone wrong",
+    r"(?i)full interview",
+    r"(?i)must[- ]watch",
+    r"(?i)#shorts",
+]
+TITLE_MAX, DESC_MAX, DESC_MIN, LEAD_MAX = 100, 900, 220, 160
+DEFAULT_TAG = "#Shorts"
+CREDIT = "Full conversation on the channel."
+
+
+def sanitize_title(raw: Column, fallback: Column, channel: Column) -> Column:
+    t = squeeze(F.regexp_replace(raw, r"#[A-Za-z0-9_]+", " "))
+    t = F.trim(F.regexp_replace(t, "^[\"“]|[\"”]$", ""))
+    prefix = F.concat(F.lower(F.trim(channel)), F.lit(":"))
+    has_show = (F.trim(channel) != "") & F.startswith(F.lower(t), prefix)
+    t = F.when(has_show, F.trim(F.substring(t, F.length(prefix) + 1, F.length(t)))).otherwise(t)
+    banned = t == ""
+    for rule in BANNED_TITLE:
+        banned = banned | t.rlike(rule)
+    t = F.when(banned, fallback).otherwise(t)
+    calm = F.array_join(F.transform(F.split(F.lower(t), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+    t = F.when((t == F.upper(t)) & t.rlike("[A-Z]"), calm).otherwise(t)
+    t = F.when(F.length(t) > TITLE_MAX, cut_at_word(t, TITLE_MAX)).otherwise(t)
+    return F.when(t == "", F.substring(fallback, 1, TITLE_MAX)).otherwise(t)
+
+
+def distinct_ignore_case(words: Column) -> Column:
+    """Order-preserving distinct that keeps the first spelling."""
+    low = lambda xs: F.transform(xs, lambda x: F.lower(x))
+    return let(words, lambda ws: let(low(ws), lambda ls: F.filter(ws, lambda x, i: F.array_position(ls, F.lower(x)) == i + 1)))
+
+
+def hashtag_line(tags: Column) -> Column:
+    """Up to five distinct tags (case-insensitive, first spelling kept), the default tag appended if absent."""
+    marked = F.transform(tags, lambda x: F.concat(F.lit("#"), F.regexp_replace(F.regexp_replace(x, "^#", ""), r"[^\p{L}\p{N}]", "")))
+    long = F.filter(marked, lambda x: F.length(x) >= 3)
+
+    def line(kept):
+        has = F.exists(kept, lambda x: F.lower(x) == DEFAULT_TAG.lower())
+        return F.array_join(F.slice(F.when(has, kept).otherwise(F.concat(kept, F.array(F.lit(DEFAULT_TAG)))), 1, 5), " ")
+
+    return let(F.slice(distinct_ignore_case(long), 1, 5), line)
+
+
+def clean_line(x: Column) -> Column:
+    return squeeze(F.regexp_replace(x, r"(?i)https?://\S+", ""))
+
+
+def fit_lead(x: Column) -> Column:
+    head = F.regexp_extract(F.substring(x, 1, LEAD_MAX), r"^([\s\S]+?[.?!])", 1)
+    return F.when(F.length(x) <= LEAD_MAX, x).when(head != "", F.trim(head)).otherwise(cut_at_word(x, LEAD_MAX))
+
+
+def description_pack(raw: Column, fallback: Column, channel: Column, transcript: Column, peak_line: Column, name: Column) -> Column:
+    """Lead, context, credit and tags joined by blank lines, at most 900 characters."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)https?://\S+", ""), r"[ \t]+\n", "\n"))
+    text = F.when(text == "", fallback).otherwise(text)
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(#[A-Za-z0-9_]+)"), 1), lambda x: F.substring(x, F.lit(2), F.length(x)))
+    prose = F.filter(F.transform(F.split(text, r"\n+"), clean_line),
+                     lambda l: (l != "") & ~l.rlike(r"^#[A-Za-z0-9_]+(?:\s+#[A-Za-z0-9_]+)*$") & ~l.rlike("(?i)full conversation on the channel"))
+    spare = F.coalesce(F.nullif(peak_line, F.lit("")), F.nullif(transcript, F.lit("")), fallback)
+    spare_lead = F.substring(clean_line(spare), 1, 110)
+    credit = F.when(F.trim(channel) != "", F.concat(F.lit("From "), F.trim(channel), F.lit(". " + CREDIT))).otherwise(F.lit(CREDIT))
+    tags = hashtag_line(F.concat(found, F.array(F.regexp_replace(name, WHITESPACE, ""), F.lit("podcastclips"), F.lit("Shorts"))))
+
+    def pack(p):
+        lead = F.coalesce(F.get(p, F.lit(0)), spare_lead)
+        context = F.array_join(F.slice(p, F.lit(2), F.greatest(F.size(p), F.lit(1))), " ")
+        return let(F.struct(lead.alias("lead"), context.alias("context")), fill)
+
+    def fill(v):
+        lead, context = v["lead"], v["context"]
+        extra = let(F.lower(F.concat(lead, F.lit(" "), context)), lambda seen: F.array_join(F.slice(
+            F.filter(sentences(transcript), lambda s: ~F.contains(seen, F.lower(F.substring(s, 1, 24)))), 1, 2), " "))
+        full = F.when(F.length(lead) + F.length(context) < DESC_MIN,
+                      F.array_join(F.filter(F.array(context, extra), lambda x: x != ""), " ")).otherwise(context)
+        return F.array_join(F.filter(F.array(fit_lead(lead), full, credit, tags), lambda x: x != ""), "\n\n")
+
+    return let(let(prose, pack), lambda x: F.when(F.length(x) > DESC_MAX, cut_at_word(x, DESC_MAX)).otherwise(x))
+
+
+def speaker_hint(title: Column, channel: Column) -> Column:
+    lead = F.trim(F.split(F.trim(title), r"(?i)\s+on\s+|\s+talks\s+|\s+explains\s+")[0])
+    ok = (lead != "") & (F.length(lead) < 48) & ~lead.rlike("(?i)^the ")
+    return F.when(ok, lead).otherwise(F.trim(channel))
+
+
+def squash(x: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
+
+
+def timecode(sec: Column) -> Column:
+    return F.concat(F.floor(sec / 60).cast("string"), F.lit(":"), F.lpad(F.floor(F.pmod(sec, F.lit(60.0))).cast("string"), 2, "0"))
+
+
+def bytes_label(b: Column) -> Column:
+    units = ["B", "KB", "MB", "GB", "TB"]
+    out = F.when(b <= 0, F.lit("0 B"))
+    for i, u in enumerate(units):
+        v = b / float(1024**i)
+        label = F.when((v >= 10) | F.lit(i == 0), F.floor(v + 0.5).cast("string")).otherwise(F.format_string("%.1f", F.floor(v * 10 + 0.5) / 10.0))
+        cond = F.lit(True) if i == len(units) - 1 else b < float(1024 ** (i + 1))
+        out = out.when(cond, F.concat(label, F.lit(" " + u)))
+    return out
+
+
+def score_band(score: Column) -> Column:
+    return F.when(score >= 7, "strong").when(score >= 5, "promising").otherwise("risky")

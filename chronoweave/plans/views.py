@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.functions.binding import let
 from chronoweave.functions.numeric import half_up, half_up_sql
 
 WORD_MS, GAP_MS = 400, 900
@@ -66,6 +67,10 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 
 def rolling(cues_col):
     """Rolling captions: each cue is prefixed by the last five words of the cue before it."""
+    return let(cues_col, _rolling)
+
+
+def _rolling(cues_col):
     def one(c, i):
         prev = F.split(F.trim(F.element_at(cues_col, F.greatest(i, F.lit(1)))["text"]), " +")
         tail = F.slice(prev, F.greatest(F.size(prev) - 4, F.lit(1)), F.lit(5))
@@ -120,8 +125,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_rolling": (("v_cues",), """
         v_rolling AS (SELECT project_id, cue_no, start_ms, end_ms,
                CASE WHEN cue_no = 0 THEN text ELSE
-                 array_to_string(list_slice(string_split(regexp_replace(trim(lag(text) OVER w), ' +', ' ', 'g'), ' '), -5, NULL), ' ') || ' ' || text END AS text
-          FROM v_cues WINDOW w AS (PARTITION BY project_id ORDER BY cue_no))"""),
+                 array_to_string(list_slice(pw, greatest(len(pw) - 4, 1), len(pw)), ' ') || ' ' || text END AS text
+          FROM (SELECT *, string_split(regexp_replace(trim(lag(text) OVER (PARTITION BY project_id ORDER BY cue_no)), ' +', ' ', 'g'), ' ') AS pw FROM v_cues))"""),
     "v_turns": ((), r"""
         v_turns AS (SELECT conv_id AS project_id, turn AS cue_no, role, text, turn*60000 AS start_ms,
                turn*60000 + 400*len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS end_ms FROM conversations)"""),
