@@ -8,9 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def let(x: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def rows(df: DataFrame, keep: list, items: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One output row per array element.
+
+    The outer form keeps the optimizer from adding a ``size(items) > 0`` filter
+    below the generator, which would evaluate a heavy expression twice.
+    """
+    if pos:
+        out = df.select(*keep, F.posexplode_outer(items).alias(pos, name))
+        return out.filter(F.col(pos).isNotNull())
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())

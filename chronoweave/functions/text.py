@@ -115,19 +115,28 @@ CREDIT = "Full conversation on the channel."
 
 
 def sanitize_title(raw: Column, fallback: Column, channel: Column) -> Column:
-    t = squeeze(F.regexp_replace(raw, r"#[A-Za-z0-9_]+", " "))
-    t = F.trim(F.regexp_replace(t, "^[\"“]|[\"”]$", ""))
+    """Hashtags, outer quotes and a show prefix off; banned titles replaced; shouting calmed; capped at a word."""
     prefix = F.concat(F.lower(F.trim(channel)), F.lit(":"))
-    has_show = (F.trim(channel) != "") & F.startswith(F.lower(t), prefix)
-    t = F.when(has_show, F.trim(F.substring(t, F.length(prefix) + 1, F.length(t)))).otherwise(t)
-    banned = t == ""
-    for rule in BANNED_TITLE:
-        banned = banned | t.rlike(rule)
-    t = F.when(banned, fallback).otherwise(t)
-    calm = F.array_join(F.transform(F.split(F.lower(t), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
-    t = F.when((t == F.upper(t)) & t.rlike("[A-Z]"), calm).otherwise(t)
-    t = F.when(F.length(t) > TITLE_MAX, cut_at_word(t, TITLE_MAX)).otherwise(t)
-    return F.when(t == "", F.substring(fallback, 1, TITLE_MAX)).otherwise(t)
+
+    def unprefix(t):
+        has_show = (F.trim(channel) != "") & F.startswith(F.lower(t), prefix)
+        return F.when(has_show, F.trim(F.substring(t, F.length(prefix) + 1, F.length(t)))).otherwise(t)
+
+    def unban(t):
+        return F.when((t == "") | t.rlike("|".join(BANNED_TITLE)), fallback).otherwise(t)
+
+    def calm(t):
+        words = F.transform(F.split(F.lower(t), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
+        return F.when((t == F.upper(t)) & t.rlike("[A-Z]"), F.array_join(words, " ")).otherwise(t)
+
+    def fit(t):
+        return F.when(t == "", F.substring(fallback, 1, TITLE_MAX)).when(F.length(t) > TITLE_MAX, cut_at_word(t, TITLE_MAX)).otherwise(t)
+
+    x = squeeze(F.regexp_replace(raw, r"#[A-Za-z0-9_]+", " "))
+    x = F.trim(F.regexp_replace(x, "^[\"“]|[\"”]$", ""))
+    for rule in (unprefix, unban, calm, fit):
+        x = let(x, rule)
+    return x
 
 
 def distinct_ignore_case(words: Column) -> Column:

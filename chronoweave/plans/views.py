@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.functions.binding import let
+from chronoweave.functions.binding import let, rows
 from chronoweave.functions.numeric import half_up, half_up_sql
 
 WORD_MS, GAP_MS = 400, 900
@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_out(df: DataFrame, key: str) -> DataFrame:
+    """Re-split compact source rows when a source has fewer splits than the cluster has cores.
+
+    Word work multiplies rows about a hundredfold, so the source rows are the cheap
+    place to balance. A source with enough splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def timed_lines(text, word_ms: int = WORD_MS, gap_ms: int = GAP_MS):
     """Text -> array of cues (cue_no, start_ms, end_ms, w0, n, text), one per non-empty line."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
@@ -38,12 +48,12 @@ def timed_lines(text, word_ms: int = WORD_MS, gap_ms: int = GAP_MS):
 
 
 def transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread_out(table(spark, sf, "documents"), "doc_id")
     return d.select(F.col("doc_id").alias("project_id"), "lang", "source", timed_lines(F.col("text")).alias("cues"))
 
 
 def cues(spark: SparkSession, sf: str) -> DataFrame:
-    t = transcripts(spark, sf).select("project_id", F.explode("cues").alias("c")).select("project_id", "c.*")
+    t = rows(transcripts(spark, sf), ["project_id"], F.col("cues"), "c").select("project_id", "c.*")
     return t.withColumn("start_sec", F.col("start_ms") / 1000.0).withColumn("end_sec", F.col("end_ms") / 1000.0)
 
 
@@ -60,8 +70,8 @@ def words_array(cues_col):
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    t = transcripts(spark, sf).select("project_id", F.explode("cues").alias("c"))
-    t = t.select("project_id", F.col("c.cue_no").alias("cue_no"), F.explode(cue_words(F.col("c"))).alias("w"))
+    t = rows(transcripts(spark, sf), ["project_id"], F.col("cues"), "c")
+    t = rows(t, ["project_id", F.col("c.cue_no").alias("cue_no")], cue_words(F.col("c")), "w")
     return t.select("project_id", "cue_no", "w.*").withColumn("t", F.col("t_ms") / 1000.0)
 
 
