@@ -240,7 +240,7 @@ def classify_votes(words: Column, lexicon: dict[str, dict[str, float]], default:
         for genre in sorted(lexicon):
             total = F.lit(0.0)
             for word, weight in lexicon[genre].items():
-                total = total + F.size(F.filter(ws, lambda w, word=word: w == word)) * weight
+                total = total + (F.size(ws) - F.size(F.array_remove(ws, word))) * weight
             rows.append(F.struct((-total).alias("neg"), F.lit(genre).alias("genre")))
         return let(F.array_min(F.array(*rows)), lambda b: F.when(b["neg"] < 0, b["genre"]).otherwise(F.lit(default)))
     return let(words, votes)
