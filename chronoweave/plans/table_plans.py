@@ -94,7 +94,7 @@ def q_usage(spark, sf):
 
 @query("h9_merge_clips", "WITH " + CLIPS + """
   SELECT project_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CAST(sum(end_ms - start_ms) AS BIGINT) AS duration_ms, arg_max(clip_id, struct_pack(s := score, r := -rank)) AS strongest, max(score) AS score, max(rank) + 1 AS rank, count(*) AS parts,
-    string_agg('part ' || clip_id, chr(10) || chr(10) ORDER BY rank) AS transcript, array_to_string(list_slice(list_filter(list(flag || state ORDER BY rank), lambda x, i: list_position(list(flag || state ORDER BY rank), x) = i), 1, 6), ',') AS themes
+    string_agg('part ' || clip_id, chr(10) || chr(10) ORDER BY rank) AS transcript, array_to_string(list_slice(list_filter(list(flag || state ORDER BY rank, flag || state), lambda x, i: list_position(list(flag || state ORDER BY rank, flag || state), x) = i), 1, 6), ',') AS themes
   FROM c GROUP BY project_id HAVING count(*) >= 2""")
 def q_merge(spark, sf):
     c = clips(spark, sf).withColumn("text", F.concat(F.lit("part "), "clip_id")).withColumn("themes", F.array(F.concat("flag", "state")))
