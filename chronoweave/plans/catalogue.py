@@ -6,7 +6,7 @@ import importlib
 
 from chronoweave.plans import registry
 
-MODULES = ["source_plans", "text_plans", "mining_plans", "caption_plans", "catalog_plans", "table_plans", "custody_plans", "memory_plans", "series_plans", "interval_plans"]
+MODULES = ["source_plans", "text_plans", "mining_plans", "caption_plans", "catalog_plans", "table_plans", "custody_plans", "memory_plans", "series_plans", "stream_plans", "interval_plans"]
 
 
 def _load() -> None:
