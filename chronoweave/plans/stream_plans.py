@@ -60,8 +60,9 @@ def halves(spark, sf):
 
 
 @query("k5_stalled_jobs", f"""
-  WITH l AS (SELECT user_id, max(epoch_us(ts) // 1000) AS last_ms FROM events GROUP BY user_id)
-  SELECT user_id, last_ms FROM l WHERE last_ms + 21600000 < (SELECT max(last_ms) FROM l) - 3600000""")
+  WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, {T_MS} < {15 * DAY} AS early FROM events),
+  a AS (SELECT user_id, max(ms) AS last_ms FROM e WHERE early GROUP BY user_id), b AS (SELECT user_id, max(ms) AS last_ms FROM e GROUP BY user_id)
+  SELECT * FROM a WHERE last_ms + 21600000 < (SELECT max(last_ms) FROM a) - 3600000 UNION ALL SELECT * FROM b WHERE last_ms + 21600000 < (SELECT max(last_ms) FROM b) - 3600000""")
 def q_stalled(spark, sf):
     a, b = halves(spark, sf)
     return sj.in_turns(spark, [a, b], lambda s: sj.stalled_jobs(s, "user_id", DAY // 4, "1 hour"))[0]
