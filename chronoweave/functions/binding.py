@@ -26,3 +26,16 @@ def rows(df: DataFrame, keep: list, items: Column, name: str, pos: str | None =
         out = df.select(*keep, F.posexplode_outer(items).alias(pos, name))
         return out.filter(F.col(pos).isNotNull())
     return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
+def part(items: Column, start: Column, n: Column, pick: Callable[[Column], Column]) -> Column:
+    """``pick`` of ``n >= 1`` elements from a zero-based start.
+
+    Reads only those elements; ``slice`` would first unpack the whole array.
+    """
+    return F.transform(F.sequence(start, start + n - 1), lambda i: pick(F.get(items, i)))
+
+
+def same_words(items: Column, start: Column, probe: Column) -> Column:
+    """Does ``probe`` (non-empty) occur in ``items`` at a zero-based position? Stops at the first difference."""
+    return F.forall(F.sequence(F.lit(0), F.size(probe) - 1), lambda j: F.get(items, start + j) == F.get(probe, j))

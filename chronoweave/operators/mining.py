@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chronoweave.functions.binding import let
+from chronoweave.functions.binding import let, part, same_words
 from chronoweave.functions.numeric import clamp, finite_or, half_up
 from chronoweave.functions.profiles import DEFAULT_PROFILE, PROFILES
 from chronoweave.functions.text import fluency_factor, norm_word, squeeze, tokens
@@ -104,7 +104,7 @@ def locate_exact(norms: Column, q: Column, lo: Column, hi: Column) -> Column:
     last = hi - F.size(q)
     spots = F.when((F.size(q) >= 3) & (last >= lo), F.sequence(lo, last)).otherwise(F.array().cast("array<int>"))
     first = F.get(q, F.lit(0))
-    return F.array_min(F.filter(spots, lambda i: (F.get(norms, i) == first) & (F.slice(norms, i + 1, F.size(q)) == q)))
+    return F.array_min(F.filter(spots, lambda i: (F.get(norms, i) == first) & same_words(norms, i, q)))
 
 
 def clamp_score(x: Column) -> Column:
@@ -170,7 +170,7 @@ def resolve_candidate(m: Column, words: Column, norms: Column, sents: Column, st
     lo_ms, hi_ms = lo_s * 1000, hi_s * 1000
     is_line = PROFILES[profile]["peak_kind"] == "line"
     at = lambda i: F.get(sents, i)
-    text = lambda a, b: F.array_join(F.transform(F.slice(words, a + 1, b - a), lambda w: w["word"]), " ")
+    text = lambda a, b: F.array_join(part(words, a, b - a, lambda w: w["word"]), " ")
 
     def placed(v):
         span, q = v["span"], v["q"]
@@ -205,12 +205,14 @@ def resolve_candidate(m: Column, words: Column, norms: Column, sents: Column, st
               & v["peak_ms"].between(v["start_ms"], v["end_ms"]))
         if is_line:
             ok = ok & F.coalesce(verbatim, F.lit(True))
-        line = F.when(verbatim, v["line"])
-        scores = keep_axes(m["scores"], profile)
-        return F.when(ok, F.struct(
+        fixed = F.struct(keep_axes(m["scores"], profile).alias("scores"), F.when(verbatim, v["line"]).alias("line"))
+        return F.when(ok, let(fixed, lambda f: done(v, f["scores"], f["line"])))
+
+    def done(v, scores, line):
+        return F.struct(
             F.concat(F.lit("mm-"), v["start_ms"].cast("string"), F.lit("-"), v["end_ms"].cast("string")).alias("candidate_id"),
             v["lo_id"], v["hi_id"], v["start_ms"], v["end_ms"], v["peak_ms"], v["transcript"], line.alias("peak_line"), scores.alias("scores"),
-            profile_score(scores, profile, line).alias("total")))
+            profile_score(scores, profile, line).alias("total"))
 
     valid = at(m["start_id"]).isNotNull() & at(m["end_id"]).isNotNull()
     span = fit_span(sents, m["start_id"], m["end_id"], m["peak_id"], lo_ms, hi_ms)

@@ -8,10 +8,10 @@ because a cut resets their state.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.functions.binding import let
 from chronoweave.operators import joins
 from chronoweave.operators.folds import collect_ordered
 from chronoweave.operators.scans import following, previous, running_sum, scan
@@ -381,24 +381,25 @@ def cut_audit(keys_: DataFrame, cuts: DataFrame, key: str, width: float, cut_id:
 
 
 def link_tracks(indexed: DataFrame, key: str, gate: float) -> DataFrame:
-    """Greedy nearest linking of detections inside a gate, per shot (a cut clears every identity)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER)
-        live: list[list[float]] = []
-        ids, nxt = [], 0
-        for x in pdf["x"]:
-            for tr in live:
-                tr[2] += 1
-            near = [tr for tr in live if abs(tr[1] - x) < gate]
-            if near:
-                tr = min(near, key=lambda q: abs(q[1] - x))
-                tr[1], tr[2] = TRACK_KEEP * tr[1] + TRACK_NEW * x, 0
-            else:
-                tr = [nxt, x, 0]
-                nxt += 1
-                live.append(tr)
-            ids.append(int(tr[0]))
-            live = [q for q in live if q[2] <= MAX_MISSES]
-        return pd.DataFrame({key: pdf[key], "seq": pdf["seq"], "shot": pdf["shot"], "track": ids})
-
-    return indexed.select(key, "shot", "seq", "t_ms", "x").groupBy(key, "shot").applyInPandas(run, f"{key} long, seq long, shot long, track long")
+    """Greedy nearest linking of detections inside a gate, per shot (a cut clears every identity).
+
+    State is the short list of live tracks: a matched one moves towards the
+    detection, an unmatched one retires after four misses.
+    """
+    items = collect_ordered(indexed, [key, "shot"], ORDER, ["x"])
+
+    def step(acc, d):
+        near = F.array_min(F.transform(F.filter(acc["live"], lambda t: F.abs(t["x"] - d["x"]) < gate), lambda t: F.struct(F.abs(t["x"] - d["x"]).alias("d"), t["id"].alias("id"))))
+        return let(F.struct(acc["live"].alias("live"), acc["next"].alias("next"), acc["out"].alias("out"), near["id"].alias("hit")), lambda s: advance(s, d))
+
+    def advance(s, d):
+        moved = F.transform(s["live"], lambda t: F.when(t["id"] == s["hit"], F.struct(t["id"].alias("id"), (t["x"] * TRACK_KEEP + d["x"] * TRACK_NEW).alias("x"), F.lit(0).alias("miss")))
+                            .otherwise(F.struct(t["id"].alias("id"), t["x"].alias("x"), (t["miss"] + 1).alias("miss"))))
+        born = F.array(F.struct(s["next"].alias("id"), d["x"].alias("x"), F.lit(0).alias("miss")))
+        live = F.filter(F.when(s["hit"].isNull(), F.concat(moved, born)).otherwise(moved), lambda t: t["miss"] <= MAX_MISSES)
+        row = F.struct(d["seq"].alias("seq"), F.coalesce(s["hit"], s["next"]).alias("track"))
+        return F.struct(live.alias("live"), F.when(s["hit"].isNull(), s["next"] + 1).otherwise(s["next"]).alias("next"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    init = F.struct(F.array().cast("array<struct<id:bigint,x:double,miss:int>>").alias("live"), F.lit(0).cast("long").alias("next"),
+                    F.array().cast("array<struct<seq:bigint,track:bigint>>").alias("out"))
+    return items.select(key, "shot", F.inline(F.aggregate("items", init, step, lambda a: a["out"]))).select(key, "seq", "shot", "track")

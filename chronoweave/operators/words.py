@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chronoweave.functions.binding import let
+from chronoweave.functions.binding import let, part
 from chronoweave.functions.text import norm_word, tokens
 
 # Fixed values.
@@ -41,7 +41,8 @@ def rolling_overlap(cues: Column, clean) -> Column:
         tail, cand = acc["tail"], c["cand"]
         most = F.least(F.size(tail), F.size(cand), F.lit(MAX_OVERLAP))
         ks = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-        fits = F.filter(ks, lambda k: F.slice(tail, F.size(tail) - k + 1, k) == F.slice(cand, F.lit(1), k))
+        head = F.get(cand, F.lit(0))
+        fits = F.filter(ks, lambda k: (F.get(tail, F.size(tail) - k) == head) & (F.slice(tail, F.size(tail) - k + 1, k) == F.slice(cand, F.lit(1), k)))
         n = F.coalesce(F.array_max(fits), F.lit(0))
         fresh = F.slice(c["raw"], n + 1, F.greatest(F.size(c["raw"]) - n, F.lit(0)))
         row = F.struct(c["cue_no"].alias("cue_no"), c["start_ms"].alias("start_ms"),
@@ -123,4 +124,4 @@ def _segment(words: Column) -> Column:
     return F.transform(units, lambda u, i: F.struct(
         i.cast("int").alias("sent_no"), F.get(words, u["a"])["t_ms"].alias("start_ms"), F.get(words, u["b"] - 1)["end_ms"].alias("end_ms"),
         u["a"].alias("word_start"), u["b"].alias("word_end"),
-        F.array_join(F.transform(F.slice(words, u["a"] + 1, u["b"] - u["a"]), lambda w: w["word"]), " ").alias("text")))
+        F.array_join(part(words, u["a"], u["b"] - u["a"], lambda w: w["word"]), " ").alias("text")))

@@ -193,7 +193,7 @@ def located(spark, sf):
 
     def grams(ws, n):
         return let(ws, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))),
-                                             lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("gram"))))
+                                             lambda i: F.struct(i.alias("at"), F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)]).alias("gram"))))
 
     keys = F.when(F.size("q") > 8, grams(F.col("q"), 3)).otherwise(grams(F.col("q"), 2))
     ik = items.select("item_id", F.size("q").alias("n"), F.inline(keys)).withColumnRenamed("at", "off")

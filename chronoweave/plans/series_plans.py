@@ -330,7 +330,15 @@ def q_new_cuts(spark, sf):
     return audit(spark, sf).withColumn("tick", F.floor(F.col("c") / 10)).join(known, [K, "tick"], "left_anti").select(K, "cut_id", "status")
 
 
-@query("f32_link_tracks")
+@query("f32_link_tracks", IX + """,
+  z AS (SELECT *, row_number() OVER (PARTITION BY series_id, shot ORDER BY i) AS rn FROM ix),
+  lk AS (SELECT series_id, shot, rn, seq, 0 AS track, 1 AS nxt, [struct_pack(id := 0, x := x, miss := 0)] AS live FROM z WHERE rn = 1
+    UNION ALL SELECT series_id, shot, rn, seq, coalesce(hit, nxt), CASE WHEN hit IS NULL THEN nxt + 1 ELSE nxt END,
+      list_filter(list_concat(list_transform(live, lambda t: CASE WHEN t.id = hit THEN struct_pack(id := t.id, x := t.x * 6e-1 + nx * 4e-1, miss := 0) ELSE struct_pack(id := t.id, x := t.x, miss := t.miss + 1) END),
+        CASE WHEN hit IS NULL THEN [struct_pack(id := nxt, x := nx, miss := 0)] ELSE [] END), lambda t: t.miss <= 4) FROM
+      (SELECT z.series_id, z.shot, z.rn, z.seq, z.x AS nx, lk.nxt, lk.live, list_sort(list_transform(list_filter(lk.live, lambda t: abs(t.x - z.x) < 12e-2 * 49e1), lambda t: struct_pack(d := abs(t.x - z.x), id := t.id)))[1].id AS hit
+       FROM lk JOIN z ON z.series_id = lk.series_id AND z.shot = lk.shot AND z.rn = lk.rn + 1))
+  SELECT series_id, seq, shot, track FROM lk""", "v_series")
 def q_link(spark, sf):
     return sr.link_tracks(indexed(spark, sf), K, 0.12 * W)
 

@@ -44,7 +44,7 @@ def q_norm(spark, sf):
   k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ord) - 1 AS pos FROM d WHERE p IS NULL OR p <> text)
   SELECT project_id, pos, text FROM k""", "v_cues")
 def q_dedupe(spark, sf):
-    d = views.table(spark, sf, "documents")
+    d = views.documents(spark, sf)
     kept = wd.dedupe_consecutive(F.split("text", "\n"))
     return d.select(F.col("doc_id").alias("project_id"), F.posexplode(kept).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
 
@@ -94,7 +94,7 @@ def q_phrases(spark, sf):
     w = F.col("w")
     t = views.transcripts(spark, sf).select("project_id", views.words_array(F.col("cues")).alias("w"))
     starts = F.sequence(F.lit(0), F.floor((F.size(w) - 1) / 3).cast("int"))
-    items = F.transform(starts, lambda i: F.struct(F.get(w, i * 3)["t_ms"].alias("t_ms"), F.array_join(F.transform(F.slice(w, i * 3 + 1, F.lit(3)), lambda x: x["word"]), " ").alias("word")))
+    items = F.transform(starts, lambda i: F.struct(F.get(w, i * 3)["t_ms"].alias("t_ms"), F.concat_ws(" ", *[F.get(w, i * 3 + j)["word"] for j in range(3)]).alias("word")))
     return t.select("project_id", items.alias("items")).select("project_id", F.inline(wd.expand_phrases(F.col("items"))))
 
 
@@ -156,7 +156,7 @@ def q_fluency(spark, sf):
 
 @query("b13_sentence_split", f"""SELECT doc_id, u.k - 1 AS pos, u.s AS sentence FROM documents, unnest({SENT.format(x='text')}) WITH ORDINALITY AS u(s, k)""")
 def q_sentences(spark, sf):
-    d = views.table(spark, sf, "documents")
+    d = views.documents(spark, sf)
     return d.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -165,7 +165,7 @@ def q_sentences(spark, sf):
   b AS (SELECT *, substr(c, 1, 90) AS h, CASE WHEN contains(substr(c, 1, 90), ' ') THEN 90 - instr(reverse(substr(c, 1, 90)), ' ') ELSE -1 END AS ls FROM a)
   SELECT doc_id, CASE WHEN length(c) <= 90 THEN c ELSE regexp_replace(CASE WHEN ls > 45 THEN substr(h, 1, ls) ELSE h END, '[,;:.\-–—]+$', '') || '…' END AS hook FROM b""")
 def q_hook(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", tx.hook_text(F.col("text")).alias("hook"))
+    return views.documents(spark, sf).select("doc_id", tx.hook_text(F.col("text")).alias("hook"))
 
 
 @query("b15_sample_text", r"""
@@ -191,7 +191,7 @@ RAW_T = f"""CASE doc_id % 4 WHEN 0 THEN '"' || regexp_replace({LINE1}, '[^A-Za-z
   e AS (SELECT *, CASE WHEN t3 = upper(t3) AND regexp_matches(t3, '[A-Z]') THEN array_to_string(list_transform(string_split(lower(t3), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') ELSE t3 END AS t4 FROM d)
   SELECT doc_id, CASE WHEN length(t4) > 100 THEN trim(regexp_replace(substr(t4, 1, 100), '\s+\S*$', '')) ELSE t4 END AS title FROM e""")
 def q_title(spark, sf):
-    d = views.table(spark, sf, "documents")
+    d = views.documents(spark, sf)
     line = F.split("text", "\n")[0]
     plain = F.regexp_replace(line, "[^A-Za-z ]", "")
     m = F.col("doc_id") % 4
@@ -210,7 +210,7 @@ _MARK = r"list_filter(list_transform({t}, lambda x: '#' || regexp_replace(regexp
   c AS (SELECT doc_id, list_slice(list_filter(m, lambda x, i: list_position(l, lower(x)) = i), 1, 5) AS k FROM b)
   SELECT doc_id, {TAGS.format(k='k')} AS tags FROM c""")
 def q_tags(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", tx.hashtag_line(F.slice(tx.tokens(F.col("text")), 1, 12)).alias("tags"))
+    return views.documents(spark, sf).select("doc_id", tx.hashtag_line(F.slice(tx.tokens(F.col("text")), 1, 12)).alias("tags"))
 
 
 FIRST3 = "array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10))"
@@ -232,7 +232,7 @@ FIRST3 = "array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)
   h AS (SELECT doc_id, array_to_string(list_filter([fit, ctx2, 'From ' || source || '. Full conversation on the channel.', {TAGS.format(k='k')}], lambda x: x <> ''), chr(10) || chr(10)) AS packed FROM g)
   SELECT doc_id, CASE WHEN length(packed) > 900 THEN trim(regexp_replace(substr(packed, 1, 900), '\s+\S*$', '')) ELSE packed END AS description FROM h""")
 def q_description(spark, sf):
-    d = views.table(spark, sf, "documents")
+    d = views.documents(spark, sf)
     first = F.array_join(F.slice(F.split("text", "\n"), 1, 2), "\n")
     raw = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(first, F.lit("\n#One #two")))
     return d.select("doc_id", tx.description_pack(raw, F.lit("A clip"), F.col("source"), F.col("text"), F.lit(""), F.lit("clip name")).alias("description"))
@@ -242,7 +242,7 @@ def q_description(spark, sf):
   WITH a AS (SELECT doc_id, source, trim(string_split(regexp_replace(trim(string_split(text, chr(10))[1]), '(?i)\s+on\s+|\s+talks\s+|\s+explains\s+', chr(1), 'g'), chr(1))[1]) AS lead FROM documents)
   SELECT doc_id, CASE WHEN lead <> '' AND length(lead) < 48 AND NOT regexp_matches(lead, '(?i)^the ') THEN lead ELSE source END AS speaker FROM a""")
 def q_speaker(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", tx.speaker_hint(F.split("text", "\n")[0], F.col("source")).alias("speaker"))
+    return views.documents(spark, sf).select("doc_id", tx.speaker_hint(F.split("text", "\n")[0], F.col("source")).alias("speaker"))
 
 
 SQUASH = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
@@ -254,11 +254,11 @@ SQUASH = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 def q_quote(spark, sf):
     """A quote's second to fourth words are whole words wherever it occurs, so that trigram is the join key."""
     quotes = views.table(spark, sf, "benchmark").select("item_id", tx.squash(F.col("text")).alias("q"))
-    notes = views.table(spark, sf, "documents").select("doc_id", tx.squash(F.col("text")).alias("n"))
+    notes = views.documents(spark, sf).select("doc_id", tx.squash(F.col("text")).alias("n"))
     qw = F.split("q", " ")
     quotes = quotes.filter(F.size(qw) >= 5).withColumn("key", F.array_join(F.slice(qw, 2, 3), " "))
     nw = F.split("n", " ")
-    grams = let(nw, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))))
+    grams = let(nw, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))))
     pairs = notes.select("doc_id", F.explode(grams).alias("key")).join(quotes.select("item_id", "key"), "key").drop("key")
     return pairs.join(notes, "doc_id").join(quotes, "item_id").filter(F.contains("n", F.col("q"))).select("item_id", "doc_id")
 

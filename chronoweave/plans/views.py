@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread_out(table(spark, sf, "documents"), "doc_id")
+
+
 def spread_out(df: DataFrame, key: str) -> DataFrame:
     """Re-split compact source rows when a source has fewer splits than the cluster has cores.
 
@@ -48,7 +52,7 @@ def timed_lines(text, word_ms: int = WORD_MS, gap_ms: int = GAP_MS):
 
 
 def transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    d = spread_out(table(spark, sf, "documents"), "doc_id")
+    d = documents(spark, sf)
     return d.select(F.col("doc_id").alias("project_id"), "lang", "source", timed_lines(F.col("text")).alias("cues"))
 
 
