@@ -170,30 +170,37 @@ def resolve_candidate(m: Column, words: Column, norms: Column, sents: Column, st
     lo_ms, hi_ms = lo_s * 1000, hi_s * 1000
     is_line = PROFILES[profile]["peak_kind"] == "line"
     at = lambda i: F.get(sents, i)
-    text = lambda a, b: F.array_join(part(words, a, b - a, lambda w: w["word"]), " ")
+    text = lambda a, n: F.array_join(part(words, a, n, lambda w: w["word"]), " ")
 
     def placed(v):
         span, q = v["span"], v["q"]
         length = at(span["hi"])["end_ms"] - at(span["lo"])["start_ms"]
         pre = locate_exact(norms, q, at(span["lo"])["word_start"], at(span["hi"])["word_end"])
         peak_ms = F.coalesce(F.get(words, pre)["t_ms"], at(m["peak_id"])["start_ms"])
-        lo = lead_up(sents, span, peak_ms, hi_ms)
         ok = (length >= lo_ms * 0.6) & (length <= hi_ms + 5000)
-        return let(F.struct(lo.alias("lo"), span["hi"].alias("hi"), peak_ms.alias("peak_ms"), q.alias("q"), ok.alias("ok")), finish)
+        return let(F.struct(span.alias("span"), peak_ms.alias("peak_ms"), q.alias("q"), ok.alias("ok")), led)
+
+    def led(v):
+        lo = lead_up(sents, v["span"], v["peak_ms"], hi_ms)
+        return let(F.struct(lo.alias("lo"), v["span"]["hi"].alias("hi"), v["peak_ms"].alias("peak_ms"), v["q"].alias("q"), v["ok"].alias("ok")), finish)
 
     def finish(v):
         a, b = at(v["lo"]), at(v["hi"])
         position = (v["peak_ms"] - a["start_ms"]) / (b["end_ms"] - a["start_ms"])
         return let(F.struct(v["q"].alias("q"), v["lo"].alias("lo"), v["hi"].alias("hi"), snap_start(a["start_ms"], starts).alias("start_ms"), snap_end(b["end_ms"], ends).alias("end_ms"),
-                            text(a["word_start"], b["word_end"]).alias("transcript"), a["word_start"].alias("wa"), b["word_end"].alias("wb"),
+                            text(a["word_start"], b["word_end"] - a["word_start"]).alias("transcript"), a["word_start"].alias("wa"), b["word_end"].alias("wb"),
                             (v["ok"] & (position >= MIN_PEAK_POSITION * 0.5)).alias("ok")), peak)
 
     def peak(v):
-        pointed = at(F.least(F.greatest(m["peak_id"], v["lo"]), v["hi"]))
         hit = locate_exact(norms, v["q"], v["wa"], v["wb"])
-        line = F.when(hit.isNotNull(), text(hit, hit + F.size(v["q"])))
+        return let(F.struct(v.alias("v"), hit.alias("hit")), lined)
+
+    def lined(u):
+        v, hit = u["v"], u["hit"]
+        pointed = at(F.least(F.greatest(m["peak_id"], v["lo"]), v["hi"]))
+        line = F.when(hit.isNotNull(), text(hit, F.size(v["q"])))
         if is_line:
-            line = F.coalesce(line, text(pointed["word_start"], pointed["word_end"]))
+            line = F.coalesce(line, text(pointed["word_start"], pointed["word_end"] - pointed["word_start"]))
         sec = F.coalesce(F.get(words, hit)["t_ms"], pointed["start_ms"])
         return let(F.struct(v["lo"].alias("lo_id"), v["hi"].alias("hi_id"), v["start_ms"].alias("start_ms"), v["end_ms"].alias("end_ms"), v["transcript"].alias("transcript"),
                             sec.alias("peak_ms"), line.alias("line"), v["ok"].alias("ok")), check)
