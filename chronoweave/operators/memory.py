@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.numeric import half_up
-from chronoweave.functions.text import squeeze, squash
+from chronoweave.functions.text import squash, squeeze
+from chronoweave.operators.scans import running_sum, scan
 
 # Fixed values.
 LESSON_LIMIT = 18
@@ -54,16 +55,18 @@ def crowded_scopes(lessons: DataFrame, scope: str, order: str, above: int = CROW
     return merged.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= keep)
 
 
-def lane_diff(before: DataFrame, after: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Lanes whose description differs between two states (absent lanes included)."""
-    j = before.withColumnRenamed(text, "__b").join(after.withColumnRenamed(text, "__a"), keys, "full")
-    return j.filter(~F.col("__b").eqNullSafe(F.col("__a"))).select(*keys, F.col("__b").alias("before"), F.col("__a").alias("after"))
+def describe_plan(spans: DataFrame, keys: list[str], order: list[str], line: Column, bucket: Column) -> DataFrame:
+    """Numbered text lines per lane, one row per line; a long lane is numbered by a bucketed scan."""
+    n = scan(spans.select(*keys, *order, line.alias("line"), bucket.alias("__o")), keys, order, F.col("__o"), line_no=running_sum(F.lit(1).cast("long"), False))
+    return n.select(*keys, "line_no", "line")
 
 
-def describe_plan(spans: DataFrame, keys: list[str], order: list[str], line: Column) -> DataFrame:
-    """Ordered text lines per lane of one plan (a plan's lane is bounded by its span cap)."""
-    g = spans.select(*keys, F.struct(*order, line.alias("__line")).alias("s")).groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("l"))
-    return g.select(*keys, F.array_join(F.transform("l", lambda x: x["__line"]), "\n").alias("text"))
+def lane_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Lanes whose lines differ between two states (absent lanes included), with how many lines do."""
+    on = [*keys, "line_no"]
+    j = before.withColumnRenamed("line", "__b").join(after.withColumnRenamed("line", "__a"), on, "full")
+    changed = F.count_if(~F.col("__b").eqNullSafe(F.col("__a")))
+    return j.groupBy(*keys).agg(changed.alias("changed")).filter("changed > 0")
 
 
 def apply_selection(current: DataFrame, candidates: DataFrame, chosen: DataFrame, keys: list[str], item: str) -> DataFrame:
@@ -74,10 +77,10 @@ def apply_selection(current: DataFrame, candidates: DataFrame, chosen: DataFrame
     return u.unionByName(c)
 
 
-def lane_merge(current: DataFrame, answer: DataFrame, locked: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """A lane is replaced only when answered and not locked."""
-    j = current.withColumnRenamed(text, "__c").join(answer.withColumnRenamed(text, "__a"), keys, "full").join(locked.withColumn("__l", F.lit(True)), keys, "left")
-    return j.select(*keys, F.when(F.col("__a").isNotNull() & F.col("__l").isNull(), F.col("__a")).otherwise(F.col("__c")).alias(text))
+def lane_merge(current: DataFrame, answer: DataFrame, locked: DataFrame, keys: list[str]) -> DataFrame:
+    """A lane's lines are replaced only when answered and not locked."""
+    replaced = answer.select(*keys).distinct().join(locked, keys, "left_anti")
+    return current.join(replaced, keys, "left_anti").unionByName(answer.join(replaced, keys, "left_semi"))
 
 
 def place_without_repeat(user: DataFrame, placed: DataFrame, owner: str, asset: str, order: str, cap: int) -> DataFrame:

@@ -18,6 +18,7 @@ _LOCAL: dict[str, str] = {}
 
 def stage_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId

@@ -63,25 +63,26 @@ def q_crowded(spark, sf):
     return mm.crowded_scopes(l, "scope", "at", above=5)
 
 
-LANES = """l AS (SELECT user_id, event_type AS lane, event_id, CAST(floor(value) AS BIGINT) AS v FROM events),
-  before AS (SELECT user_id, lane, string_agg('#' || event_id || ' ' || v, chr(10) ORDER BY event_id) AS text FROM l WHERE event_id % 3 <> 0 GROUP BY ALL),
-  after AS (SELECT user_id, lane, string_agg('#' || event_id || ' ' || v, chr(10) ORDER BY event_id) AS text FROM l WHERE event_id % 3 <> 0 AND (lane <> 'click' OR user_id % 2 = 0) GROUP BY ALL)"""
+LANES = """l AS (SELECT user_id, event_type AS lane, event_id, '#' || event_id || ' ' || CAST(floor(value) AS BIGINT) AS line FROM events WHERE event_id % 3 <> 0),
+  before AS (SELECT user_id, lane, row_number() OVER (PARTITION BY user_id, lane ORDER BY event_id) - 1 AS line_no, line FROM l),
+  after AS (SELECT user_id, lane, row_number() OVER (PARTITION BY user_id, lane ORDER BY event_id) - 1 AS line_no, line FROM l WHERE (lane <> 'click' OR user_id % 2 = 0) AND (lane <> 'view' OR event_id % 100 <> 1))"""
 
 
 def lanes(spark, sf, after=False):
     e = events(spark, sf).filter("event_id % 3 <> 0")
     if after:
-        e = e.filter("event_type <> 'click' OR user_id % 2 = 0")
+        e = e.filter("(event_type <> 'click' OR user_id % 2 = 0) AND (event_type <> 'view' OR event_id % 100 <> 1)")
     line = F.concat(F.lit("#"), F.col("event_id").cast("string"), F.lit(" "), F.floor("value").cast("string"))
-    return mm.describe_plan(e.withColumnRenamed("event_type", "lane"), ["user_id", "lane"], ["event_id"], line)
+    return mm.describe_plan(e.withColumnRenamed("event_type", "lane"), ["user_id", "lane"], ["event_id"], line, F.floor(F.col("event_id") / 100_000))
 
 
-@query("j5_lane_diff", "WITH " + LANES + " SELECT coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.lane, a.lane) AS lane, b.text AS before, a.text AS after FROM before b FULL JOIN after a ON a.user_id = b.user_id AND a.lane = b.lane WHERE b.text IS DISTINCT FROM a.text")
+@query("j5_lane_diff", "WITH " + LANES + """ SELECT coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.lane, a.lane) AS lane, count(*) AS changed FROM before b FULL JOIN after a ON a.user_id = b.user_id AND a.lane = b.lane AND a.line_no = b.line_no
+  WHERE b.line IS DISTINCT FROM a.line GROUP BY ALL""")
 def q_lane_diff(spark, sf):
-    return mm.lane_diff(lanes(spark, sf), lanes(spark, sf, True), ["user_id", "lane"], "text")
+    return mm.lane_diff(lanes(spark, sf), lanes(spark, sf, True), ["user_id", "lane"])
 
 
-@query("j6_describe_plan", "WITH " + LANES + " SELECT user_id, lane, text FROM before")
+@query("j6_describe_plan", "WITH " + LANES + " SELECT user_id, lane, line_no, line FROM before")
 def q_describe(spark, sf):
     return lanes(spark, sf)
 
@@ -96,13 +97,14 @@ def q_selection(spark, sf):
     return mm.apply_selection(cur, cand, e.filter("event_id % 4 = 0"), ["user_id"], "event_id")
 
 
-@query("j8_lane_merge", "WITH " + LANES + """, lk AS (SELECT DISTINCT user_id, event_type AS lane FROM events WHERE event_type = 'view' AND user_id % 3 = 0)
-  SELECT coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.lane, a.lane) AS lane, CASE WHEN a.text IS NOT NULL AND lk.user_id IS NULL THEN a.text ELSE b.text END AS text
-  FROM before b FULL JOIN (SELECT user_id, lane, 'new ' || lane AS text FROM after WHERE user_id % 2 = 1) a ON a.user_id = b.user_id AND a.lane = b.lane LEFT JOIN lk ON lk.user_id = coalesce(b.user_id, a.user_id) AND lk.lane = coalesce(b.lane, a.lane)""")
+@query("j8_lane_merge", "WITH " + LANES + """, lk AS (SELECT DISTINCT user_id, event_type AS lane FROM events WHERE event_type = 'view' AND user_id % 3 = 0),
+  ans AS (SELECT user_id, lane, line_no, 'new ' || line AS line FROM after WHERE user_id % 2 = 1),
+  rep AS (SELECT DISTINCT user_id, lane FROM ans WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.user_id = ans.user_id AND lk.lane = ans.lane))
+  SELECT b.* FROM before b WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.user_id = b.user_id AND rep.lane = b.lane) UNION ALL SELECT a.* FROM ans a WHERE EXISTS (SELECT 1 FROM rep WHERE rep.user_id = a.user_id AND rep.lane = a.lane)""")
 def q_lane_merge(spark, sf):
-    answer = lanes(spark, sf, True).filter("user_id % 2 = 1").select("user_id", "lane", F.concat(F.lit("new "), "lane").alias("text"))
+    answer = lanes(spark, sf, True).filter("user_id % 2 = 1").withColumn("line", F.concat(F.lit("new "), "line"))
     locked = events(spark, sf).filter("event_type = 'view' AND user_id % 3 = 0").select("user_id", F.col("event_type").alias("lane")).distinct()
-    return mm.lane_merge(lanes(spark, sf), answer, locked, ["user_id", "lane"], "text")
+    return mm.lane_merge(lanes(spark, sf), answer, locked, ["user_id", "lane"])
 
 
 @query("j9_place_without_repeat", """
