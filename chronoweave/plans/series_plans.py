@@ -252,7 +252,16 @@ def q_time_share(spark, sf):
     return sr.time_share(indexed(spark, sf), K, F.col("x") / 245.0 - 1, 2 * DAY, 25 * DAY)
 
 
-@query("f25_freeze_spans")
+@query("f25_freeze_spans", IX + """,
+  h0 AS (SELECT series_id, seq, t_ms AS a, x, row_number() OVER (PARTITION BY series_id ORDER BY t_ms, seq) AS rn FROM ix WHERE lane = 'signup'),
+  h1 AS (SELECT series_id, rn, a, x, TRUE AS keep, a + 28800000 AS last FROM h0 WHERE rn = 1
+    UNION ALL SELECT n.series_id, n.rn, n.a, n.x, n.a >= r.last, CASE WHEN n.a >= r.last THEN n.a + 28800000 ELSE r.last END FROM h1 r JOIN h0 n ON n.series_id = r.series_id AND n.rn = r.rn + 1),
+  ct AS (SELECT series_id, t_ms AS c FROM ix WHERE cut),
+  h2 AS (SELECT h.series_id, h.a, h.x, ct.c FROM (SELECT * FROM h1 WHERE keep) h ASOF LEFT JOIN ct ON ct.series_id = h.series_id AND ct.c > h.a),
+  h3 AS (SELECT *, CASE WHEN c <= a + 21600000 THEN c - 10 ELSE a + 21600000 END AS stop FROM h2),
+  h4 AS (SELECT *, CASE WHEN c <= a + 21600000 THEN c WHEN c IS NOT NULL THEN least(stop + 7200000, c) ELSE stop + 7200000 END AS resume FROM h3 WHERE stop - a >= 50)
+  SELECT series_id, t_ms, x, FALSE AS held FROM ix WHERE NOT EXISTS (SELECT 1 FROM h4 WHERE h4.series_id = ix.series_id AND ix.t_ms >= h4.a AND ix.t_ms <= h4.resume - 1)
+  UNION ALL SELECT series_id, a, x, TRUE FROM h4 UNION ALL SELECT series_id, stop, x, TRUE FROM h4""", "v_series")
 def q_freeze(spark, sf):
     ix = indexed(spark, sf)
     h = ix.filter("lane = 'signup'").select(K, F.col("seq").alias("hold_id"), F.col("t_ms").alias("a"), (F.col("t_ms") + 6 * HOUR).alias("b"), (F.col("t_ms") + 8 * HOUR).alias("far"))
