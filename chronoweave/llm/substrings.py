@@ -2,17 +2,17 @@
 
 1. Anchors. In every window of ``length`` bytes the ``ANCHOR``-byte string with the
    smallest hash is selected (leftmost on ties). The choice depends on the window's
-   bytes alone, so equal windows hold equal anchors at equal offsets: looking at the
-   surroundings of repeated anchors loses no match.
-2. The context of an anchor is every byte of the windows that can hold it. Contexts
-   equal in all bytes form a class; a class of two or more is repeated as a whole.
+   bytes alone, so equal windows have equal anchors at equal offsets: comparing windows
+   of the same anchor loses no match. An anchor owns the windows that select it.
+2. The context of an anchor is every byte of the windows it owns. Contexts equal in all
+   bytes form a class; a class of two or more is repeated as a whole.
 3. Anchors with several classes send one context of each to shards of bounded size.
    A shard sorts the suffixes of its contexts (Larsson-Sadakane doubling: only groups
    that still tie are sorted again), takes common prefixes of neighbours (Kasai, all
    contexts in step) and so groups equal windows.
-4. An anchor with more classes than a shard takes is cut into slices. Those send
-   fingerprints of their still single windows on, and sorted runs of the fingerprints
-   are merged by binary search.
+4. An anchor with more classes than a shard takes is cut into slices. Each slice hands
+   on runs of fingerprints of its distinct windows, cut at fixed ranges; the runs of a
+   range are merged and windows found in others by binary search.
 5. What a class has repeated is handed to all its members and cut from their texts.
 """
 
@@ -32,6 +32,7 @@ from chronoweave.operators.staging import stage
 LENGTH, ANCHOR = 400, 100
 PIECE = 1 << 19
 SHARD_CONTEXTS, HOT_CONTEXTS = 1500, 3000
+RUN_WINDOWS = 1_000_000
 _POSITION = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -72,23 +73,29 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], roller: Roller, length: int, k: int):
-    """``(text number, position, hash)`` arrays of the anchors of all windows of several short texts, or of one text in pieces."""
+    """``(text number, position, hash, first, last)`` of the anchors of all windows of several short texts, or of one text
+    in pieces; ``first`` and ``last`` are the starts of the windows an anchor owns."""
     if len(texts) == 1 and len(texts[0]) > PIECE:
-        parts = [anchors([texts[0][at:at + PIECE]], roller, length, k) for at in range(0, len(texts[0]) - length + 1, PIECE - length + 1)]
-        pos = np.concatenate([p[1] + i * (PIECE - length + 1) for i, p in enumerate(parts)])
-        pos, first = np.unique(pos, return_index=True)
-        return np.zeros(len(pos), np.int64), pos, np.concatenate([p[2] for p in parts])[first]
+        step = PIECE - length + 1
+        parts = [anchors([texts[0][at:at + PIECE]], roller, length, k) for at in range(0, len(texts[0]) - length + 1, step)]
+        pos, first, last = (np.concatenate([p[c] + i * step for i, p in enumerate(parts)]) for c in (1, 3, 4))
+        cut = group_starts(pos)[:-1]  # an anchor whose windows lie in two pieces
+        h = np.concatenate([p[2] for p in parts])
+        return np.zeros(len(cut), np.int64), pos[cut], h[cut], first[cut], last[np.append(cut[1:], len(pos)) - 1]
     flat = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], int)
     ends = np.cumsum(size)
     if len(flat) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = roller.hashes(flat, k)
     low = sliding_min((h & ~_POSITION) | np.arange(len(h), dtype=np.uint64), length - k + 1)
-    room = np.repeat(ends, size)[:len(low)] - np.arange(len(low)) >= length
-    at = np.unique((low[room] & _POSITION).astype(np.int64))
+    start = np.flatnonzero(np.repeat(ends, size)[:len(low)] - np.arange(len(low)) >= length)
+    pick = (low[start] & _POSITION).astype(np.int64)
+    cut = group_starts(pick)
+    at, first, last = pick[cut[:-1]], start[cut[:-1]], start[cut[1:] - 1]
     owner = np.searchsorted(ends, at, side="right")
-    return owner, at - (ends - size)[owner], h[at]
+    base = (ends - size)[owner]
+    return owner, at - base, h[at], first - base, last - base
 
 
 def suffix_array(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,46 +107,53 @@ def suffix_array(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     """
     n = len(text)
     stop = np.repeat(bounds[1:] - 1, np.diff(bounds))  # place of each suffix's end mark
-    left = stop - np.arange(n)
-    padded = np.append(text, np.zeros(8, np.uint8))
-    word = np.zeros(n, np.uint64)
-    for j in range(8):
-        word = (word << np.uint64(8)) | np.where(left > j, padded[j:n + j], 0).astype(np.uint64)
-    short = np.where(left < 8, np.arange(n) + 1, 0)
-    sa = np.lexsort((short, word))
-    new = np.append(True, (word[sa[1:]] != word[sa[:-1]]) | (short[sa[1:]] != short[sa[:-1]]))
-    depth = 8
+    left = np.minimum(stop - np.arange(n), 7)
+    # the first seven bytes, then how many of them there are: a suffix sorts before what it begins
+    word = _words(text, ">u8").astype(np.uint64) >> np.uint64(8)
+    word &= ~((np.uint64(1) << (56 - 8 * left).astype(np.uint64)) - np.uint64(1))
+    word = (word << np.uint64(8)) | left.astype(np.uint64)
+    sa = np.argsort(word)
+    word = word[sa]
+    ends = np.flatnonzero(word & np.uint64(255) < 7)
+    sa[ends] = sa[ends][np.lexsort((sa[ends], word[ends]))]
+    new = np.append(True, (word[1:] != word[:-1]) | (word[1:] & np.uint64(255) < 7))
+    depth = 7
     rank = np.empty(n, np.int64)
     start = np.flatnonzero(new)
     rank[sa] = np.repeat(start, np.diff(np.append(start, n)))
-    while True:
-        tied = ~(new & np.append(new[1:], True))
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return sa, rank
+    at = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(at):
         who = sa[at]
-        first, then = rank[who], rank[who + depth]
-        order = np.lexsort((who, then, first))
-        who, first, then = who[order], first[order], then[order]
+        key = rank[who] * n + rank[who + depth]
+        order = np.argsort(key)
+        who, key = who[order], key[order]
         sa[at] = who
-        fresh = np.append(True, (first[1:] != first[:-1]) | (then[1:] != then[:-1]))
-        new[at] = fresh
-        start = np.flatnonzero(new)
-        spread = np.repeat(start, np.diff(np.append(start, n)))
-        rank[who] = spread[at]
+        fresh = np.append(True, key[1:] != key[:-1])
+        start = np.flatnonzero(fresh)
+        rank[who] = np.repeat(at[start], np.diff(np.append(start, len(at))))
+        at = at[~(fresh & np.append(fresh[1:], True))]
         depth *= 2
+    return sa, rank
+
+
+def _words(text: np.ndarray, kind: str) -> np.ndarray:
+    """Eight bytes from every place on, zeros past the end."""
+    padded = np.append(text, np.zeros(8, np.uint8))
+    return np.lib.stride_tricks.as_strided(padded, (len(text), 8), (1, 1)).copy().view(kind).ravel()
+
 
+def common_prefixes(text: np.ndarray, bounds: np.ndarray, sa: np.ndarray, rank: np.ndarray, least: int = 0) -> np.ndarray:
+    """Kasai: bytes each suffix shares with its predecessor in the suffix array, all texts walked in step, eight bytes a comparison.
 
-def common_prefixes(text: np.ndarray, bounds: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Kasai: bytes each suffix shares with its predecessor in the suffix array, all texts walked in step, eight bytes a comparison."""
+    Suffixes of under ``least`` bytes, the last of each text, are not walked and have 0.
+    """
     n = len(text)
     lcp = np.zeros(n, np.int64)
     stop = np.repeat(bounds[1:] - 1, np.diff(bounds))
-    padded = np.append(text, np.zeros(8, np.uint8))
-    word = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(np.uint64).ravel()
-    base, size = bounds[:-1], np.diff(bounds)
+    word = _words(text, "u8")
+    base, size = bounds[:-1], np.diff(bounds) - least
     h = np.zeros(len(base), np.int64)
-    for o in range(int(size.max())):
+    for o in range(max(0, int(size.max()))):
         live = np.flatnonzero(o < size)
         i = base[live] + o
         here = rank[i]
@@ -168,7 +182,7 @@ def window_groups(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     bounds = np.append(0, np.cumsum(size))
     text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     sa, rank = suffix_array(text, bounds)
-    lcp = common_prefixes(text, bounds, sa, rank)
+    lcp = common_prefixes(text, bounds, sa, rank, length)
     group = np.empty(len(text), np.int64)
     group[sa] = np.cumsum(lcp < length)
     owner = np.repeat(np.arange(len(contexts)), size)
@@ -195,26 +209,27 @@ def _key(body: bytes) -> tuple[int, int]:
 
 
 def _anchor_rows(length: int, k: int):
-    side = length - k
-
     def emit(batches):
         roller = Roller(PIECE)
         for b in batches:
             ids, texts = b.column("id").to_pylist(), text_bytes(b.column("text"))
             for run in _groups(texts):
-                owner, pos, h = anchors([texts[i] for i in run], roller, length, k)
+                owner, pos, h, first, last = anchors([texts[i] for i in run], roller, length, k)
                 keys = [_key(texts[i]) for i in run]
                 own = [run[o] for o in owner]
-                c = [xxhash.xxh3_64_intdigest(texts[i][max(0, p - side):p + length], min(p, side)) for i, p in zip(own, pos.tolist())]
-                span = [min(p, side) + min(len(texts[i]) - p, length) for i, p in zip(own, pos.tolist())]
+                c = [xxhash.xxh3_64_intdigest(texts[i][s:e + length], p - s) for i, p, s, e in zip(own, pos.tolist(), first.tolist(), last.tolist())]
                 t = np.array(keys, np.int64).reshape(-1, 2)[owner]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[i] for i in own], pa.int64()), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)),
-                    pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(span, pa.int32())], ["id", "t1", "t2", "pos", "a", "c", "span"])
+                    pa.array([ids[i] for i in own], pa.int64()), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(first.astype(np.int32)), pa.array((pos - first).astype(np.int32)),
+                    pa.array(h.view(np.int64)), pa.array(np.array(c, np.uint64).view(np.int64)), pa.array((last - first + length).astype(np.int32))],
+                    ["id", "t1", "t2", "first", "left", "a", "c", "span"])
 
     return emit
 
 
+_ANCHORS = "id long, t1 long, t2 long, first int, left int, a long, c long, span int"
+
+
 def _merge(starts, ends) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of a union of spans."""
     o = np.argsort(starts, kind="stable")
@@ -223,61 +238,28 @@ def _merge(starts, ends) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]
 
 
-def _repeated(owner, start, group, where, copies) -> np.ndarray:
-    """Windows whose group has two places, or a place of a class with copies."""
-    o = np.lexsort((where, group))
-    g, w = group[o], where[o]
-    cut = group_starts(g)
-    places = np.add.reduceat(np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1])).astype(int), cut[:-1]) if len(g) else np.zeros(0, int)
-    many = np.maximum.reduceat(copies[owner][o], cut[:-1]) > 1 if len(g) else np.zeros(0, bool)
-    out = np.zeros(len(g), bool)
-    out[o] = np.repeat((places > 1) | many, np.diff(cut))
-    return out
-
-
-def _shards(length: int, k: int):
+def _shards(length: int, k: int, run_windows: int):
     def search(batches):
-        roll1 = roll2 = None
+        roller = Roller(PIECE, 21)
         for t in whole_groups(batches, ["shard"], 2 * SHARD_CONTEXTS):
-            shard, a, c, who, pos, n = (t.column(x).to_numpy() for x in ("shard", "a", "c", "who", "pos", "n"))
-            hot, left = t.column("hot").to_numpy(), t.column("left").to_numpy()
-            body = t.column("body").to_pylist()
+            shard, a, c, n, left, parts = (t.column(x).to_numpy() for x in ("shard", "a", "c", "n", "left", "parts"))
             cuts = group_starts(shard)
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                owner, start, group = window_groups(body[lo:hi], length)
-                if not len(owner):
-                    continue
-                absolute = (pos[lo:hi] - left[lo:hi])[owner] + start
-                where = (who[lo:hi].view(np.uint64)[owner] + absolute.astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
-                hit = _repeated(owner, start, group, where, n[lo:hi])
-                yield from _class_rows(a[lo:hi], c[lo:hi], owner[hit], start[hit], length)
-                if hot[lo]:
-                    if roll1 is None:
-                        roll1, roll2 = Roller(1 << 12, 21), Roller(1 << 12, 22)
-                    # of equal windows inside the slice one stands for all
-                    _, stands = np.unique(np.where(hit, group, -1 - np.arange(len(group))), return_index=True)
-                    stands = stands[np.argsort(owner[stands], kind="stable")]
-                    cut = group_starts(owner[stands])
-                    for x, y in zip(cut[:-1], cut[1:]):
-                        mine = stands[x:y]
-                        i = owner[mine[0]]
-                        b = np.frombuffer(body[lo + i], np.uint8)
-                        f1, f2 = roll1.hashes(b, length)[start[mine]], roll2.hashes(b, length)[start[mine]]
-                        m = len(mine)
-                        yield _row(np.full(m, a[lo + i]), np.full(m, c[lo + i]), start[mine], start[mine] + length, f1.view(np.int64), f2.view(np.int64), where[mine],
-                                   np.where(hit[mine], 2, n[lo + i]))
+                one = lo + group_starts(a[lo:hi], c[lo:hi])[:-1]  # equal rows bring a context twice
+                body = t.column("body").take(pa.array(one)).to_pylist()
+                owner, start, group = window_groups(body, length)
+                size = np.bincount(group, minlength=1)
+                copied = np.zeros(len(size), bool)
+                copied[group[n[one][owner] > 1]] = True
+                hit = (size[group] > 1) | copied[group]
+                yield from _class_rows(a[one], c[one], owner[hit], start[hit], length)
+                if parts[lo]:
+                    yield from _runs(a[one], c[one], left[one], int(parts[lo]), body, owner, start, group, hit, roller, length)
 
     return search
 
 
-_FOUND = "a long, c long, s int, e int, f1 long, f2 long, place long, copies long"
-
-
-def _row(a, c, s, e, f1=None, f2=None, place=None, copies=None) -> pa.RecordBatch:
-    none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(np.asarray(s).astype(np.int32)), pa.array(np.asarray(e).astype(np.int32)),
-                                       *(none if x is None else pa.array(np.asarray(x).astype(np.int64)) for x in (f1, f2, place, copies))],
-                                      ["a", "c", "s", "e", "f1", "f2", "place", "copies"])
+_FOUND = "a long, c long, s int, e int, part int, cs binary, i binary, at binary, f binary, many binary"
 
 
 def _class_rows(a, c, owner, start, length):
@@ -286,56 +268,88 @@ def _class_rows(a, c, owner, start, length):
         return
     wide = np.int64(1 << 32)
     s, e = _merge(owner * wide + start, owner * wide + start + length)
-    yield _row(a[s // wide], c[s // wide], s % wide, e % wide)
-
+    yield _spans(a[s // wide], c[s // wide], s % wide, e % wide)
+
+
+def _spans(a, c, s, e) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)),
+                                       pa.nulls(len(a), pa.int32()), none, none, none, none, none], [x.split()[0] for x in _FOUND.split(", ")])
+
+
+def _runs(a, c, left, parts, body, owner, start, group, hit, roller, length):
+    """A slice's fingerprints in sorted runs, one per range; of equal windows inside the slice one stands for all."""
+    _, stands = np.unique(np.where(hit, group, -1 - np.arange(len(group))), return_index=True)
+    stands.sort()
+    owner, start, hit = owner[stands], start[stands], hit[stands]
+    f = np.empty(len(owner), np.uint64)
+    cut = group_starts(owner)
+    for x, y in zip(cut[:-1], cut[1:]):
+        f[x:y] = roller.hashes(np.frombuffer(body[owner[x]], np.uint8), length)[start[x:y]]
+    f ^= (left[owner] - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)  # equal windows have their anchor at equal offsets
+    part = ((f >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    for p in np.unique(part):
+        k = np.flatnonzero(part == p)
+        k = k[np.argsort(f[k])]
+        yield pa.RecordBatch.from_pydict({
+            "a": [int(a[0])], "c": pa.nulls(1, pa.int64()), "s": pa.nulls(1, pa.int32()), "e": pa.nulls(1, pa.int32()), "part": pa.array([int(p)], pa.int32()), "cs": [c.tobytes()],
+            "i": [owner[k].astype(np.int32).tobytes()], "at": [start[k].astype(np.int32).tobytes()], "f": [f[k].tobytes()], "many": [hit[k].tobytes()]})
+
+
+def _merge_runs(length: int):
+    """Of the runs of each range: windows that another run has, too, by binary search of the merged run."""
+
+    def merge(batches):
+        for t in whole_groups(batches, ["key"], 1):
+            key, a = t.column("key").to_numpy(), t.column("a").to_numpy()
+            cuts = group_starts(key)
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                one = {(bytes(r["cs"]), bytes(r["f"])): r for r in t.slice(lo, hi - lo).to_pylist()}.values()
+                f = [np.frombuffer(r["f"], np.uint64) for r in one]
+                merged = np.sort(np.concatenate(f))
+                for r, run in zip(one, f):
+                    hit = np.searchsorted(merged, run, side="right") - np.searchsorted(merged, run, side="left") > 1
+                    hit &= ~np.frombuffer(r["many"], bool)
+                    c, owner, start = np.frombuffer(r["cs"], np.int64), np.frombuffer(r["i"], np.int32)[hit].astype(np.int64), np.frombuffer(r["at"], np.int32)[hit].astype(np.int64)
+                    yield from _class_rows(np.full(len(c), a[lo]), c, owner, start, length)
 
-def _merge_slices(batches):
-    """Fingerprints of windows, whole groups together: those at two places or with copies, found by binary search of the sorted run."""
-    for t in whole_groups(batches, ["f1"], 200_000):
-        f1, f2, place, copies = (t.column(x).to_numpy() for x in ("f1", "f2", "place", "copies"))
-        o = np.lexsort((place, f2, f1))
-        key = np.empty(len(o), [("x", np.int64), ("y", np.int64)])
-        key["x"], key["y"] = f1[o], f2[o]
-        lo, hi = np.searchsorted(key, key, side="left"), np.searchsorted(key, key, side="right")
-        total = np.append(0, np.cumsum(copies[o] > 1))
-        hit = (place[o][lo] != place[o][hi - 1]) | (total[hi] > total[lo])
-        at = np.sort(o[hit])
-        if len(at):
-            yield _row(*(t.column(x).to_numpy()[at] for x in ("a", "c", "s", "e")))
+    return merge
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_contexts: int = SHARD_CONTEXTS, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_contexts: int = SHARD_CONTEXTS, hot_contexts: int = HOT_CONTEXTS, run_windows: int = RUN_WINDOWS) -> DataFrame:
     """``id, t1, t2, spans`` of ``docs(id, text)``: covered byte spans by id and text key, not yet merged."""
-    side = length - anchor
-    occ = stage(docs.mapInArrow(_anchor_rows(length, anchor), "id long, t1 long, t2 long, pos int, a long, c long, span int"), "anchors")
-    classes = stage(occ.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "t1", "t2", "pos")).alias("rep"), F.max("span").alias("span")), "classes")
+    occ = stage(docs.mapInArrow(_anchor_rows(length, anchor), _ANCHORS), "anchors")
+    classes = stage(occ.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "t1", "t2", "first", "left")).alias("rep"), F.max("span").alias("span")), "classes")
     several = classes.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
-    reps = stage(classes.join(several, "a").select("rep.*", "a", "c", "n", "m"), "contexts")
+    reps = stage(classes.join(several, "a").select("rep.*", "span", "a", "c", "n", "m"), "contexts")
     shards = max(1, -(-reps.count() // shard_contexts))
-    wanted = reps.groupBy("id", "t1", "t2").agg(F.collect_list(F.struct("pos", "a", "c", "n", "m")).alias("want"))
-
-    @F.arrow_udf("array<struct<pos: int, a: bigint, c: bigint, n: bigint, m: bigint, left: int, body: binary>>")
-    def cut(text: pa.Array, want: pa.Array) -> pa.Array:
-        out = []
-        for t, ws in zip(text_bytes(text), want.to_pylist()):
-            out.append([{**w, "left": min(w["pos"], side), "body": t[max(0, w["pos"] - side):w["pos"] + length]} for w in ws])
-        return pa.array(out, pa.list_(pa.struct([("pos", pa.int32()), ("a", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("left", pa.int32()), ("body", pa.binary())])))
-
+    wanted = reps.groupBy("id", "t1", "t2").agg(F.collect_list(F.struct("first", "span", "left", "a", "c", "n", "m")).alias("want"))
     keyed = docs.withColumn("k", _text_keys("text"))
-    bodies = keyed.join(wanted.withColumnsRenamed({"t1": "w1", "t2": "w2", "id": "wid"}), (F.col("id") == F.col("wid")) & (F.col("k.t1") == F.col("w1")) & (F.col("k.t2") == F.col("w2")))
-    bodies = bodies.select(F.xxhash64("wid", "w1", "w2").alias("who"), F.explode(cut("text", "want")).alias("x")).select("who", "x.*")
+    same = (F.col("id") == F.col("wid")) & (F.col("k.t1") == F.col("w1")) & (F.col("k.t2") == F.col("w2"))
+    bodies = keyed.join(wanted.withColumnsRenamed({"t1": "w1", "t2": "w2", "id": "wid"}), same)
+    bodies = bodies.select(F.explode(_contexts("text", "want")).alias("x")).select("x.*")
     hot = F.col("m") > hot_contexts
     shard = F.when(hot, F.xxhash64("a", F.pmod("c", F.ceil(F.col("m") / shard_contexts)))).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards)))
-    dealt = bodies.select(shard.alias("shard"), hot.cast("int").alias("hot"), "who", "pos", "a", "c", "n", "left", "body").repartition("shard").sortWithinPartitions("shard", "a", "c")
-    found = stage(dealt.mapInArrow(_shards(length, anchor), _FOUND), "found")
-    single = found.where("f1 is null").select("a", "c", "s", "e")
-    across = found.where("f1 is not null").repartition("f1").sortWithinPartitions("f1").mapInArrow(_merge_slices, _FOUND).select("a", "c", "s", "e")
-    whole = classes.where(f"n > 1 and span >= {length}").select("a", "c", F.lit(0).alias("s"), F.col("span").alias("e"))
+    parts = F.when(hot, F.ceil(F.col("m") * (length - anchor) / (2 * run_windows)).cast("int")).otherwise(0)
+    dealt = bodies.select(shard.alias("shard"), parts.alias("parts"), "a", "c", "n", "left", "body").repartition("shard").sortWithinPartitions("shard", "a", "c")
+    found = stage(dealt.mapInArrow(_shards(length, anchor, run_windows), _FOUND), "found")
+    single = found.where("part is null").select("a", "c", "s", "e")
+    runs = found.where("part is not null").withColumn("key", F.xxhash64("a", "part")).repartition("key").sortWithinPartitions("key")
+    across = runs.mapInArrow(_merge_runs(length), _FOUND).select("a", "c", "s", "e")
+    whole = classes.where("n > 1").select("a", "c", F.lit(0).alias("s"), F.col("span").alias("e"))
     covered = single.unionByName(across).unionByName(whole).groupBy("a", "c").agg(F.collect_set(F.struct("s", "e")).alias("covered"))
-    at = occ.join(covered, ["a", "c"]).select("id", "t1", "t2", (F.col("pos") - F.least("pos", F.lit(side))).alias("from"), "covered")
+    at = occ.join(covered, ["a", "c"]).select("id", "t1", "t2", F.col("first").alias("from"), "covered")
     return at.groupBy("id", "t1", "t2").agg(F.collect_list(F.struct("from", "covered")).alias("spans"))
 
 
+@arrow_column("array<struct<a: bigint, c: bigint, n: bigint, m: bigint, left: int, body: binary>>")
+def _contexts(text: pa.Array, want: pa.Array) -> pa.Array:
+    out = []
+    for t, ws in zip(text_bytes(text), want.to_pylist()):
+        out.append([{**w, "body": t[w["first"]:w["first"] + w["span"]]} for w in ws])
+    return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("left", pa.int32()), ("body", pa.binary())])))
+
+
 def _text_keys(text: str):
     @F.arrow_udf("struct<t1: bigint, t2: bigint>")
     def keys(column: pa.Array) -> pa.Array:
@@ -365,7 +379,7 @@ def _cut_out(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR,
-                   shard_contexts: int = SHARD_CONTEXTS, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+                   shard_contexts: int = SHARD_CONTEXTS, hot_contexts: int = HOT_CONTEXTS, run_windows: int = RUN_WINDOWS) -> DataFrame:
     """``doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256`` per row.
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere
@@ -376,7 +390,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"),
                                       F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = repeated_spans(rows.select("id", "text"), length, anchor, shard_contexts, hot_contexts)
+    spans = repeated_spans(rows.select("id", "text"), length, anchor, shard_contexts, hot_contexts, run_windows)
     out = rows.withColumn("k", _text_keys("text")).join(spans.withColumnsRenamed({"t1": "w1", "t2": "w2", "id": "wid"}),
                                                         (F.col("id") == F.col("wid")) & (F.col("k.t1") == F.col("w1")) & (F.col("k.t2") == F.col("w2")), "left")
     out = out.withColumn("x", _cut_out(F.col("text"), F.col("spans")))
