@@ -101,9 +101,9 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``edges(a, b)`` to ``(node, root)``: the smallest node reachable, for every node with an edge.
 
     Alternates large-star and small-star rounds. Minima are aggregates with
-    partial combine, so a hub of any degree is never gathered; its join rows
-    can be split by the skew handling of adaptive execution. Each round is a
-    written table.
+    partial combine and are written before they are joined back, so a hub of any
+    degree is never gathered and adaptive execution can split its join rows.
+    Every round is cut off by written tables.
     """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -113,10 +113,10 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             break
         mark = tuple(now)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         star = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         star = stage(star, "star")
-        low = star.groupBy("a").agg(F.min("b").alias("m"))
+        low = stage(star.groupBy("a").agg(F.min("b").alias("m")), "low")
         e = star.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))).distinct()
         e = stage(e, "edges")

@@ -48,6 +48,7 @@ def byte_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str
     total, largest = whole["total"] or 1, whole["largest"] or 0
     copies = summed.groupBy("h1", "h2").agg(F.min("at").alias("start"), F.sum("size").alias("bytes"), F.count("*").alias("n")).where(
         (F.col("n") > 1) & (F.col("bytes") <= largest)).select("h1", "h2", "start")
+    copies = stage(copies, "copies")  # a table of its own, so that the join can split a very common text
     cut = summed.join(copies, ["h1", "h2"], "left").withColumn(
         "shard", F.expr(f"cast(least(cast(coalesce(start, at) as decimal(38,0)) * {shards} div {total}, {shards - 1}) as int)"))
     first = cut.groupBy("shard").agg(F.min("row_no").alias("first"))  # one row per shard

@@ -127,6 +127,7 @@ def fingerprint_links(codes: DataFrame, budget: int = BUDGET, blocks: int = BLOC
     keyed = codes.select("code", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m)) for m in signed])).alias("ord", "key"))
     hot = keyed.groupBy("ord", "key").agg(F.count("*").alias("n")).where(F.col("n") > node_rows).select(
         "ord", "key", F.ceil(F.col("n") * 2 / node_rows).alias("slices"))
+    hot = stage(hot, "hot")
     k = F.col("slices")
     own = F.pmod(F.xxhash64("code"), k)
     tasks = F.when(k.isNull(), F.array(F.lit("0"))).otherwise(F.transform(
@@ -161,7 +162,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     edges = fingerprint_links(codes.select("code"), budget, blocks, node_rows)
     roots = components(edges).withColumnRenamed("node", "code")
     placed = codes.join(roots, "code", "left").withColumn("root", F.coalesce("root", "code"))
-    low = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    low = stage(placed.groupBy("root").agg(F.min("low").alias("component_id")), "low")
     member = stage(placed.join(low, "root").select("code", "component_id"), "member")
     return prints.join(member, "code").select("doc_id", "code", "component_id")
 

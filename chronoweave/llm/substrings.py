@@ -338,6 +338,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     across = runs.mapInArrow(_merge_runs(length), _FOUND).select("a", "c", "s", "e")
     whole = classes.where("n > 1").select("a", "c", F.lit(0).alias("s"), F.col("span").alias("e"))
     covered = single.unionByName(across).unionByName(whole).groupBy("a", "c").agg(F.collect_set(F.struct("s", "e")).alias("covered"))
+    covered = stage(covered, "covered")  # a table of its own, so that the join can split a class with very many members
     at = occ.join(covered, ["a", "c"]).select("id", "t1", "t2", F.col("first").alias("from"), "covered")
     return at.groupBy("id", "t1", "t2").agg(F.collect_list(F.struct("from", "covered")).alias("spans"))
 

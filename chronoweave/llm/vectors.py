@@ -149,6 +149,7 @@ def vector_components(vectors: DataFrame, vec_id: str = "vec_id", vector: str =
     posted = posted.withColumn("dim", F.size("unit"))
     hot = ranked.select("label", F.size("unit").alias("dim"), F.explode(F.slice("ranks", 1, nearest - shared + 1)).alias("pivot")).groupBy("label", "dim", "pivot").agg(
         F.count("*").alias("rows")).where(F.col("rows") > list_rows).select("label", "dim", "pivot", F.ceil(F.col("rows") * 2 / list_rows).alias("slices"))
+    hot = stage(hot, "hot")
     k = F.coalesce(F.col("slices"), F.lit(1).cast("long"))
     dealt = posted.join(hot, ["label", "dim", "pivot"], "left").withColumn("own", F.pmod(F.xxhash64("node"), k)).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
@@ -185,7 +186,7 @@ def vector_components(vectors: DataFrame, vec_id: str = "vec_id", vector: str =
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = distinct.select("label", "h1", "h2", "node", "n", "low").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = stage(placed.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     member = stage(placed.join(lows, "root").select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "member")
     out = rows.select("vec_id", "label", "h1", "h2", F.col("unit").isNotNull().alias("able")).join(
         member.withColumn("able", F.lit(True)), ["label", "h1", "h2", "able"], "left")

@@ -223,7 +223,8 @@ def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
     same = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(same.select("sha", "top"), "sha", "left").select("page_id", "url", "payload", "top")
+    same = stage(same.select("sha", "top"), "same")  # a table of its own, so that the join can split a very common payload
+    rows = rows.join(same, "sha", "left").select("page_id", "url", "payload", "top")
     root = f"{stage_root(pages.sparkSession)}/chronoweave/warc-{uuid.uuid4().hex}"
     raw = write_archives(rows, f"{root}/raw")
     split = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
