@@ -97,7 +97,7 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` to ``(node, root)``: the smallest node reachable, for every node with an edge.
 
     Alternates large-star and small-star rounds. Minima are aggregates with
@@ -107,7 +107,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:  # ends: every round lowers a label or changes nothing
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark or now[0] == 0:
             break
