@@ -6,6 +6,11 @@ bounded; joins between clips and transcripts are binned on time.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections import Counter
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,38 +132,41 @@ def edit_targets(words: Column, start: Column, end: Column, n: Column) -> Column
     return F.when(at <= 0, None).when(end.isNotNull() & (F.size(spanned) > 0), spanned).otherwise(from_start)
 
 
+_KEY = re.compile(r"[^a-z0-9']")
+
+
+def _matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Rising pairs of equal words: first the words that each side has once, in their longest rising run, then the gaps between them."""
+    once_a, once_b = Counter(a), Counter(b)
+    place = {w: j for j, w in enumerate(b) if once_b[w] == 1}
+    single = [(i, place[w]) for i, w in enumerate(a) if once_a[w] == 1 and w in place]
+    tails, ends, before = [], [], []
+    for n, (_, j) in enumerate(single):
+        at = bisect_left(tails, j)
+        before.append(ends[at - 1] if at else -1)
+        tails[at:at + 1], ends[at:at + 1] = [j], [n]
+    rising, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        rising.append(single[n])
+        n = before[n]
+    out, i0, j0 = [], 0, 0
+    for i, j in [*reversed(rising), (len(a), len(b))]:
+        for m in SequenceMatcher(None, a[i0:i], b[j0:j], autojunk=False).get_matching_blocks():
+            out += [(i0 + m.a + k, j0 + m.b + k) for k in range(m.size)]
+        out.append((i, j))
+        i0, j0 = i + 1, j + 1
+    return out[:-1]
+
+
 def _align(old: list[str], new: list[str]) -> list[tuple[int, str | None, bool]]:
-    """Edits (old index, replacement, hidden) from a longest-common-subsequence alignment."""
-    import re
-    key = lambda w: re.sub(r"[^a-z0-9']", "", w.lower()) or w.lower()
-    a, b = [key(w) for w in old], [key(w) for w in new]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        row, up = best[i + 1], best[i]
-        for j, y in enumerate(b):
-            row[j + 1] = up[j] + 1 if x == y else max(up[j + 1], row[j])
-    pairs, i, j = [], len(a), len(b)
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif j and (not i or best[i][j - 1] >= best[i - 1][j]):
-            j -= 1
-            pairs.append((None, j))
-        else:
-            i -= 1
-            pairs.append((i, None))
-    text: dict[int, list[str]] = {}
-    lead: list[str] = []
-    last = None
-    for oi, nj in reversed(pairs):
-        if oi is not None:
-            text[oi] = [] if nj is None else [new[nj]]
-            last = oi if nj is not None else last
-        else:
-            (text[last] if last is not None else lead).append(new[nj])
-    text[0] = lead + text.get(0, [])
-    return [(k, " ".join(v) or None, not v) for k, v in sorted(text.items()) if v != [old[k]]]
+    """Edits (old index, replacement, hidden): a word without a match is hidden, new words ride on the match before them or on the first word."""
+    fold = lambda w: _KEY.sub("", w.lower()) or w.lower()
+    pairs = _matched([fold(w) for w in old], [fold(w) for w in new])
+    carried: dict[int, list[str]] = {0: new[:pairs[0][1] if pairs else len(new)]}
+    for (i, j), (_, nxt) in zip(pairs, [*pairs[1:], (0, len(new))]):
+        carried[i] = carried.get(i, []) + new[j:nxt]
+    edits = ((i, carried.get(i, [])) for i in range(len(old)))
+    return [(i, " ".join(v) or None, not v) for i, v in edits if v != [old[i]]]
 
 
 def align_transcripts(pairs: DataFrame, key: str) -> DataFrame:

@@ -18,7 +18,6 @@ SEARCH_LIMIT = 40
 CREDIT_FREE = r"(?i)creative commons 0|publicdomain|cc0"
 ALLOWED_LICENSE = r"(?i)creative commons 0|attribution"
 USABLE_QUALITY = 3
-NAME_CAP = 40
 
 
 def stems(text: Column) -> Column:
@@ -167,9 +166,9 @@ def default_chain(owners: DataFrame, items: DataFrame, owner: str, item: str, re
 def next_free_name(names: DataFrame, owner: str, name: str, base: str = "Outro") -> DataFrame:
     """Smallest unused ``base n`` per owner, case-insensitive; only the numbered names are kept per owner."""
     low = F.lower(F.trim(name))
-    n = F.when(low == base.lower(), 1).otherwise(F.regexp_extract(low, f"^{base.lower()} (\\d+)$", 1).try_cast("int"))
-    used = names.withColumn("n", n).groupBy(owner).agg(F.collect_set(F.when(F.col("n") < NAME_CAP, F.col("n"))).alias("used"))
-    free = F.coalesce(F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(NAME_CAP - 1)), F.col("used"))), F.lit(1))
+    n = F.when(low == base.lower(), 1).otherwise(F.regexp_extract(low, f"^{base.lower()} (\\d+)$", 1).try_cast("long"))
+    used = names.withColumn("n", n).groupBy(owner).agg(F.collect_set("n").alias("used"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1).cast("long"), F.size("used") + F.lit(1).cast("long")), F.col("used")))
     return used.select(owner, F.when(free == 1, base).otherwise(F.concat(F.lit(base + " "), free.cast("string"))).alias("name"))
 
 

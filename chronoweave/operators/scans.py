@@ -104,8 +104,8 @@ def _combine(spec: Running, local: Column, carry: Column) -> Column:
 def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, **outs: Running) -> DataFrame:
     """Add running columns ordered by ``order`` within ``keys``.
 
-    ``order`` must be a total order; ``bucket`` must be monotone in it.
-    Keys must be non-null.
+    ``order`` must be a total order; ``bucket`` must be monotone in it. Rows with
+    null keys form a key of their own; rows with a null bucket come first.
     """
     df = df.withColumn(BUCKET, bucket.cast("long"))
     part = [*keys, BUCKET]
@@ -118,6 +118,11 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, **out
     carries = totals.select(*part, *[_carry(s, f"__t_{n}", cf, cb).alias(f"__c_{n}") for n, s in outs.items()])
     local = df.select("*", *[_local(s, fwd, bwd).alias(f"__l_{n}") for n, s in outs.items()])
     base = [c for c in df.columns if c != BUCKET]
-    return local.join(carries, part).select(
+    same = None
+    for c in part:  # null keys are keys, too
+        eq = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        same = eq if same is None else same & eq
+    carries = carries.withColumnsRenamed({c: f"__k_{c}" for c in part})
+    return local.join(carries, same).select(
         *base, *[_combine(s, F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n, s in outs.items()]
     )

@@ -1,8 +1,9 @@
 """Written intermediate tables: cut lineage where a result is read more than once.
 
 The table goes to the shared folder named by ``spark.checkpoint.dir``, so it
-survives the loss of executors. A folder of our own is used only where that
-setting is absent (tests, local runs).
+survives the loss of executors. In local mode, where driver and executors are one
+machine, a temporary folder stands in for an absent setting; on a cluster that is
+an error.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def stage_root(spark: SparkSession) -> str:
     named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="chronoweave-stage-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -142,7 +142,7 @@ def q_default(spark, sf):
 
 
 @query("g14_next_free_name", """
-  WITH u AS (SELECT o_custkey, list(DISTINCT o_orderkey % 7 + 1) AS used FROM orders GROUP BY o_custkey), f AS (SELECT o_custkey, list_min(list_filter(range(1, 40), lambda n: NOT list_contains(used, n))) AS n FROM u)
+  WITH u AS (SELECT o_custkey, list(DISTINCT o_orderkey % 7 + 1) AS used FROM orders GROUP BY o_custkey), f AS (SELECT o_custkey, list_min(list_filter(range(1, len(used) + 2), lambda n: NOT list_contains(used, n))) AS n FROM u)
   SELECT o_custkey, CASE WHEN n = 1 THEN 'Outro' ELSE 'Outro ' || n END AS name FROM f""")
 def q_name(spark, sf):
     n = F.col("o_orderkey") % 7 + 1

@@ -63,13 +63,13 @@ def q_crowded(spark, sf):
     return mm.crowded_scopes(l, "scope", "at", above=5)
 
 
-LANES = """l AS (SELECT user_id, event_type AS lane, event_id, '#' || event_id || ' ' || CAST(floor(value) AS BIGINT) AS line FROM events WHERE event_id % 3 <> 0),
+LANES = """l AS (SELECT user_id, event_type AS lane, event_id, '#' || event_id || ' ' || CAST(floor(value) AS BIGINT) AS line FROM events),
   before AS (SELECT user_id, lane, row_number() OVER (PARTITION BY user_id, lane ORDER BY event_id) - 1 AS line_no, line FROM l),
   after AS (SELECT user_id, lane, row_number() OVER (PARTITION BY user_id, lane ORDER BY event_id) - 1 AS line_no, line FROM l WHERE (lane <> 'click' OR user_id % 2 = 0) AND (lane <> 'view' OR event_id % 100 <> 1))"""
 
 
 def lanes(spark, sf, after=False):
-    e = events(spark, sf).filter("event_id % 3 <> 0")
+    e = events(spark, sf)
     if after:
         e = e.filter("(event_type <> 'click' OR user_id % 2 = 0) AND (event_type <> 'view' OR event_id % 100 <> 1)")
     line = F.concat(F.lit("#"), F.col("event_id").cast("string"), F.lit(" "), F.floor("value").cast("string"))

@@ -322,7 +322,7 @@ LEXICON = {"comedy_talk": {"de": 1.0, "la": 1.5}, "motivation": {"the": 1.0, "an
 
 
 @query("c20_classify_channel", rf"""
-  WITH s AS (SELECT doc_id, list_transform({TOK.format(x='substr(text, 1, 2000)')}, lambda w: {NORM.format(x='w')}) AS ws FROM documents),
+  WITH s AS (SELECT doc_id, list_transform({TOK.format(x='text')}, lambda w: {NORM.format(x='w')}) AS ws FROM documents),
   v AS (SELECT doc_id, unnest([struct_pack(g := 'comedy_talk', v := len(list_filter(ws, lambda w: w = 'de')) + 15e-1 * len(list_filter(ws, lambda w: w = 'la'))),
     struct_pack(g := 'motivation', v := len(list_filter(ws, lambda w: w = 'the')) + 15e-1 * len(list_filter(ws, lambda w: w = 'and'))),
     struct_pack(g := 'music', v := len(list_filter(ws, lambda w: w = 'der')) + 15e-1 * len(list_filter(ws, lambda w: w = 'und'))),
@@ -330,7 +330,7 @@ LEXICON = {"comedy_talk": {"de": 1.0, "la": 1.5}, "motivation": {"the": 1.0, "an
   SELECT doc_id, CASE WHEN max(x.v) > 0 THEN arg_min(x.g, struct_pack(v := -x.v, g := x.g)) ELSE 'motivation' END AS genre FROM v GROUP BY doc_id""")
 def q_classify(spark, sf):
     d = views.table(spark, sf, "documents")
-    ws = F.transform(tokens(F.substring("text", 1, 2000)), norm_word)
+    ws = F.transform(tokens(F.col("text")), norm_word)
     return d.select("doc_id", mn.classify_votes(ws, LEXICON, DEFAULT_PROFILE).alias("genre"))
 
 

@@ -252,14 +252,20 @@ SQUASH = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
   WITH q AS (SELECT item_id, {SQUASH.format(x='text')} AS q FROM benchmark), n AS (SELECT doc_id, {SQUASH.format(x='text')} AS n FROM documents)
   SELECT item_id, doc_id FROM q JOIN n ON length(q.q) >= 3 AND contains(n.n, q.q)""")
 def q_quote(spark, sf):
-    """A quote's second to fourth words are whole words wherever it occurs, so that trigram is the join key."""
+    """Candidates by a key that a note must have, then the exact test.
+
+    From five words on, a quote's second to fourth words are whole words wherever it occurs; a shorter one is met by its first three characters.
+    """
     quotes = views.table(spark, sf, "benchmark").select("item_id", tx.squash(F.col("text")).alias("q"))
     notes = views.documents(spark, sf).select("doc_id", tx.squash(F.col("text")).alias("n"))
     qw = F.split("q", " ")
-    quotes = quotes.filter(F.size(qw) >= 5).withColumn("key", F.array_join(F.slice(qw, 2, 3), " "))
+    quotes = quotes.filter(F.length("q") >= 3)
+    long = quotes.filter(F.size(qw) >= 5).select("item_id", F.array_join(F.slice(qw, 2, 3), " ").alias("key"))
+    short = quotes.filter(F.size(qw) < 5).select("item_id", F.substring("q", 1, 3).alias("key"))
     nw = F.split("n", " ")
     grams = let(nw, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))))
-    pairs = notes.select("doc_id", F.explode(grams).alias("key")).join(quotes.select("item_id", "key"), "key").drop("key")
+    chars = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 2, F.lit(1))), lambda i: F.substring(F.col("n"), i, F.lit(3))))
+    pairs = notes.select("doc_id", F.explode(grams).alias("key")).join(long, "key").unionByName(notes.select("doc_id", F.explode(chars).alias("key")).join(short, "key")).drop("key")
     return pairs.join(notes, "doc_id").join(quotes, "item_id").filter(F.contains("n", F.col("q"))).select("item_id", "doc_id")
 
 

@@ -5,7 +5,9 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from chronoweave.operators import captions as cp
+from chronoweave.operators import catalog as ct
 from chronoweave.operators import intervals as iv
 from chronoweave.operators import joins
 from chronoweave.operators import series as sr
@@ -105,3 +107,33 @@ def test_freeze_holds_and_rejoins(spark):
     got = sorted((r.t_ms, r.x, r.held) for r in sr.freeze_spans(df, holds, "series_id", 350).collect())
     assert (2500, 2.5, True) in got and (4500, 2.5, True) in got
     assert [t for t, _, h in got if not h] == [0, 1000, 2000, 5000, 6000, 7000, 8000, 9000]
+
+
+def test_scan_keeps_null_keys(spark):
+    rows = [(None, 1, 5), (None, 40, 6), (1, 1, 7), (1, None, 8), (1, 90, 9)]
+    df = spark.createDataFrame(rows, "k long, t long, v long")
+    out = scan(df, ["k"], ["t", "v"], F.floor(F.col("t") / 30), total=running_sum(F.col("v"))).collect()
+    assert {(r.k, r.t): r.total for r in out} == {(None, 1): 5, (None, 40): 11, (1, None): 8, (1, 1): 15, (1, 90): 24}
+
+
+def test_next_free_name_has_no_end(spark):
+    df = spark.createDataFrame([(1, "Outro")] + [(1, f"outro {n}") for n in range(2, 46)] + [(2, "Outro 2")], "owner long, name string")
+    assert {r.owner: r.name for r in ct.next_free_name(df, "owner", "name").collect()} == {1: "Outro 46", 2: "Outro"}
+
+
+def test_quotes_of_any_length(spark, tmp_path):
+    texts = [(1, "Alpha beta, gamma delta epsilon zeta"), (2, "nothing here"), (3, None)]
+    quotes = [(1, "beta gamma delta"), (2, "alpha beta gamma delta epsilon"), (3, "mma del"), (4, "zeta"), (5, "ab"), (6, "ha"), (7, "eta g"), (8, "missing words")]
+    spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "0L n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(quotes, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.item_id, r.doc_id) for r in queries()["b21_quote_in_note"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 1)}
+
+
+def test_alignment_of_a_long_pair(spark):
+    old = [f"w{i % 900}" if i % 3 else "the" for i in range(18_000)]
+    new = [w for i, w in enumerate(old) if i % 50]
+    new[100:100] = ["brand", "new"]
+    df = spark.createDataFrame([(1, old, list(range(0, 400 * len(old), 400)), new)], "id long, old array<string>, t_ms array<long>, new array<string>")
+    got = cp.align_transcripts(df, "id").collect()
+    assert 360 <= len(got) <= 400 and sum("brand new" in (r.word or "") for r in got) == 1
