@@ -9,8 +9,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,6 +135,34 @@ def edit_targets(words: Column, start: Column, end: Column, n: Column) -> Column
 _KEY = re.compile(r"[^a-z0-9']")
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with every prefix of ``b``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.where(b == x, row[:-1] + 1, row[1:]))
+    return row
+
+
+def _gap(a: np.ndarray, i: int, i_end: int, b: np.ndarray, j: int, j_end: int, out: list[tuple[int, int]]) -> None:
+    """Appends the pairs of a longest common subsequence of two stretches, halving the first: memory is linear."""
+    while i < i_end and j < j_end and a[i] == b[j]:
+        out.append((i, j))
+        i, j = i + 1, j + 1
+    tail = 0
+    while i < i_end - tail and j < j_end - tail and a[i_end - tail - 1] == b[j_end - tail - 1]:
+        tail += 1
+    i_to, j_to = i_end - tail, j_end - tail
+    if i_to - i == 1:
+        at = np.flatnonzero(b[j:j_to] == a[i])
+        out += [(i, j + int(at[0]))] if len(at) else []
+    elif i < i_to and j < j_to:
+        mid = (i + i_to) // 2
+        cut = j + int(np.argmax(_lengths(a[i:mid], b[j:j_to]) + _lengths(a[mid:i_to][::-1], b[j:j_to][::-1])[::-1]))
+        _gap(a, i, mid, b, j, cut, out)
+        _gap(a, mid, i_to, b, cut, j_to, out)
+    out += [(i_to + k, j_to + k) for k in range(tail)]
+
+
 def _matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Rising pairs of equal words: first the words that each side has once, in their longest rising run, then the gaps between them."""
     once_a, once_b = Counter(a), Counter(b)
@@ -149,10 +177,11 @@ def _matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while n >= 0:
         rising.append(single[n])
         n = before[n]
+    code = {w: k for k, w in enumerate({*a, *b})}
+    a, b = (np.array([code[w] for w in x], np.int32) for x in (a, b))
     out, i0, j0 = [], 0, 0
     for i, j in [*reversed(rising), (len(a), len(b))]:
-        for m in SequenceMatcher(None, a[i0:i], b[j0:j], autojunk=False).get_matching_blocks():
-            out += [(i0 + m.a + k, j0 + m.b + k) for k in range(m.size)]
+        _gap(a, i0, i, b, j0, j, out)
         out.append((i, j))
         i0, j0 = i + 1, j + 1
     return out[:-1]
