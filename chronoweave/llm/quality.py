@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import small_batches, text_bytes
+from chronoweave.operators.staging import stage
 
 SPACE_BITS, ORDERS = 17, (1, 2, 3, 4)
 SAMPLE_PER_CLASS, EPOCHS, COST, SMOOTH = 1500, 8, 1.0, 1.0
@@ -118,28 +119,30 @@ def fit_sigmoid(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[
     return max(s, 1e-6), o
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, text, quality`` of documents with one agreed label of 0 or 1."""
-    agreed = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(
-        F.min("quality").alias("low"), F.max("quality").alias("quality")).where("low = quality").select("id", F.col("quality").cast("int").alias("quality"))
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(agreed, "id")
+def agreed_labels(labels: DataFrame) -> DataFrame:
+    """``id, quality``: ids with one agreed label of 0 or 1."""
+    return labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(
+        F.min("quality").alias("low"), F.max("quality").cast("int").alias("quality")).where("low = quality").select("id", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, doc_id: str = "doc_id", text: str = "text", sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Fit on labelled rows whose id passes ``train`` (a function of the id column).
 
-    Without labels of both classes every text scores the share of label 1, or 0.5 without any.
+    Texts meet their labels in one sort-merge join, planned alike at every size;
+    the sampled ids, at most two per ``sample_per_class``, are broadcast. Of
+    documents that share a sampled id one stands in the sample. Without labels of
+    both classes every text scores the share of label 1, or 0.5 without any.
     """
-    chosen = small_batches(labels).where(train(F.col("doc_id")))
-    ratio, n = log_count_ratios(labelled(docs, chosen, doc_id, text))
+    chosen = stage(agreed_labels(small_batches(labels)).where(train(F.col("id"))), "labels")
+    mine = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where(train(F.col("id")))
+    ratio, n = log_count_ratios(mine.join(chosen.hint("merge"), "id"))
     space = len(ratio)
     if not n.all():
         p = (n[1] + 0.5) / (n.sum() + 1.0)
         return Model(ratio, np.zeros(space), 0.0, 1e-6, float(np.log(p / (1 - p))))
     ids = None
     for q in (0, 1):
-        part = chosen.where(f"quality = {q}").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct().orderBy(
-            F.xxhash64("doc_id"), "doc_id").limit(sample_per_class)
+        part = chosen.where(f"quality = {q}").orderBy(F.xxhash64("id"), "id").limit(sample_per_class)
         ids = part if ids is None else ids.unionByName(part)
 
     def featurise(batches):
@@ -148,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, doc_id: str = "doc_id", text:
             found = [features(t or b"", seen).astype(np.int32) for t in text_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("quality"), pa.array(found, pa.list_(pa.int32()))], ["id", "quality", "f"])
 
-    got = labelled(docs, ids, doc_id, text).mapInArrow(featurise, "id long, quality int, f array<int>").orderBy("id", F.xxhash64("f")).toArrow()  # at most two samples
+    got = mine.join(F.broadcast(ids), "id").mapInArrow(featurise, "id long, quality int, f array<int>").groupBy("id", "quality").agg(
+        F.min_by("f", F.xxhash64("f")).alias("f")).orderBy("id").toArrow()  # a row per sampled id
     flat = got.column("f").combine_chunks()
     lists = [x.values.to_numpy() if x.values is not None else np.zeros(0, np.int32) for x in flat]
     y = np.where(got.column("quality").to_numpy() > 0, 1.0, -1.0)

@@ -187,6 +187,15 @@ def test_quality_odd_rows(spark):
     assert quality.with_score(docs.limit(0), m).count() == 0
 
 
+def test_quality_sample_of_repeated_ids(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "zz qq xx") for i in range(40)] + [(7, f"good copy {i}") for i in range(300)], "doc_id long, text string")
+    assert quality.agreed_labels(labels).where("id = 3").count() == 0
+    m = quality.fit(docs, labels, queries.quality_train, sample_per_class=5)
+    low, high = (r.score for r in quality.with_score(docs.where("doc_id in (0, 1)"), m).orderBy("doc_id").collect())
+    assert low < 0.3 <= high
+
+
 def test_log_count_ratios_are_counts_of_documents(spark):
     rows = spark.createDataFrame([("ab", 1), ("abab", 1), ("zz", 0)], "text string, quality int")
     ratio, n = quality.log_count_ratios(rows)
