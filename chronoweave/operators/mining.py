@@ -25,7 +25,6 @@ MIN_PEAK_POSITION = 0.2
 MIN_TOTAL_SCORE = 3.5
 BOARD_SIZE = 12
 FUZZY_SHARE = 0.75
-GUARD = 60
 
 
 def overlap_chunks(sents: Column) -> Column:
@@ -55,11 +54,15 @@ def snap_end(t: Column, ends: Column) -> Column:
     return F.coalesce(F.array_min(F.filter(ends, lambda e: e >= t - 1)), F.array_max(ends), t)
 
 
+def _steps(n: Column) -> Column:
+    """Loop counter of ``n`` steps, at least one (a step that has nothing to do changes nothing)."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), n))
+
+
 def fit_span(sents: Column, start_id: Column, end_id: Column, peak_id: Column, lo_ms: int, hi_ms: int) -> Column:
     """Grow (forward first) to the band's minimum, then trim (front first, around the peak) to its maximum."""
     at = lambda i: F.get(sents, i)
     n = F.size(sents)
-    steps = F.sequence(F.lit(1), F.lit(GUARD))
     init = F.struct(F.least(start_id, end_id).alias("lo"), F.greatest(start_id, end_id).alias("hi"))
 
     def grow(a, _):
@@ -78,7 +81,13 @@ def fit_span(sents: Column, start_id: Column, end_id: Column, peak_id: Column, l
         return F.struct(F.when(long & front, a["lo"] + 1).otherwise(a["lo"]).alias("lo"),
                         F.when(long & ~front & rear, a["hi"] - 1).otherwise(a["hi"]).alias("hi"))
 
-    return F.aggregate(steps, F.aggregate(steps, init, grow), trim)
+    def reach(a):
+        # sentences that still fit the band on either side: no more steps than these can be taken
+        return F.size(F.filter(sents, lambda x, i: ((i > a["hi"]) & (x["end_ms"] - at(a["lo"])["start_ms"] <= hi_ms))
+                                                   | ((i < a["lo"]) & (at(a["hi"])["end_ms"] - x["start_ms"] <= hi_ms))))
+
+    grown = let(init, lambda a: F.aggregate(_steps(reach(a)), a, grow))
+    return let(grown, lambda a: F.aggregate(_steps(a["hi"] - a["lo"]), a, trim))
 
 
 def lead_up(sents: Column, span: Column, peak_ms: Column, hi_ms: int) -> Column:
@@ -92,7 +101,8 @@ def lead_up(sents: Column, span: Column, peak_ms: Column, hi_ms: int) -> Column:
         room = (lo > 0) & (end - at(F.greatest(lo - 1, F.lit(0)))["start_ms"] <= hi_ms)
         return F.when(early & room, lo - 1).otherwise(lo)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(GUARD)), span["lo"], back)
+    room = F.size(F.filter(sents, lambda x, i: (i < span["lo"]) & (end - x["start_ms"] <= hi_ms)))
+    return F.aggregate(_steps(room), span["lo"], back)
 
 
 def phrase_words(quote: Column) -> Column:

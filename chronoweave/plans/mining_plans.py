@@ -54,12 +54,12 @@ FIT = MOMENTS + f""",
   g AS (SELECT m.project_id, chunk_no, rn, peak_id, start_id AS lo, end_id AS hi, 0 AS it, TRUE AS go FROM v_moment m
     UNION ALL SELECT project_id, chunk_no, rn, peak_id, CASE WHEN short AND NOT fwd AND back THEN lo - 1 ELSE lo END, CASE WHEN short AND fwd THEN hi + 1 ELSE hi END, it + 1, short AND (fwd OR back)
     FROM (SELECT g.*, sa.e[hi + 1] - sa.s[lo + 1] < 20000 AS short, hi + 1 < n AND coalesce(sa.e[hi + 2] - sa.s[lo + 1] <= 45000, FALSE) AS fwd, lo > 0 AND sa.e[hi + 1] - sa.s[greatest(lo, 1)] <= 45000 AS back
-      FROM g JOIN sa ON sa.project_id = g.project_id WHERE go AND it < 60)),
+      FROM g JOIN sa ON sa.project_id = g.project_id WHERE go)),
   g2 AS (SELECT project_id, chunk_no, rn, peak_id, arg_max(lo, it) AS lo, arg_max(hi, it) AS hi FROM g GROUP BY ALL),
   t AS (SELECT *, 0 AS it, TRUE AS go FROM g2
     UNION ALL SELECT project_id, chunk_no, rn, peak_id, CASE WHEN long AND front THEN lo + 1 ELSE lo END, CASE WHEN long AND NOT front AND rear THEN hi - 1 ELSE hi END, it + 1, long AND (front OR rear)
     FROM (SELECT t.*, sa.e[hi + 1] - sa.s[lo + 1] > 45000 AS long, lo < least(greatest(peak_id, lo), hi) AND lo < hi AS front, hi > least(greatest(peak_id, lo), hi) AND hi > lo AS rear
-      FROM t JOIN sa ON sa.project_id = t.project_id WHERE go AND it < 60)),
+      FROM t JOIN sa ON sa.project_id = t.project_id WHERE go)),
   v_fit AS (SELECT project_id, chunk_no, rn, peak_id, arg_max(lo, it) AS lo, arg_max(hi, it) AS hi FROM t GROUP BY ALL)"""
 CAND = FIT + f""",
   c0 AS (SELECT f.*, m.peak_line, m.hook, m.payoff, m.quotability, m.standalone, list_filter(list_transform({TOK.format(x='m.peak_line')}, lambda w: {NORM.format(x='w')}), lambda w: (w <> '')) AS q
@@ -69,7 +69,7 @@ CAND = FIT + f""",
   c2 AS (SELECT c1.*, coalesce(na.ts[pre + 1], sa.s[peak_id + 1]) AS pk FROM c1 JOIN sa ON sa.project_id = c1.project_id JOIN na ON na.project_id = c1.project_id),
   b AS (SELECT project_id, chunk_no, rn, lo, hi, pk, 0 AS it, TRUE AS go FROM c2
     UNION ALL SELECT project_id, chunk_no, rn, CASE WHEN mv THEN lo - 1 ELSE lo END, hi, pk, it + 1, mv
-    FROM (SELECT b.*, (pk - sa.s[lo + 1]) / (sa.e[hi + 1] - sa.s[lo + 1])::DOUBLE < 2e-1 AND lo > 0 AND sa.e[hi + 1] - sa.s[greatest(lo, 1)] <= 45000 AS mv FROM b JOIN sa ON sa.project_id = b.project_id WHERE go AND it < 60)),
+    FROM (SELECT b.*, (pk - sa.s[lo + 1]) / (sa.e[hi + 1] - sa.s[lo + 1])::DOUBLE < 2e-1 AND lo > 0 AND sa.e[hi + 1] - sa.s[greatest(lo, 1)] <= 45000 AS mv FROM b JOIN sa ON sa.project_id = b.project_id WHERE go)),
   b2 AS (SELECT project_id, chunk_no, rn, arg_max(lo, it) AS lo2 FROM b GROUP BY ALL),
   bd AS (SELECT project_id, list(DISTINCT start_ms) AS starts, list(DISTINCT end_ms) AS ends FROM v_cues WHERE end_ms - start_ms >= 50 GROUP BY project_id),
   c3 AS (SELECT c2.*, lo2, sa.s[lo2 + 1] AS s0, sa.e[hi + 1] AS e0, sa.wa[lo2 + 1] AS wa, sa.wb[hi + 1] AS wb, least(greatest(peak_id, lo2), hi) AS pid, sa.s AS ss, sa.wa AS was, sa.wb AS wbs

@@ -10,6 +10,7 @@ from chronoweave.operators import captions as cp
 from chronoweave.operators import catalog as ct
 from chronoweave.operators import intervals as iv
 from chronoweave.operators import joins
+from chronoweave.operators import mining
 from chronoweave.operators import series as sr
 from chronoweave.operators.scans import following, latest, previous, running_max, running_sum, scan
 
@@ -137,3 +138,13 @@ def test_alignment_of_a_long_pair(spark):
     df = spark.createDataFrame([(1, old, list(range(0, 400 * len(old), 400)), new)], "id long, old array<string>, t_ms array<long>, new array<string>")
     got = cp.align_transcripts(df, "id").collect()
     assert 360 <= len(got) <= 400 and sum("brand new" in (r.word or "") for r in got) == 1
+
+
+def test_spans_of_more_than_sixty_sentences(spark):
+    s = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.struct((i * 100).alias("start_ms"), (i * 100 + 100).alias("end_ms")))
+    d = spark.range(1).select(s.alias("s"))
+    grown = mining.fit_span(F.col("s"), F.lit(100), F.lit(101), F.lit(100), 20000, 45000)
+    cut = mining.fit_span(F.col("s"), F.lit(0), F.lit(299), F.lit(150), 2000, 10000)
+    led = mining.lead_up(F.col("s"), F.struct(F.lit(200).alias("lo"), F.lit(299).alias("hi")), F.lit(20100), 45000)
+    r = d.select(grown.alias("a"), cut.alias("b"), led.alias("c")).first()
+    assert (tuple(r.a), tuple(r.b), r.c) == ((100, 299), (150, 249), 176)
