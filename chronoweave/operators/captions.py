@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.functions.binding import let, same_words
 from chronoweave.functions.text import norm_word, squeeze, strip_fillers, tokens
 from chronoweave.operators import joins
 
@@ -78,13 +79,17 @@ def peak_window(words: Column, duration: Column, peak_ms: Column, phrase: Column
     norms = F.transform(words, lambda v: norm_word(v["word"]))
     by_time = F.array_position(F.transform(words, lambda v: v["rel"] >= peak_ms - EDGE_MS), True)
     probe = F.slice(phrase, 1, 4)
-    spots = F.sequence(F.lit(1), F.greatest(F.size(words) - F.size(probe) + 1, F.lit(1)))
-    by_text = F.array_min(F.filter(spots, lambda i: (F.size(probe) > 0) & (F.slice(norms, i, F.size(probe)) == probe)))
-    at = F.coalesce(F.nullif(by_time, F.lit(0)), by_text.cast("long"))
-    start = F.greatest(F.lit(0), F.get(words, (at - 1).cast("int"))["rel"])
-    after = F.get(words, (at - 1).cast("int") + F.greatest(F.lit(1), F.size(phrase)))["rel"]
-    end = F.least(duration, F.coalesce(after, start + PEAK_TAIL_MS))
-    return F.when(at.isNotNull() & (end > start), F.struct(start.alias("start_ms"), end.alias("end_ms")))
+    spots = F.sequence(F.lit(0), F.greatest(F.size(words) - F.size(probe), F.lit(0)))
+    by_text = let(F.struct(norms.alias("n"), probe.alias("p")), lambda v: F.when(F.size(v["p"]) > 0, F.array_min(
+        F.filter(spots, lambda i: same_words(v["n"], i, v["p"])))))
+    at = F.coalesce((F.nullif(by_time, F.lit(0)) - 1).cast("int"), by_text)
+
+    def window(i):
+        start = F.greatest(F.lit(0), F.get(words, i)["rel"])
+        after = F.get(words, i + F.greatest(F.lit(1), F.size(phrase)))["rel"]
+        return F.when(i.isNotNull(), F.struct(start.alias("start_ms"), F.least(duration, F.coalesce(after, start + PEAK_TAIL_MS)).alias("end_ms")))
+
+    return let(let(at, window), lambda w: F.when(w["end_ms"] > w["start_ms"], w))
 
 
 def karaoke_spans(group_words: Column, start: Column, end: Column) -> Column:

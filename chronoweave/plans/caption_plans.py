@@ -12,9 +12,11 @@ from chronoweave.plans import views
 from chronoweave.plans.registry import query
 from chronoweave.plans.text_plans import NORM, TOK
 
-CLIPS = """v_clips AS (SELECT doc_id AS project_id, doc_id * 10 + k AS clip_id, 3000 + 9000 * k AS c_start, 15000 + 9000 * k + 1000 * (doc_id % 7) AS c_end, 12000 + 1000 * (doc_id % 7) AS duration
-  FROM documents, range(0, 2) AS r(k)),
-  v_scenes AS (SELECT doc_id AS project_id, k AS scene_no, 1000 + 4000 * k AS s_start, 4500 + 4000 * k AS s_end, 1 + (doc_id + k) % 4 AS size FROM documents, range(0, 4) AS r(k))"""
+CLIPS = """v_len AS (SELECT project_id, max(end_ms) AS total FROM v_cues GROUP BY project_id),
+  v_clips AS (SELECT project_id, project_id * 1000000 + k AS clip_id, 3000 + 9000 * k AS c_start, 15000 + 9000 * k + 1000 * (project_id % 7) AS c_end, 12000 + 1000 * (project_id % 7) AS duration
+  FROM (SELECT project_id, unnest(range(0, total // 9000 + 1)) AS k FROM v_len)),
+  v_scenes AS (SELECT project_id, k AS scene_no, 1000 + 4000 * k AS s_start, 4500 + 4000 * k AS s_end, 1 + (project_id + k) % 4 AS size
+  FROM (SELECT project_id, unnest(range(0, total // 4000 + 1)) AS k FROM v_len))"""
 CLIPW = CLIPS + """,
   nw AS (SELECT *, lead(t_ms) OVER (PARTITION BY project_id ORDER BY word_no) AS nx FROM v_words),
   cw AS (SELECT c.*, w.word_no, w.word, w.t_ms, w.t_ms - c.c_start AS rel, w.nx - c.c_start AS next_rel FROM v_clips c JOIN nw w ON w.project_id = c.project_id AND w.t_ms >= c.c_start - 50 AND w.t_ms < c.c_start + c.duration - 40),
@@ -28,16 +30,24 @@ CLIPW = CLIPS + """,
   grp AS (SELECT * FROM g1 WHERE end_ms > start_ms)"""
 
 
+def pieces(spark, sf, every_ms):
+    """Numbers of the pieces of a fixed length that a transcript reaches into."""
+    total = F.element_at("cues", -1)["end_ms"]
+    t = views.transcripts(spark, sf).select("project_id", F.when(F.size("cues") > 0, F.sequence(F.lit(0).cast("long"), F.floor(total / every_ms))).alias("ks"))
+    return rows(t, ["project_id"], F.col("ks"), "k")
+
+
 def clips(spark, sf):
-    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("project_id"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k"))
+    """Overlapping clips along the whole transcript."""
+    d = pieces(spark, sf, 9000)
     dur = (12000 + 1000 * (F.col("project_id") % 7)).alias("duration")
-    return d.select("project_id", (F.col("project_id") * 10 + F.col("k")).alias("clip_id"), (3000 + 9000 * F.col("k")).cast("long").alias("c_start"),
+    return d.select("project_id", (F.col("project_id") * 1_000_000 + F.col("k")).alias("clip_id"), (3000 + 9000 * F.col("k")).cast("long").alias("c_start"),
                     (15000 + 9000 * F.col("k") + 1000 * (F.col("project_id") % 7)).alias("c_end"), dur)
 
 
 def scenes(spark, sf):
-    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("project_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    return d.select("project_id", F.col("k").cast("long").alias("scene_no"), (1000 + 4000 * F.col("k")).cast("long").alias("s_start"), (4500 + 4000 * F.col("k")).cast("long").alias("s_end"),
+    d = pieces(spark, sf, 4000)
+    return d.select("project_id", F.col("k").alias("scene_no"), (1000 + 4000 * F.col("k")).cast("long").alias("s_start"), (4500 + 4000 * F.col("k")).cast("long").alias("s_end"),
                     (1 + (F.col("project_id") + F.col("k")) % 4).alias("size"))
 
 
@@ -97,9 +107,9 @@ PEAK = CLIPW + f""",
 def peaks(spark, sf):
     w = clip_words(spark, sf).groupBy("clip_id", "duration").agg(F.array_sort(F.collect_list(F.struct("word_no", "rel", "word"))).alias("words"))
     phrase = F.filter(F.transform(F.slice("words", 6, 5), lambda v: norm_word(v["word"])), lambda x: x != "")
-    w = w.withColumn("phrase", phrase)
     peak = F.when(F.col("clip_id") % 3 != 0, F.floor(F.col("duration") / 2))
-    return w.select("clip_id", cp.peak_window(F.col("words"), F.col("duration"), peak, F.col("phrase")).alias("p")).filter("p IS NOT NULL")
+    p = let(phrase, lambda q: cp.peak_window(F.col("words"), F.col("duration"), peak, q))
+    return rows(w, ["clip_id"], F.array(p), "p")
 
 
 @query("d6_peak_window", PEAK + " SELECT clip_id, p_start AS start_ms, p_end AS end_ms FROM pw WHERE p_end > p_start", "v_words")

@@ -31,13 +31,13 @@ def q_lessons(spark, sf):
 
 
 @query("j2_review_to_lessons", rf"""
-  WITH t AS (SELECT conv_id * 1000 + turn AS clip_id, turn * 3 % 11 AS score, list_slice({TOK.format(x='text')}, 1, 3) AS w FROM conversations),
+  WITH t AS (SELECT conv_id * 1000 + turn AS clip_id, turn * 3 % 11 AS score, {TOK.format(x='text')} AS w FROM conversations),
   i AS (SELECT clip_id, u.word, u.k FROM t, unnest(list_slice(w, 1, 2)) WITH ORDINALITY AS u(word, k) WHERE score < 8)
   SELECT clip_id, word || ' → fix ' || word AS text, 4 AS weight FROM i WHERE k <> 2 OR clip_id % 2 = 0""")
 def q_review(spark, sf):
     c = views.table(spark, sf, "conversations")
     cid = F.col("conv_id") * 1000 + F.col("turn")
-    issues = F.transform(F.slice(tokens(F.col("text")), 1, 3), lambda w, i: F.struct(w.alias("what"), F.when((i != 1) | (cid % 2 == 0), F.concat(F.lit("fix "), w)).alias("fix")))
+    issues = F.transform(tokens(F.col("text")), lambda w, i: F.struct(w.alias("what"), F.when((i != 1) | (cid % 2 == 0), F.concat(F.lit("fix "), w)).alias("fix")))
     raw = F.to_json(F.struct((F.col("turn") * 3 % 11).alias("score"), issues.alias("issues")))
     r = c.select(cid.alias("clip_id"), F.from_json(raw, "score int, issues array<struct<what:string,fix:string>>").alias("review"))
     return mm.review_lessons(r, "clip_id", "review")
@@ -53,13 +53,13 @@ def q_feedback(spark, sf):
 
 
 @query("j4_crowded_scopes", """
-  WITH l AS (SELECT source AS scope, doc_id AS "at", n_chars % 10 + 1 AS weight, string_split(text, chr(10))[1] AS text FROM documents),
+  WITH l AS (SELECT source AS scope, doc_id AS "at", n_chars % 10 + 1 AS weight, text FROM documents),
   c AS (SELECT scope FROM l GROUP BY scope HAVING count(*) > 5),
   m AS (SELECT scope, max("at") AS "at", arg_max(weight, "at") AS weight, arg_max(text, "at") AS text FROM l GROUP BY scope, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')))
   SELECT * FROM (SELECT scope, "at", weight, text, row_number() OVER (PARTITION BY scope ORDER BY weight DESC, "at" DESC) AS rank FROM m WHERE scope IN (SELECT scope FROM c)) WHERE rank <= 20""")
 def q_crowded(spark, sf):
     d = views.table(spark, sf, "documents")
-    l = d.select(F.col("source").alias("scope"), F.col("doc_id").alias("at"), (F.col("n_chars") % 10 + 1).alias("weight"), F.split("text", "\n")[0].alias("text"))
+    l = d.select(F.col("source").alias("scope"), F.col("doc_id").alias("at"), (F.col("n_chars") % 10 + 1).alias("weight"), "text")
     return mm.crowded_scopes(l, "scope", "at", above=5)
 
 

@@ -22,7 +22,7 @@ def t_ms():
 
 @query("k1_latest_status", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def q_latest(spark, sf):
-    return sj.run_complete(sj.latest_status(log(spark, sf), "user_id", "event_id", ["event_type"]))
+    return sj.run_update(sj.latest_status(log(spark, sf), "user_id", "event_id", ["event_type"]), ["user_id"])
 
 
 @query("k2_dedupe_jobs", "SELECT DISTINCT user_id || '-' || event_type AS job_id FROM events")
@@ -33,7 +33,7 @@ def q_dedupe(spark, sf):
 
 @query("k3_stage_throughput", "SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 1000000 AS w_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def q_throughput(spark, sf):
-    return sj.run_complete(sj.stage_throughput(log(spark, sf), "event_type", "1 day")).select(F.unix_seconds("w.start").alias("w_start"), "event_type", "n")
+    return sj.run_update(sj.stage_throughput(log(spark, sf), "event_type", "1 day"), ["w", "event_type"]).select(F.unix_seconds("w.start").alias("w_start"), "event_type", "n")
 
 
 @query("k3_stage_throughput_sliding", f"""
@@ -41,7 +41,7 @@ def q_throughput(spark, sf):
   SELECT 1704067200 + k * 600 AS w_start, event_type, count(*) AS n FROM e GROUP BY ALL""")
 def q_sliding(spark, sf):
     s = sj.stage_throughput(log(spark, sf), "event_type", "20 minutes", "10 minutes")
-    return sj.run_complete(s).select(F.unix_seconds("w.start").alias("w_start"), "event_type", "n")
+    return sj.run_update(s, ["w", "event_type"]).select(F.unix_seconds("w.start").alias("w_start"), "event_type", "n")
 
 
 @query("k4_speech_sessions", f"""
@@ -78,7 +78,7 @@ def q_retry(spark, sf):
 
 @query("k7_fan_in_progress", "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS done, count(*) FILTER (WHERE event_type = 'purchase') >= 12 AS complete FROM events GROUP BY user_id")
 def q_fan_in(spark, sf):
-    return sj.run_complete(sj.fan_in_progress(log(spark, sf), "user_id", F.col("event_type") == "purchase", 12))
+    return sj.run_update(sj.fan_in_progress(log(spark, sf), "user_id", F.col("event_type") == "purchase", 12), ["user_id"])
 
 
 SEQ = "s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM e)"

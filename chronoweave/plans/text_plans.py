@@ -205,19 +205,16 @@ _MARK = r"list_filter(list_transform({t}, lambda x: '#' || regexp_replace(regexp
 
 
 @query("b17_hashtag_line", rf"""
-  WITH a AS (SELECT doc_id, {_MARK.format(t="list_slice(" + TOK.format(x='text') + ", 1, 12)")} AS m FROM documents),
+  WITH a AS (SELECT doc_id, {_MARK.format(t=TOK.format(x='text'))} AS m FROM documents),
   b AS (SELECT *, list_transform(m, lambda x: lower(x)) AS l FROM a),
   c AS (SELECT doc_id, list_slice(list_filter(m, lambda x, i: list_position(l, lower(x)) = i), 1, 5) AS k FROM b)
   SELECT doc_id, {TAGS.format(k='k')} AS tags FROM c""")
 def q_tags(spark, sf):
-    return views.documents(spark, sf).select("doc_id", tx.hashtag_line(F.slice(tx.tokens(F.col("text")), 1, 12)).alias("tags"))
-
-
-FIRST3 = "array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10))"
+    return views.documents(spark, sf).select("doc_id", tx.hashtag_line(tx.tokens(F.col("text"))).alias("tags"))
 
 
 @query("b18_description_pack", rf"""
-  WITH a AS (SELECT doc_id, source, text AS transcript, trim(regexp_replace(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN '' ELSE {FIRST3} || chr(10) || '#One #two' END, '(?i)https?://\S+', '', 'g'), '[ \t]+\n', chr(10), 'g')) AS t0 FROM documents),
+  WITH a AS (SELECT doc_id, source, text AS transcript, trim(regexp_replace(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN '' ELSE text || chr(10) || '#One #two' END, '(?i)https?://\S+', '', 'g'), '[ \t]+\n', chr(10), 'g')) AS t0 FROM documents),
   b AS (SELECT *, CASE WHEN t0 = '' THEN 'A clip' ELSE t0 END AS t FROM a),
   c AS (SELECT *, regexp_extract_all(t, '#([A-Za-z0-9_]+)', 1) AS found,
     list_filter(list_transform(string_split(regexp_replace(t, '\n+', chr(10), 'g'), chr(10)), lambda l: trim(regexp_replace(regexp_replace(l, '(?i)https?://\S+', '', 'g'), '\s+', ' ', 'g'))),
@@ -233,8 +230,7 @@ FIRST3 = "array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)
   SELECT doc_id, CASE WHEN length(packed) > 900 THEN trim(regexp_replace(substr(packed, 1, 900), '\s+\S*$', '')) ELSE packed END AS description FROM h""")
 def q_description(spark, sf):
     d = views.documents(spark, sf)
-    first = F.array_join(F.slice(F.split("text", "\n"), 1, 2), "\n")
-    raw = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(first, F.lit("\n#One #two")))
+    raw = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat("text", F.lit("\n#One #two")))
     return d.select("doc_id", tx.description_pack(raw, F.lit("A clip"), F.col("source"), F.col("text"), F.lit(""), F.lit("clip name")).alias("description"))
 
 
@@ -271,7 +267,7 @@ def q_quote(spark, sf):
 
 @query("b22_options_cleanup", rf"""
   a AS (SELECT project_id, cue_no, {TOK.format(x='text')} AS ws FROM v_turns),
-  b AS (SELECT project_id, cue_no, substr(array_to_string(ws, ' '), 1, 300) AS question, list_transform(list_slice(ws, 1, 8), lambda w: trim(substr(w, 1, 80))) AS o FROM a),
+  b AS (SELECT project_id, cue_no, substr(array_to_string(ws, ' '), 1, 300) AS question, list_transform(ws, lambda w: trim(substr(w, 1, 80))) AS o FROM a),
   c AS (SELECT *, list_slice(list_filter(o, lambda x, i: list_position(list_transform(o, lambda y: lower(y)), lower(x)) = i), 1, 4) AS opts, CASE WHEN len(o) >= 3 THEN o[3] END AS rec FROM b WHERE question <> ''),
   d AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY cue_no) AS rn FROM c)
   SELECT project_id, cue_no, question, CASE WHEN len(opts) >= 2 THEN array_to_string(opts, '|') ELSE '' END AS options,
@@ -280,7 +276,7 @@ def q_quote(spark, sf):
 def q_options(spark, sf):
     t = views.turns(spark, sf)
     ws = tx.tokens(F.col("text"))
-    raw = F.to_json(F.struct(F.array_join(ws, " ").alias("question"), F.transform(F.slice(ws, 1, 8), lambda w, i: F.concat(w, F.when(i == 2, " (recommended)").otherwise(""))).alias("options")))
+    raw = F.to_json(F.struct(F.array_join(ws, " ").alias("question"), F.transform(ws, lambda w, i: F.concat(w, F.when(i == 2, " (recommended)").otherwise(""))).alias("options")))
     j = t.select("project_id", "cue_no", F.from_json(raw, "question string, options array<string>").alias("a"))
     tag = r"(?i)\s*\(recommended\)\s*"
     written = F.transform(F.coalesce(F.col("a.options"), F.array().cast("array<string>")), lambda o: F.struct(

@@ -14,6 +14,7 @@ from chronoweave.functions.binding import let, rows
 from chronoweave.functions.numeric import half_up, half_up_sql
 
 WORD_MS, GAP_MS = 400, 900
+BLOCK = 256
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -47,8 +48,22 @@ def timed_lines(text, word_ms: int = WORD_MS, gap_ms: int = GAP_MS):
         return F.struct(F.concat(acc["cues"], F.array(cue)).alias("cues"), (acc["w"] + c["n"]).alias("w"),
                         (acc["k"] + 1).alias("k"))
 
-    init = F.struct(empty.alias("cues"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("k"))
-    return F.aggregate(sized, init, step, lambda acc: acc["cues"])
+    def block(first, b):
+        init = F.struct(empty.alias("cues"), first.alias("w"), (b * BLOCK).cast("long").alias("k"))
+        return lambda items: F.aggregate(items, init, step, lambda acc: acc["cues"])
+
+    def cut(ls):
+        n_blocks = F.floor((F.size(ls) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), n_blocks), lambda b: F.slice(ls, b * BLOCK + 1, F.lit(BLOCK)))
+        return let(blocks, timed)
+
+    def timed(blocks):
+        words_in = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, c: a + c["n"]))
+        before = F.aggregate(words_in, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return let(before, lambda w: F.flatten(F.transform(blocks, lambda x, b: block(F.get(w, b), b)(x))))
+
+    # A fold that appends copies its array at each step, so lines are numbered in blocks and joined once.
+    return let(sized, lambda ls: F.when(F.size(ls) > 0, cut(ls)).when(ls.isNotNull(), empty))
 
 
 def transcripts(spark: SparkSession, sf: str) -> DataFrame:

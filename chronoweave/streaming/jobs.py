@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chronoweave.operators import joins
 from chronoweave.operators.staging import stage_root
@@ -23,11 +24,13 @@ BASE_DELAY_SEC = 5
 THROTTLE_DONE = 99
 REARM = 0.25
 
+FILES_PER_BATCH = 64
+
 
 def read_log(spark: SparkSession, folder: str, file: str) -> DataFrame:
     """Stream one table's file out of a folder, with the schema the table has."""
     schema = spark.read.parquet(f"{folder}/{file}").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+    s = spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(folder)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -41,12 +44,31 @@ def run_append(df: DataFrame, path: str | None = None) -> tuple[DataFrame, list]
     path = path or _new_path(spark)
     q = (df.writeStream.format("parquet").outputMode("append").option("path", f"{path}/data").option("checkpointLocation", f"{path}/ck")
          .trigger(availableNow=True).start())
+    seen = {}
+    while True:  # a query keeps only its last progress reports, so they are gathered while it runs
+        done = q.awaitTermination(1)
+        seen.update({(p["runId"], p["batchId"], p["timestamp"]): p for p in q.recentProgress})
+        if done:
+            return spark.read.schema(df.schema).parquet(f"{path}/data"), list(seen.values())
+
+
+def run_update(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Drain an aggregate in update mode: each batch writes the keys it changed, readers take a key's latest batch.
+
+    A batch writes under its own number, so a repeated batch overwrites itself; state past the watermark is freed.
+    """
+    spark = df.sparkSession
+    path = _new_path(spark)
+    q = (df.writeStream.outputMode("update").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True)
+         .foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/data/batch={n}")).start())
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/data"), list(q.recentProgress)
+    log = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/data")
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("s"))
+    return last.select(*keys, "s.*")
 
 
 def run_complete(df: DataFrame) -> DataFrame:
-    """Drain a complete-mode aggregate; the table always holds the latest full result."""
+    """Drain a complete-mode aggregate (session windows know no update mode); the table always holds the latest full result."""
     path = _new_path(df.sparkSession)
     q = (df.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True)
          .foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{path}/data")).start())

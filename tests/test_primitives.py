@@ -148,3 +148,36 @@ def test_spans_of_more_than_sixty_sentences(spark):
     led = mining.lead_up(F.col("s"), F.struct(F.lit(200).alias("lo"), F.lit(299).alias("hi")), F.lit(20100), 45000)
     r = d.select(grown.alias("a"), cut.alias("b"), led.alias("c")).first()
     assert (tuple(r.a), tuple(r.b), r.c) == ((100, 299), (150, 249), 176)
+
+
+def test_lines_are_timed_across_blocks(spark):
+    from chronoweave.plans.views import BLOCK, timed_lines
+    n = 3 * BLOCK + 5
+    text = "\n".join(" ".join(["w"] * (1 + i % 4)) + ("\n \n" if i % 7 == 0 else "") for i in range(n))
+    got = spark.createDataFrame([(text,), ("",), ("\n \n",), (None,)], "t string").select(timed_lines(F.col("t")).alias("c")).collect()
+    w0, want = 0, []
+    for i in range(n):
+        k = 1 + i % 4
+        start = w0 * 400 + i * 900
+        want.append((i, start, start + k * 400, w0, k))
+        w0 += k
+    assert [tuple(c)[:5] for c in got[0].c] == want
+    assert [r.c for r in got[1:]] == [[], [], None]
+
+
+def test_clips_reach_the_end_of_a_transcript(spark, sf):
+    from chronoweave.plans import views
+    from chronoweave.plans.caption_plans import clip_words
+    last = views.words(spark, sf).groupBy("project_id").agg(F.max("t_ms").alias("t")).where("t > 3000")
+    seen = clip_words(spark, sf).groupBy("project_id").agg(F.max("t_ms").alias("s"))
+    assert last.join(seen, "project_id", "left").where("s IS NULL OR s <> t").count() == 0
+
+
+def test_update_mode_keeps_the_latest_batch(spark, tmp_path):
+    from chronoweave.streaming import jobs as sj
+    src = str(tmp_path / "in")
+    for part in ([(1, 1, "a"), (2, 5, "b")], [(1, 3, "c")], [(1, 2, "x"), (3, 1, "d")]):
+        spark.createDataFrame(part, "k long, rev long, s string").coalesce(1).write.mode("append").parquet(src)
+    log = spark.readStream.schema("k long, rev long, s string").option("maxFilesPerTrigger", 1).parquet(src)
+    out = sj.run_update(sj.latest_status(log, "k", "rev", ["s"]), ["k"])
+    assert sorted(map(tuple, out.collect())) == [(1, 3, "c"), (2, 5, "b"), (3, 1, "d")]
