@@ -167,13 +167,13 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return prints.join(member, "code").select("doc_id", "code", "component_id")
 
 
-def near_duplicates_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each group of near duplicates: the smallest doc_id's.
+def near_duplicates_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups=simhash_components) -> DataFrame:
+    """``docs``, all columns, with one document of each group of near duplicates that ``groups`` finds: the smallest doc_id's.
 
     Of rows equal in doc_id and text one stays; rows that share a doc_id but not the text are kept or
     dropped together. Rows with a null doc_id cannot be told apart and stay.
     """
-    keep = simhash_components(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    keep = groups(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     row = Window.partitionBy("__id", "__text").orderBy("__id")
     return (docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__text", F.xxhash64(text))
             .join(keep, F.col("__id") == F.col("__keep"), "left")

@@ -13,7 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from chronoweave.llm import common, decontamination, langid, lines, quality, queries, sentencepiece_codec, sharding, simhash, substrings, vectors, warc
+import corpus_pipeline
+from chronoweave.llm import common, decontamination, langid, lines, minhash, quality, queries, sentencepiece_codec, sharding, simhash, substrings, vectors, warc
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -113,6 +114,46 @@ def test_near_duplicates_removed_keeps_columns(spark):
     assert got == want
 
 
+def five_words(text):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+@pytest.mark.parametrize("node_rows", [8, 2048])
+def test_pipeline_near_dedup_reaches_jaccard(spark, node_rows):
+    """Random word changes on texts of every length: all pairs of five-word Jaccard 0.8 or more are linked, and none below."""
+    r = random.Random(12)
+    rows = list(ODD)
+    for k in range(60):
+        base = prose(900 + k, r.randrange(30, 400)).split()
+        rows.append((1000 + 10 * k, " ".join(base)))
+        for j in range(1, 4):
+            w = base[:]
+            for _ in range(max(1, int(len(w) * r.choice([0.005, 0.01, 0.015, 0.02, 0.03])))):
+                w[r.randrange(len(w))] = "edited"
+            rows.append((1000 + 10 * k + j, " ".join(w).upper() if j == 2 else " ".join(w)))
+    hub = prose(5000, 200).split()
+    rows += [(3000 + k, " ".join(hub[:3 * k] + ["edited"] + hub[3 * k + 1:])) for k in range(40)]
+    sets = [five_words(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    assert len(pairs) > 100 and sum(9 * len(sets[i] & sets[j]) < 4.25 * (len(sets[i]) + len(sets[j])) for i, j in pairs) > 10
+    low = {}
+    for k, (i, _) in zip(root := roots(len(rows), pairs), rows):
+        if i is not None:
+            low[k] = min(low.get(k, i), i)
+    got = minhash.jaccard_components(docs_of(spark, rows), node_rows=node_rows).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, low.get(k)) for k, (i, _) in zip(root, rows)), key=repr)
+    assert minhash.jaccard_components(docs_of(spark, ODD).limit(0)).count() == 0
+
+
+def test_pipeline_stage_drops_pairs_of_five_words(spark):
+    """A pair of five-word Jaccard of about 0.85, which 4 of 64 bits let through."""
+    base = [f"w{i}" for i in range(200)]
+    edit = base[:30] + ["x"] + base[31:90] + ["y"] + base[91:150] + ["z"] + base[151:]
+    out = corpus_pipeline.simhash_near_dedup(spark, docs_of(spark, [(1, " ".join(base)), (2, " ".join(edit))]), SMALL)
+    assert [r.doc_id for r in out.collect()] == [1]
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
