@@ -2,9 +2,10 @@
 
 Words become template tokens: numbers, units and names are typed slots, other
 words their lower-case form without outer marks. Windows of template tokens of
-the documents meet those of the benchmark in a hash join. Hits on one alignment
-(a diagonal of document against item) are checked for slot consistency: an item
-value must stand for one value of the document all along. A Bloom filter of a
+the documents meet those of the benchmark in a hash join, and so do windows of
+the lower-case words themselves, which no typing of slots can part. Hits on one
+alignment (a diagonal of document against item) are checked for slot consistency:
+an item value must stand for one value of the document all along. A Bloom filter of a
 fixed size, built from all benchmark windows, thins the document windows before
 the shuffle; it never loses one.
 """
@@ -33,6 +34,7 @@ sixty seventy eighty ninety hundred thousand million billion""".split())
 _NUMBER = re.compile(r"[-+]?[$€£]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th|%)?$")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
+RAW = 1 << 32  # seed of windows of words
 _CACHE = 400_000
 
 
@@ -68,44 +70,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(token: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(token: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hash of every window of ``width`` tokens."""
-    h = np.full(len(token) - width + 1, width, np.uint64)
+    h = np.full(len(token) - width + 1, width + seed, np.uint64)
     for j in range(width):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + token[j:len(token) - width + 1 + j])
     return h
 
 
 def _windows(width: int, bloom=None):
-    """Batches of ``id, no, h, kinds, vals``: template windows, those that pass the filter."""
+    """Batches of ``id, no, h, raw, kinds, vals``: windows of words, and template windows that have slots; those that pass the filter."""
 
     def emit(batches):
         words = _Words()
         for b in batches:
-            ids, nos, hs, kinds, vals = [], [], [], [], []
-            for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                token, kind, value = template(text or "", words)
-                if len(token) < width:
-                    continue
-                h, w = window_hashes(token, width), width
-                keep = np.lib.stride_tricks.sliding_window_view(kind == PLAIN, w).sum(axis=1) >= MIN_PLAIN
+            ids, nos, hs, raws, kinds, vals = [], [], [], [], [], []
+
+            def put(ident, h, keep, raw, kind, value):
                 keep = np.flatnonzero(keep if bloom is None else keep & _passes(bloom.value, h))
                 if len(keep):
                     ids.append(np.full(len(keep), ident))
                     nos.append(keep)
                     hs.append(h[keep])
-                    kinds.append(np.lib.stride_tricks.sliding_window_view(kind, w)[keep])
-                    vals.append(np.lib.stride_tricks.sliding_window_view(value, w)[keep])
+                    raws.append(np.full(len(keep), raw))
+                    kinds.append(np.lib.stride_tricks.sliding_window_view(kind, width)[keep])
+                    vals.append(np.lib.stride_tricks.sliding_window_view(value, width)[keep])
+
+            for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                token, kind, value = template(text or "", words)
+                if len(token) < width:
+                    continue
+                plain = np.lib.stride_tricks.sliding_window_view(kind == PLAIN, width).sum(axis=1)
+                put(ident, window_hashes(value, width, RAW), np.full(len(plain), True), True, kind, value)
+                if (plain < width).any():
+                    put(ident, window_hashes(token, width), (plain >= MIN_PLAIN) & (plain < width), False, kind, value)
             if ids:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(nos).astype(np.int64)), pa.array(np.concatenate(hs).view(np.int64)),
+                    pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(nos).astype(np.int64)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(raws)),
                     pa.array([bytes(r) for k in kinds for r in k], pa.binary()), pa.array([r.view(np.int64) for v in vals for r in v], pa.list_(pa.int64()))],
-                    ["id", "no", "h", "kinds", "vals"])
+                    ["id", "no", "h", "raw", "kinds", "vals"])
 
     return emit
 
 
-_SCHEMA = "id long, no long, h long, kinds binary, vals array<long>"
+_SCHEMA = "id long, no long, h long, raw boolean, kinds binary, vals array<long>"
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,38 +145,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
           width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
     """``doc_id, item_id, n_windows, n_matched, run_words, exact``: items that a document holds.
 
-    A window counts if at least two of its words are plain. An item is held if, on
-    one alignment with consistent slots, ``share`` of its windows or a run of
-    ``run`` words matches, at least half of the words plain. ``exact`` is whether
-    all slot values agree. Null or empty texts hold and are nothing, and an item
-    with fewer words than a window has no window to be found by. Rows with a null
-    id are left out; rows that share an id count as one document. Extra columns
-    are ignored.
+    A window matches word for word in any case or, if at least two of its words
+    are plain, as a template. An item is held if, on one alignment with consistent
+    slots, ``share`` of its windows or a run of ``run`` words matches; where words
+    differ, at least half of the words of its template windows are plain.
+    ``exact`` is whether all that matched is equal word for word. Null or empty
+    texts hold and are nothing, and an item with fewer words than a window has no
+    window to be found by. Rows with a null id are left out; rows that share an id
+    count as one document. Extra columns are ignored.
     """
     items = small_batches(benchmark).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null")
     held = stage(items.mapInArrow(_windows(width), _SCHEMA), "items")
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(held))
     found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null").mapInArrow(_windows(width, bloom), _SCHEMA)
-    size = held.groupBy(F.col("id").alias("item")).agg(F.count("*").alias("n_windows"))
-    hit = found.join(held.select("h", F.col("id").alias("item"), F.col("no").alias("item_no"), F.col("kinds").alias("item_kinds"), F.col("vals").alias("item_vals")), "h").where(
-        "kinds = item_kinds")
+    kind = "substr(hex({}), 2 * i + 1, 2)"
+    n_slots = F.expr(f"size(filter(sequence(0, {width - 1}), i -> {kind.format('item_kinds')} <> '00'))")
+    held = held.select("h", F.col("raw").alias("item_raw"), F.col("id").alias("item"), F.col("no").alias("item_no"), F.col("kinds").alias("item_kinds"), F.col("vals").alias("item_vals")).withColumn("n_slots", n_slots)
+    fit = F.col("n_slots") <= width - MIN_PLAIN  # may match as a template
+    size = held.where("item_raw").groupBy("item").agg(F.count("*").alias("n_windows"), F.count_if(fit).alias("n_fit"))
+    hit = found.join(held, "h").where("raw = item_raw and (raw or kinds = item_kinds)")
     # plain words must agree in value; slots give (item value, document value) pairs
-    slots = F.expr(f"""filter(transform(sequence(0, {width - 1}), i -> named_struct('p', item_no + i, 'k', conv(substr(hex(kinds), 2 * i + 1, 2), 16, 10), 'a', item_vals[i], 'b', vals[i])),
-                       s -> s.k <> '0')""")
-    plain = F.expr(f"forall(sequence(0, {width - 1}), i -> substr(hex(kinds), 2 * i + 1, 2) <> '00' or vals[i] = item_vals[i])")
-    hit = stage(hit.where(plain).select("id", "item", "item_no", "no", (F.col("no") - F.col("item_no")).alias("diagonal"), slots.alias("slots")), "hits")
+    slots = F.expr(f"""filter(transform(sequence(0, {width - 1}), i -> named_struct('p', item_no + i, 'k', conv({kind.format('kinds')}, 16, 10), 'a', item_vals[i], 'b', vals[i])),
+                       s -> not raw and s.k <> '0')""")
+    plain = F.expr(f"forall(sequence(0, {width - 1}), i -> not raw and {kind.format('kinds')} <> '00' or vals[i] = item_vals[i])")
+    hit = stage(hit.where(plain).select("id", "item", "item_no", "no", "raw", "n_slots", (F.col("no") - F.col("item_no")).alias("diagonal"), slots.alias("slots")), "hits")
     key = ["id", "item", "diagonal"]
-    pair = hit.select(*key, F.explode("slots").alias("s")).select(*key, "s.*").groupBy(*key, "k", "a").agg(F.count_distinct("b").alias("values"), F.max(F.col("a") != F.col("b")).alias("changed"))
-    broken = pair.groupBy(*key).agg(F.max("values").alias("values"), F.max("changed").alias("changed"))
-    step = Window.partitionBy(*key).orderBy("item_no")
-    runs = hit.select(*key, "item_no", F.size("slots").alias("n_slots")).distinct().withColumn("island", F.col("item_no") - F.row_number().over(step))
-    runs = runs.groupBy(*key, "island").agg(F.count("*").alias("n"), F.sum("n_slots").alias("n_slots"))
-    aligned = runs.groupBy(*key).agg(F.sum("n").alias("n_matched"), F.max("n").alias("longest"), F.sum("n_slots").alias("n_slots")).join(broken, key, "left").where(
-        F.coalesce("values", F.lit(1)) == 1).where(F.col("n_slots") * 2 <= F.col("n_matched") * width)
-    best = aligned.join(size, "item").where((F.col("n_matched") >= F.lit(share) * F.col("n_windows")) | (F.col("longest") + (width - 1) >= run))
+    pair = hit.select(*key, F.explode("slots").alias("s")).select(*key, "s.*").groupBy(*key, "k", "a").agg(F.count_distinct("b").alias("values"))
+    broken = pair.groupBy(*key).agg(F.max("values").alias("values"))
+    step, same = Window.partitionBy(*key).orderBy("item_no"), Window.partitionBy(*key, "raw").orderBy("item_no")
+    runs = hit.groupBy(*key, "item_no").agg(F.max("raw").alias("raw"), F.max("n_slots").alias("n_slots")).select(
+        "*", (F.col("item_no") - F.row_number().over(step)).alias("island"), (F.col("item_no") - F.row_number().over(same)).alias("copy"))
+    runs = runs.withColumn("in_run", F.count("*").over(Window.partitionBy(*key, "island"))).withColumn("in_copy", F.count("*").over(Window.partitionBy(*key, "raw", "copy")))
+    aligned = runs.groupBy(*key).agg(
+        F.count("*").alias("n_matched"), F.max("in_run").alias("longest"), F.count_if("raw").alias("n_copied"), F.max(F.when(F.col("raw"), F.col("in_copy"))).alias("copied"),
+        F.count_if(fit).alias("n_fitting"), F.sum(F.when(fit, F.col("n_slots"))).alias("n_slots")).join(broken, key, "left").join(size, "item")
+    enough = lambda n, of, longest: (F.col(n) >= F.lit(share) * F.col(of)) | (F.col(longest) + (width - 1) >= run)
+    consistent = F.coalesce("values", F.lit(1)) == 1
+    copied = F.coalesce(enough("n_copied", "n_windows", "copied"), F.lit(False))
+    alike = (F.col("n_slots") * 2 <= F.col("n_fitting") * width) & (
+        enough("n_matched", "n_windows", "longest") | (F.col("n_fit") > 0) & (F.col("n_fitting") >= F.lit(share) * F.col("n_fit")))
+    best = aligned.where(consistent & (copied | F.coalesce(alike, F.lit(False))))
     return best.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(
         F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.max(F.col("longest") + (width - 1)).alias("run_words"),
-        F.max(~F.coalesce("changed", F.lit(False))).alias("exact"))
+        F.max(F.col("n_copied") == F.col("n_matched")).alias("exact"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

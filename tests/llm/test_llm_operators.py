@@ -378,6 +378,18 @@ def test_decontamination_cases(spark):
     assert decontamination.leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+NAMED = "What did Marie Curie and Pierre Curie discover in Paris after Henri Becquerel of France wrote to Lord Kelvin about Radium"
+
+
+def test_decontamination_needs_no_name_typing(spark):
+    """Copies are found in any case, inside a sentence, and whatever their words are typed."""
+    bench = spark.createDataFrame([(1, "Who wrote Pride and Prejudice in 1813?"), (2, NAMED)], "item_id long, text string")
+    rows = [(1, FILL + "he then asked Who wrote Pride and Prejudice in 1813? " + FILL), (2, FILL + NAMED.lower() + " " + FILL), (3, FILL + NAMED.upper() + " " + FILL),
+            (4, FILL + NAMED.title() + " " + FILL), (5, FILL * 2), (6, FILL + "Who wrote Pride and other books " + FILL)]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontamination.leaks(docs_of(spark, rows), bench).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (3, 2): True, (4, 2): True}
+
+
 def got_ids(spark, rows, bench):
     return {(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, rows), bench).collect()}
 
