@@ -78,15 +78,18 @@ def window_hashes(token: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return h
 
 
-def _windows(width: int, bloom=None):
-    """Batches of ``id, no, h, raw, kinds, vals``: windows of words, and template windows that have slots; those that pass the filter."""
+def _windows(width: int, bloom=None, short: tuple[int, ...] = ()):
+    """Batches of ``id, no, h, raw, kinds, vals``: windows of words, and template windows that have slots; those that pass the filter.
+
+    Items (without a filter) of a length in ``short`` are one window; documents give their windows of these lengths.
+    """
 
     def emit(batches):
         words = _Words()
         for b in batches:
             ids, nos, hs, raws, kinds, vals = [], [], [], [], [], []
 
-            def put(ident, h, keep, raw, kind, value):
+            def put(ident, h, keep, raw, kind, value, width=width):
                 keep = np.flatnonzero(keep if bloom is None else keep & _passes(bloom.value, h))
                 if len(keep):
                     ids.append(np.full(len(keep), ident))
@@ -98,6 +101,9 @@ def _windows(width: int, bloom=None):
 
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 token, kind, value = template(text or "", words)
+                for w in short:
+                    if len(token) == w or bloom is not None and len(token) > w:
+                        put(ident, window_hashes(value, w, RAW), np.full(len(token) - w + 1, True), True, kind, value, w)
                 if len(token) < width:
                     continue
                 plain = np.lib.stride_tricks.sliding_window_view(kind == PLAIN, width).sum(axis=1)
@@ -142,7 +148,7 @@ def bloom_of(windows: DataFrame) -> np.ndarray:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-          width: int = WIDTH, share: float = SHARE, run: int = RUN) -> DataFrame:
+          width: int = WIDTH, share: float = SHARE, run: int = RUN, copies: bool = False) -> DataFrame:
     """``doc_id, item_id, n_windows, n_matched, run_words, exact``: items that a document holds.
 
     A window matches word for word in any case or, if at least two of its words
@@ -150,25 +156,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     slots, ``share`` of its windows or a run of ``run`` words matches; where words
     differ, at least half of the words of its template windows are plain.
     ``exact`` is whether all that matched is equal word for word. Null or empty
-    texts hold and are nothing, and an item with fewer words than a window has no
-    window to be found by. Rows with a null id are left out; rows that share an id
-    count as one document. Extra columns are ignored.
+    texts hold and are nothing. An item with fewer words than a window is found by
+    its whole word sequence with ``copies``, else not at all. Rows with a null id
+    are left out; rows that share an id count as one document. Extra columns are ignored.
     """
     items = small_batches(benchmark).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null")
-    held = stage(items.mapInArrow(_windows(width), _SCHEMA), "items")
+    held = stage(items.mapInArrow(_windows(width, None, tuple(range(1, width)) if copies else ()), _SCHEMA), "items")
+    span = F.size("vals").alias("span")
+    short = tuple(r.span for r in held.select(span).where(F.col("span") < width).distinct().orderBy("span").collect())  # fewer than width numbers
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(held))
-    found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null").mapInArrow(_windows(width, bloom), _SCHEMA)
+    found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null").mapInArrow(_windows(width, bloom, short), _SCHEMA)
     kind = "substr(hex({}), 2 * i + 1, 2)"
-    n_slots = F.expr(f"size(filter(sequence(0, {width - 1}), i -> {kind.format('item_kinds')} <> '00'))")
-    held = held.select("h", F.col("raw").alias("item_raw"), F.col("id").alias("item"), F.col("no").alias("item_no"), F.col("kinds").alias("item_kinds"), F.col("vals").alias("item_vals")).withColumn("n_slots", n_slots)
-    fit = F.col("n_slots") <= width - MIN_PLAIN  # may match as a template
-    size = held.where("item_raw").groupBy("item").agg(F.count("*").alias("n_windows"), F.count_if(fit).alias("n_fit"))
-    hit = found.join(held, "h").where("raw = item_raw and (raw or kinds = item_kinds)")
+    n_slots = F.expr(f"size(filter(sequence(0, size(item_vals) - 1), i -> {kind.format('item_kinds')} <> '00'))")
+    held = held.select("h", F.col("raw").alias("item_raw"), F.col("id").alias("item"), F.col("no").alias("item_no"), F.col("kinds").alias("item_kinds"), F.col("vals").alias("item_vals"), span).withColumn("n_slots", n_slots)
+    fit = (F.col("span") == width) & (F.col("n_slots") <= width - MIN_PLAIN)  # may match as a template
+    size = held.where("item_raw").groupBy("item").agg(F.count("*").alias("n_windows"), F.count_if(fit).alias("n_fit"), F.max("span").alias("span"))
+    hit = found.join(held, "h").where("raw = item_raw and size(vals) = span and (raw or kinds = item_kinds)")
     # plain words must agree in value; slots give (item value, document value) pairs
-    slots = F.expr(f"""filter(transform(sequence(0, {width - 1}), i -> named_struct('p', item_no + i, 'k', conv({kind.format('kinds')}, 16, 10), 'a', item_vals[i], 'b', vals[i])),
+    slots = F.expr(f"""filter(transform(sequence(0, size(vals) - 1), i -> named_struct('p', item_no + i, 'k', conv({kind.format('kinds')}, 16, 10), 'a', item_vals[i], 'b', vals[i])),
                        s -> not raw and s.k <> '0')""")
-    plain = F.expr(f"forall(sequence(0, {width - 1}), i -> not raw and {kind.format('kinds')} <> '00' or vals[i] = item_vals[i])")
-    hit = stage(hit.where(plain).select("id", "item", "item_no", "no", "raw", "n_slots", (F.col("no") - F.col("item_no")).alias("diagonal"), slots.alias("slots")), "hits")
+    plain = F.expr(f"forall(sequence(0, size(vals) - 1), i -> not raw and {kind.format('kinds')} <> '00' or vals[i] = item_vals[i])")
+    hit = stage(hit.where(plain).select("id", "item", "item_no", "no", "raw", F.when(fit, F.col("n_slots")).alias("n_slots"), (F.col("no") - F.col("item_no")).alias("diagonal"), slots.alias("slots")), "hits")
     key = ["id", "item", "diagonal"]
     pair = hit.select(*key, F.explode("slots").alias("s")).select(*key, "s.*").groupBy(*key, "k", "a").agg(F.count_distinct("b").alias("values"))
     broken = pair.groupBy(*key).agg(F.max("values").alias("values"))
@@ -178,19 +186,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     runs = runs.withColumn("in_run", F.count("*").over(Window.partitionBy(*key, "island"))).withColumn("in_copy", F.count("*").over(Window.partitionBy(*key, "raw", "copy")))
     aligned = runs.groupBy(*key).agg(
         F.count("*").alias("n_matched"), F.max("in_run").alias("longest"), F.count_if("raw").alias("n_copied"), F.max(F.when(F.col("raw"), F.col("in_copy"))).alias("copied"),
-        F.count_if(fit).alias("n_fitting"), F.sum(F.when(fit, F.col("n_slots"))).alias("n_slots")).join(broken, key, "left").join(size, "item")
-    enough = lambda n, of, longest: (F.col(n) >= F.lit(share) * F.col(of)) | (F.col(longest) + (width - 1) >= run)
+        F.count("n_slots").alias("n_fitting"), F.sum("n_slots").alias("n_slots")).join(broken, key, "left").join(size, "item")
+    enough = lambda n, of, longest: (F.col(n) >= F.lit(share) * F.col(of)) | (F.col(longest) + F.col("span") - 1 >= run)
     consistent = F.coalesce("values", F.lit(1)) == 1
     copied = F.coalesce(enough("n_copied", "n_windows", "copied"), F.lit(False))
     alike = (F.col("n_slots") * 2 <= F.col("n_fitting") * width) & (
         enough("n_matched", "n_windows", "longest") | (F.col("n_fit") > 0) & (F.col("n_fitting") >= F.lit(share) * F.col("n_fit")))
     best = aligned.where(consistent & (copied | F.coalesce(alike, F.lit(False))))
     return best.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(
-        F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.max(F.col("longest") + (width - 1)).alias("run_words"),
+        F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.max(F.col("longest") + F.col("span") - 1).alias("run_words"),
         F.max(F.col("n_copied") == F.col("n_matched")).alias("exact"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``, all columns, without the documents that hold a benchmark item; rows with a null id stay."""
-    bad = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__bad")).distinct()
+def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", copies: bool = False) -> DataFrame:
+    """``docs``, all columns, without the documents that hold a benchmark item as in ``leaks``; rows with a null id stay."""
+    bad = leaks(docs, benchmark, doc_id, text, copies=copies).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, F.col(doc_id).cast("long") == F.col("__bad"), "left_anti")

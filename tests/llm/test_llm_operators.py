@@ -390,6 +390,24 @@ def test_decontamination_needs_no_name_typing(spark):
     assert got == {(1, 1): True, (2, 2): True, (3, 2): True, (4, 2): True}
 
 
+def test_decontamination_of_items_dense_in_slots(spark):
+    """Items of numbers, units and names only are found as copies, and not as templates."""
+    dense = "12 km 30 miles 7 hours 45 minutes 3 kg 9 dollars 16 cm"
+    bench = spark.createDataFrame([(1, dense), (2, "3 4 5 6 7 plus 8 9"), (3, "total 12 km 30 miles 7 hours 45 minutes 3 kg equals 8")], "item_id long, text string")
+    rows = [(1, FILL + dense + " " + FILL), (2, FILL + "3 4 5 6 7 plus 8 9 " + FILL), (3, FILL + "99 km 88 miles 77 hours 66 minutes 55 kg 44 dollars 33 cm " + FILL),
+            (4, FILL + "total 12 km 30 miles 7 hours 45 minutes 3 kg equals 8 " + FILL)]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontamination.leaks(docs_of(spark, rows), bench).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (4, 3): True}
+
+
+def test_decontamination_of_items_shorter_than_a_window(spark):
+    bench = spark.createDataFrame([(1, "Tiny Item here"), (2, "zebra"), (3, "four words and 7"), (4, "")], "item_id long, text string")
+    rows = [(1, FILL + "tiny item, here " + FILL), (2, "Zebra"), (3, FILL + "four words and 8 " + FILL), (4, FILL + "four words and 7"), (5, "tiny item"), (6, FILL + "tiny zebra item here " + FILL)]
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.run_words, r.exact) for r in decontamination.leaks(docs_of(spark, rows), bench, copies=True).collect()}
+    assert got == {(1, 1): (1, 3, True), (2, 2): (1, 1, True), (4, 3): (1, 4, True), (6, 2): (1, 1, True)}
+    assert {r.doc_id for r in decontamination.decontaminated(docs_of(spark, rows), bench, copies=True).collect()} == {3, 5}
+
+
 def got_ids(spark, rows, bench):
     return {(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, rows), bench).collect()}
 
