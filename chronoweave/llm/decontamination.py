@@ -154,7 +154,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     A window matches word for word in any case or, if at least two of its words
     are plain, as a template. An item is held if, on one alignment with consistent
     slots, ``share`` of its windows or a run of ``run`` words matches; where words
-    differ, at least half of the words of its template windows are plain.
+    differ, at least half of the words of its template windows are plain. With
+    ``copies`` such a share or run of windows equal word for word is enough,
+    whatever slots elsewhere on the alignment say.
     ``exact`` is whether all that matched is equal word for word. Null or empty
     texts hold and are nothing. An item with fewer words than a window is found by
     its whole word sequence with ``copies``, else not at all. Rows with a null id
@@ -192,7 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     copied = F.coalesce(enough("n_copied", "n_windows", "copied"), F.lit(False))
     alike = (F.col("n_slots") * 2 <= F.col("n_fitting") * width) & (
         enough("n_matched", "n_windows", "longest") | (F.col("n_fit") > 0) & (F.col("n_fitting") >= F.lit(share) * F.col("n_fit")))
-    best = aligned.where(consistent & (copied | F.coalesce(alike, F.lit(False))))
+    best = aligned.where(copied & (consistent | F.lit(copies)) | consistent & F.coalesce(alike, F.lit(False)))
     return best.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(
         F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.max(F.col("longest") + F.col("span") - 1).alias("run_words"),
         F.max(F.col("n_copied") == F.col("n_matched")).alias("exact"))

@@ -408,6 +408,16 @@ def test_decontamination_of_items_shorter_than_a_window(spark):
     assert {r.doc_id for r in decontamination.decontaminated(docs_of(spark, rows), bench, copies=True).collect()} == {3, 5}
 
 
+def test_decontamination_of_edited_copies(spark):
+    """With ``copies`` one edited unit, number or name does not hide a copy; a few equal words with inconsistent slots are none."""
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    edits = [ITEM.replace("dollars each", "euros each"), ITEM.replace("4 dollars", "7 euros"), ITEM.replace("30 dollars", "30 euros")]
+    mixed = ITEM.replace("12", "48").replace("30 dollars", "99 euros").replace(" 5 ", " 6 ").replace(" 4 ", " 3 ").replace("Alice", "Maria").replace("Robert", "Felix")
+    rows = [(i, FILL + t + ". " + FILL) for i, t in enumerate([*edits, mixed])]
+    got = {r.doc_id: r.exact for r in decontamination.leaks(docs_of(spark, rows), bench, copies=True).collect()}
+    assert set(got) == {0, 1, 2}
+
+
 def got_ids(spark, rows, bench):
     return {(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, rows), bench).collect()}
 
