@@ -14,10 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import small_batches, text_bytes
+from chronoweave.operators.staging import stage
 
 SYMBOLS, WINDOW, FILTERS, WIDTHS = 64, 160, 12, (2, 3, 4)
 TEXTS_PER_LANG, WINDOWS_PER_TEXT, EPOCHS, RATE = 400, 4, 10, 0.01
@@ -136,18 +138,34 @@ def window_probabilities(net: Network, tables, grid: np.ndarray) -> np.ndarray:
     return out
 
 
+def _draw(batches):
+    """Of every text the windows with a letter whose hashes are smallest, in their order."""
+    for b in batches:
+        out = []
+        for h, t in zip(b.column("h").to_pylist(), text_bytes(b.column("text"))):
+            cut = [t[k:k + WINDOW] for k in range(0, len(t), WINDOW)]
+            with_letter = [i for i, w in enumerate(cut) if _LETTER.search(w.decode("utf-8", "ignore"))]
+            rank = lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), h % 2**64)  # noqa: B023, E731
+            out.append([cut[i] for i in sorted(sorted(with_letter, key=rank)[:WINDOWS_PER_TEXT])])
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(out, pa.list_(pa.binary()))], ["lang", "h", "windows"])
+
+
 def fit(docs: DataFrame, use, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", texts_per_lang: int = TEXTS_PER_LANG) -> Network:
-    """Train on texts whose id passes ``use``: of every language the ``texts_per_lang`` with the smallest hash of id and text, their first windows.
+    """Train on texts whose id passes ``use``: of every language the ``texts_per_lang`` with the smallest hash of id and text.
 
-    Texts without a language or a letter are left out; without any, the network knows no language.
+    Of each such text ``WINDOWS_PER_TEXT`` windows are drawn by hash from all its windows that hold a letter.
+    Texts without a language or a letter are left out, repeated rows count once; without any text, the network knows no language.
     """
-    rows = docs.where(use(F.col(doc_id))).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.substring(text, 1, WINDOW * WINDOWS_PER_TEXT).alias("text"), F.xxhash64(doc_id, text).alias("h")).where(F.col("text").rlike(r"\p{L}"))
-    picked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= texts_per_lang)
-    got = picked.select("lang", "text", "h").orderBy("lang", "h", "text").toArrow()  # at most texts_per_lang rows a language
-    names = got.column("lang").to_pylist()
+    rows = docs.where(use(F.col(doc_id))).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("h"))
+    ranked = rows.select("lang", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    picked = stage(ranked.where(F.col("rank") <= texts_per_lang).select("lang", "h"), "picked")
+    drawn = small_batches(rows.join(F.broadcast(picked), ["lang", "h"])).select("lang", "h", "text").mapInArrow(_draw, "lang string, h long, windows array<binary>")
+    got = drawn.orderBy("lang", "h").toArrow().to_pylist()  # at most texts_per_lang texts a language, a few windows each
+    got = [r for r, last in zip(got, [None, *got]) if last is None or (r["lang"], r["h"]) != (last["lang"], last["h"])]
+    names = [r["lang"] for r in got for _ in r["windows"]]
     langs = sorted(set(names))
-    grid, owner = windows_of([t[:WINDOW * WINDOWS_PER_TEXT] for t in text_bytes(got.column("text"))])
+    grid, owner = windows_of([w for r in got for w in r["windows"]])
     if not langs:
         return Network([], {}, {}, np.zeros((0, 0)), np.zeros(0))
     place = {k: i for i, k in enumerate(langs)}

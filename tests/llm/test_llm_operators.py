@@ -272,6 +272,20 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in langid.with_language(docs_of(spark, ODD), none).collect()} == {"und"}
 
 
+def test_language_learns_from_whole_texts(spark):
+    """Languages whose texts open with one shared header, or with numbers, are learned from their bodies."""
+    r = random.Random(6)
+    words = {"en": "the house and with garden river this that people there".split(), "de": "und das haus nicht mit garten fluss diese leute dort".split(),
+             "fr": "une maison avec jardin rivière cette gens est dans nous".split()}
+    body = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    head = {"en": "all rights reserved terms of service apply " * 20, "de": "all rights reserved terms of service apply " * 20, "fr": "0123 456 " * 90}
+    rows = [(i, head[k] + body(k, 300), k) for i, k in enumerate(list(words) * 30)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lambda c: c.isNotNull())
+    assert net.langs == ["de", "en", "fr"]
+    got = langid.with_language(spark.createDataFrame([(i, body(k, 40), k) for i, k in enumerate(list(words) * 10)], "doc_id long, text string, lang string"), net).collect()
+    assert np.mean([x.lang == x.lang_pred for x in got]) > 0.95
+
+
 def test_language_tables_equal_network():
     r = np.random.default_rng(0)
     grid, _ = langid.windows_of([bytes(r.integers(32, 255, 900, np.uint8)), b"", b"abc"])
