@@ -39,6 +39,15 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def ragged(lists: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """Arrays as a list column without a Python object per value; None gives null."""
+    sizes = np.array([0 if x is None else len(x) for x in lists], np.int64)
+    offsets = np.zeros(len(lists) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    flat = np.concatenate([x for x in lists if x is not None and len(x)]) if sizes.any() else np.zeros(0, kind.to_pandas_dtype())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind), mask=pa.array([x is None for x in lists], pa.bool_()))
+
+
 def fold_remainder(ident: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids give null."""
     return F.crc32(ident.cast("string").cast("binary")) % modulus

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import decontamination, langid, lines, quality, sentencepiece_codec, sharding, simhash, substrings, vectors, warc
+from chronoweave.llm import bpe, decontamination, langid, lines, quality, sentencepiece_codec, sharding, simhash, substrings, trie, vectors, warc, whitening
 from chronoweave.llm.common import fold_remainder
 
 QUALITY_CUT, SHARDS = 0.3, 40
@@ -74,9 +75,25 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = bpe.decoded(bpe.encoded(docs, file).drop("text"), file)
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_line_dedup, op3_quality_classifier, op4_warc_normaliser, op5_sentencepiece, op6_decontamination,
-    op7_sharding, op8_embedding_near_dedup, op9_language_id, op10_suffix_array_dedup)}
+    op7_sharding, op8_embedding_near_dedup, op9_language_id, op10_suffix_array_dedup, op11_embedding_whitening, op12_byte_pair_encoding, op13_conversation_trie)}
 
 ORACLES = {
     "op2_line_dedup": """
@@ -96,6 +113,23 @@ SELECT page_id, payload_bytes,
          1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
 FROM s""",
+    "op13_conversation_trie": """
+WITH c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+       lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))) AS crc
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+h AS (SELECT conv_id, base, xor(crc, 4294967295) % 6 AS h FROM c),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS no,
+       {'r': coalesce(role, ''), 't': coalesce(text, '')} AS m FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(m ORDER BY no) AS ms FROM o GROUP BY conv_id),
+b AS (SELECT h.conv_id, list_concat(coalesce(list_slice(f.ms, 1, h.h), []), list_slice(l.ms, h.h + 1, len(l.ms))) AS ms FROM h JOIN l USING (conv_id) LEFT JOIN l f ON f.conv_id = h.base),
+p AS (SELECT conv_id, ms, unnest(generate_series(0, len(ms))) AS d FROM b),
+k AS (SELECT conv_id, d, list_slice(ms, 1, d) AS k, d = len(ms) AS fin FROM p),
+n AS (SELECT k, any_value(d) AS d, min(conv_id) AS low, count(*) AS n, (count(*) - 1) * coalesce(length(any_value(k[d].t)), 0) AS own,
+       sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (fin), '')) AS ends FROM k GROUP BY k),
+q AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND list_slice(x.k, 1, n.d) = n.k) AS kids FROM n),
+s AS (SELECT a.k, sum(u.own) AS saved, count(*) FILTER (u.kids = 0) AS leaves FROM q a JOIN q u ON u.d >= a.d AND list_slice(u.k, 1, a.d) = a.k GROUP BY a.k)
+SELECT q.low AS conv_id, q.d::BIGINT AS depth, u.low AS parent_conv_id, q.n AS n_convs, q.kids AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, q.ends AS ends_sha256
+FROM q JOIN s USING (k) LEFT JOIN q u ON u.d = q.d - 1 AND u.k = list_slice(q.k, 1, q.d - 1)""",
     "op8_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
