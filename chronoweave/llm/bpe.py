@@ -23,12 +23,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import ragged, small_batches
+from chronoweave.llm.common import Remembered, ragged, small_batches
 
 # The pattern of byte-level models; white space is Unicode's own, without the control characters 1C to 1F.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _KNOWN, _LONG, _STREAMED = 300_000, 64, 1 << 20
-_NONE = 1 << 62
+_NONE, _FAN = 1 << 62, 5
 _LIVE: dict[str, Coder] = {}
 
 
@@ -42,75 +42,51 @@ def byte_alphabet() -> list[str]:
 def merged(symbols: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
     """Merge adjacent symbols, the leftmost pair of lowest rank first, until no pair has a rank.
 
-    ``merges`` maps ``left << 32 | right`` to ``(rank, symbol)``.
+    ``merges`` maps ``left << 32 | right`` to ``(rank, symbol)``. A node of the segment tree has
+    up to ``1 << _FAN`` children, so that a short word's tree is its leaves and a root.
     """
     n = len(symbols)
     if n < 2:
         return symbols
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [_NONE] * (2 * size)
+    get = merges.get
+    leaves = [_NONE] * (n - 1)
     for i in range(n - 1):
-        found = merges.get(symbols[i] << 32 | symbols[i + 1])
-        if found:
-            tree[size + i] = found[0] << 32 | i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-
-    def put(leaf: int, value: int) -> None:
-        k = size + leaf
-        tree[k] = value
-        while k > 1:
-            k >>= 1
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                break
-            tree[k] = low
-
+        if found := get(symbols[i] << 32 | symbols[i + 1]):
+            leaves[i] = found[0] << 32 | i
+    levels = [leaves]
+    while len(levels[-1]) > 1 << _FAN:
+        down = levels[-1]
+        levels.append([min(down[k:k + (1 << _FAN)]) for k in range(0, len(down), 1 << _FAN)])
+    top, deep = levels[-1], len(levels) > 1
     symbols = list(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (low := tree[1]) != _NONE:
+    while (low := min(top)) != _NONE:
         i = low & 0xFFFFFFFF
         j = after[i]
-        symbols[i] = merges[symbols[i] << 32 | symbols[j]][1]
-        symbols[j] = -1
+        new = merges[symbols[i] << 32 | symbols[j]][1]
+        symbols[i], symbols[j] = new, -1
         k = after[i] = after[j]
+        h = before[i]
         if j < n - 1:
-            put(j, _NONE)
+            leaves[j] = _NONE
         if k < n:
             before[k] = i
-            found = merges.get(symbols[i] << 32 | symbols[k])
-            put(i, found[0] << 32 | i if found else _NONE)
+            leaves[i] = found[0] << 32 | i if (found := get(new << 32 | symbols[k])) else _NONE
         else:
-            put(i, _NONE)
-        h = before[i]
+            leaves[i] = _NONE
         if h >= 0:
-            found = merges.get(symbols[h] << 32 | symbols[i])
-            put(h, found[0] << 32 | h if found else _NONE)
+            leaves[h] = found[0] << 32 | h if (found := get(symbols[h] << 32 | new)) else _NONE
+        if deep:
+            for leaf in (i, min(j, n - 2), max(h, 0)):
+                for down, up in zip(levels, levels[1:]):
+                    leaf >>= _FAN
+                    least = min(down[leaf << _FAN:(leaf + 1) << _FAN])
+                    if up[leaf] == least:
+                        break
+                    up[leaf] = least
     return [s for s in symbols if s >= 0]
 
 
-class Words(dict):
-    """Word to ids in two generations: when the young one is full it becomes the old one."""
-
-    def __init__(self, make, room: int, longest: int):
-        super().__init__()
-        self.make, self.room, self.longest, self.old = make, room, longest, {}
-
-    def __missing__(self, word):
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.make(word)
-            if len(word) > self.longest:
-                return ids
-        if len(self) >= self.room:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-
 class Coder:
     """Encoder and decoder of one tokenizer file."""
 
@@ -135,7 +111,7 @@ class Coder:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.raw[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words = Words(self.word, _KNOWN, _LONG)
+        self.words = Remembered(self.word, _KNOWN, _LONG)
 
     def word(self, word: str) -> tuple[int, ...]:
         first = self.first

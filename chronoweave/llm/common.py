@@ -39,6 +39,29 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+class Remembered(dict):
+    """Word to what ``make`` gives for it, in two generations of ``room`` words: a full young one becomes the old one.
+
+    Words of more than ``longest`` characters are made anew each time.
+    """
+
+    def __init__(self, make, room: int, longest: int):
+        super().__init__()
+        self.make, self.room, self.longest, self.old = make, room, longest, {}
+
+    def __missing__(self, word):
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+            if len(word) > self.longest:
+                return ids
+        if len(self) >= self.room:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 def ragged(lists: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
     """Arrays as a list column without a Python object per value; None gives null."""
     sizes = np.array([0 if x is None else len(x) for x in lists], np.int64)

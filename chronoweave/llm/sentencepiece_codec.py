@@ -8,18 +8,21 @@ Characters that no piece covers become byte pieces (or the unknown piece).
 A unigram model's log-probabilities are used as they are. A merge model stores
 minus its merge rank, which is no probability; by default a piece of rank r gets
 the Zipf log-probability ``-log(r + ZIPF_SHIFT)``, so that few frequent pieces
-win. Segmentations therefore differ from merge order in places; decoding gives
+win. Scores are rounded to multiples of ``1 / GRID``, so sums are exact and ties do not
+depend on how a text is cut. Segmentations therefore differ from merge order in places; decoding gives
 the text back either way.
 
 Where no piece has a word mark after another character, a text falls into chunks
-(word marks, then others) that no piece crosses and whose best paths are
-independent. Chunks seen before are looked up.
+(word marks, then others; line ends and the like, which are in no piece, stand alone)
+that no piece crosses and whose best paths are independent. Chunks seen before are
+looked up.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,13 +32,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import small_batches
+from chronoweave.llm.common import Remembered, ragged, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 ZIPF_SHIFT = 3.0
 BYTE_COST = 14.0
-_CACHE = 300_000
+GRID = 2.0**20
+_KNOWN, _LONG, _STREAMED = 300_000, 64, 1 << 20
 _LIVE: dict[str, Codec] = {}
 
 
@@ -59,35 +63,36 @@ class Codec:
             s = scores[i]
             if merges:
                 s = -math.log((-s if s > -1e8 else 1.0) + ZIPF_SHIFT)
-            self.auto.add_word(self.pieces[i], (len(self.pieces[i]), s, i))
+            self.auto.add_word(self.pieces[i], (len(self.pieces[i]), round(s * GRID) / GRID, i))
         self.auto.make_automaton()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else self.pieces[i].encode() for i in range(size)]
+        self.bare = Remembered(lambda c: BYTE_COST * (len(c.encode()) if self.byte_ids else 1), 10_000, 1)
+        self.known = Remembered(lambda chunk: self.best_path(chunk)[0], _KNOWN, _LONG)
         crossed = any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in normal)
-        self.split = re.compile("(?s:.+)" if crossed else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        letters = set().union(*(self.pieces[i] for i in normal))
+        lone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in letters and chr(c) != " "))  # in no piece: always bytes
+        apart = f"|[{lone}]+" if lone else ""
+        self.split = re.compile("(?s:.+)" if crossed else f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+{apart}")
 
     def best_path(self, chunk: str) -> tuple[tuple[int, ...], float]:
         """Ids and score of the best segmentation; ties go to the longer last piece."""
-        n = len(chunk)
+        n, bare = len(chunk), self.bare
         score, back, piece = [0.0] + [-math.inf] * n, [0] * (n + 1), [-1] * (n + 1)
-        done = 0
-
-        def settle(to: int) -> None:
-            # positions up to ``to`` are final: those without a piece take one character as bytes or unknown
-            nonlocal done
-            for e in range(done + 1, to + 1):
-                cost = score[e - 1] - BYTE_COST * (len(chunk[e - 1].encode()) if self.byte_ids else 1)
-                if cost > score[e]:
-                    score[e], back[e], piece[e] = cost, e - 1, -1
-            done = to
-
-        for last, (length, s, ident) in self.auto.iter(chunk):
-            end = last + 1
-            if end - 1 > done:
-                settle(end - 1)
+        done = 0  # positions up to here are final: those without a better piece take one character as bytes or unknown
+        for end, (length, s, ident) in self.auto.iter(chunk):
+            while done < end:
+                cost = score[done] - bare[chunk[done]]
+                done += 1
+                if cost > score[done]:
+                    score[done], back[done], piece[done] = cost, done - 1, -1
+            end += 1
             new = score[end - length] + s
             if new > score[end] or (new == score[end] and length > end - back[end]):
                 score[end], back[end], piece[end] = new, end - length, ident
-        settle(n)
+        for e in range(done + 1, n + 1):
+            cost = score[e - 1] - bare[chunk[e - 1]]
+            if cost > score[e]:
+                score[e], back[e], piece[e] = cost, e - 1, -1
         out: list[int] = []
         at = n
         while at:
@@ -104,34 +109,12 @@ class Codec:
         if not text:
             return np.zeros(0, np.int32)
         body = (" " + text if self.prefix else text).replace(" ", MARK)
-        cache, out = self.cache, []
-        for chunk in self.split.findall(body):
-            ids = cache.get(chunk)
-            if ids is None:
-                ids = self.best_path(chunk)[0]
-                if len(cache) >= _CACHE:
-                    cache.clear()
-                if len(chunk) < 64:
-                    cache[chunk] = ids
-            out += ids
-        return np.array(out, np.int32)
+        chunks = self.split.findall(body) if len(body) < _STREAMED else (m[0] for m in self.split.finditer(body))
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, chunks)), np.int32)
 
     def decode(self, ids) -> str:
         """Text of ids; bytes that are no UTF-8 are replaced."""
-        parts, raw = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                parts.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i not in self.silent:
-                parts.append(self.pieces[i])
-        if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -158,7 +141,7 @@ def encoded(docs: DataFrame, text: str = "text", out: str = "token_ids", model:
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
         c = _codec(name)
-        return pa.array([None if t is None else c.encode(t) for t in column.to_pylist()], pa.list_(pa.int32()))
+        return ragged([None if t is None else c.encode(t) for t in column.to_pylist()], pa.int32())
 
     return small_batches(docs).withColumn(out, run(F.col(text)))
 
@@ -187,7 +170,7 @@ def round_trips(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
             x = None if t is None else c.encode(t)
             ids.append(x)
             same.append(None if t is None else c.decode(x.tolist()) == t)
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["ids", "exact"])
+        return pa.StructArray.from_arrays([ragged(ids, pa.int32()), pa.array(same, pa.bool_())], ["ids", "exact"])
 
     out = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), run(F.col(text)).alias("r"))
     return out.select("doc_id", F.col("r.ids").alias("token_ids"), F.when(F.col("r.ids").isNotNull(), F.size("r.ids")).alias("n_tokens"), F.col("r.exact").alias("exact"))
