@@ -72,7 +72,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = substrings.remove_repeats(_read(spark, sf_dir, "documents"))
+    left = F.expr("make_valid_utf8(cast(kept AS string))")  # a cut may split a character
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", left.alias("text"))
 
 
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -565,7 +565,10 @@ def test_repeats_odd_rows(spark, limits):
 
 def test_repeats_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
-    assert sorted((tuple(r) for r in queries.op10_suffix_array_dedup(spark, SMALL).collect()), key=repr) == plain_repeats(rows, 400)
+    got = queries.op10_suffix_array_dedup(spark, SMALL).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == plain_repeats(rows, 400)
+    whole = [r for r in got if "\ufffd" not in r.text]  # else a cut split a character
+    assert len(whole) > len(got) / 2 and all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in whole)
     assert substrings.remove_repeats(docs_of(spark, ODD).limit(0)).count() == 0
 
 
