@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions.binding import let
 from chronoweave.operators import joins
 from chronoweave.operators.folds import collect_ordered
-from chronoweave.operators.scans import following, previous, running_sum, scan
+from chronoweave.operators.scans import Running, composed, following, previous, running_sum, scan
 from chronoweave.operators.staging import stage
 
 # Fixed values.
@@ -312,10 +312,20 @@ def time_share(indexed: DataFrame, key: str, value: Column, lo: int, hi: int) ->
     return g.select(key, pct(F.col("t") - F.col("l") - F.col("r")).alias("front"), pct(F.col("l")).alias("left"), pct(F.col("r")).alias("right"))
 
 
+def _kept_or(a: Column, b: Column) -> Column:
+    """Compose two steps "m stays if it is at least ``t``, else it becomes ``c``" (c < t)."""
+    return F.struct(F.greatest(a["t"], b["t"]).alias("t"), F.when(a["c"] >= b["t"], a["c"]).otherwise(b["c"]).alias("c"))
+
+
 def freeze_spans(indexed: DataFrame, holds: DataFrame, key: str, release_ms: int, bin_ms: float = float(DAY_MS)) -> DataFrame:
     """Hold the value of each span's first instant through it, then rejoin the path after the release or at the next cut.
 
-    ``holds``: key, hold_id, a, b - disjoint even with their release, so they do not interact.
+    ``holds``: key, hold_id, a, b; applied in order of (a, hold_id), each to the path that
+    those before have left. Where holds meet, one starts from what an earlier one shows:
+    the same value inside it, the glide back to the path on its release. That value is
+    linear in the earlier one's, and the last instant an earlier hold still shows is a
+    step function of the one before, so both compose and a chain of any length is cut
+    into buckets. Holds of less than 50 ms, after a cut has ended them, do nothing.
     """
     cuts = indexed.filter("cut").select(key, F.col("t_ms").alias("c"))
     h = joins.asof(holds, cuts, [key], "a", "c", [], DAY_MS, before=None, after="n", left_id="hold_id")
@@ -323,10 +333,29 @@ def freeze_spans(indexed: DataFrame, holds: DataFrame, key: str, release_ms: int
     h = h.withColumn("stop", F.when(on_cut, F.col("n.t") - 10).otherwise(F.col("b")))
     h = h.withColumn("resume", F.when(on_cut, F.col("n.t")).otherwise(F.least(F.col("stop") + release_ms, F.col("n.t")))).filter(F.col("stop") - F.col("a") >= 50)
     h = stage(h.select(key, "hold_id", "a", "stop", "resume"), "holds")
-    v = interpolate(h, indexed, [key], "a", "hold_id")
-    new = v.select(key, F.explode(F.array("a", "stop")).alias("t_ms"), F.col("value").alias("x"), F.lit(True).alias("held"))
-    kept = joins.points_in_spans(indexed.select(key, "t_ms", "x"), h, [key], "t_ms", F.col("a"), F.col("resume") - 1, bin_ms, how="left_anti")
-    return kept.withColumn("held", F.lit(False)).unionByName(new)
+    order, day = ["a", "hold_id"], F.floor(F.col("a") / DAY_MS)
+    n = stage(scan(h, [key], order, day, no=running_sum(F.lit(1).cast("long"), False), free=Running("max", F.col("resume"), False)), "holds")
+    few = F.floor(F.col("no") / 512)
+    n = composed(n, [key], ["no"], few, F.struct(F.col("resume").alias("t"), F.col("stop").alias("c")), _kept_or, "shown")
+    n = n.withColumn("shown", F.col("shown.c"))  # the last instant that holds before this one show
+    n = n.withColumn("from", F.greatest(F.col("a"), F.coalesce(F.col("free") - 1, F.col("a")))).withColumn("at", F.coalesce("shown", "a"))
+    path = indexed.select(key, "t_ms", "x", "shot")
+    n = joins.asof(n, path, [key], "a", "t_ms", ["x", "shot"], DAY_MS, before="p", after=None, left_id="hold_id")
+    n = joins.asof(n, path, [key], "from", "t_ms", ["x", "shot"], DAY_MS, before=None, after="q", left_id="hold_id")
+    n = joins.asof(n, cuts, [key], "at", "c", [], DAY_MS, before=None, after="k", left_id="hold_id")
+    glide = lambda t0, t1: (F.col("a") - t0) / (t1 - t0)
+    onto = F.col("q").isNotNull() & ~F.coalesce(F.col("k.t") <= F.col("q.t"), F.lit(False))  # no cut before the path is met again
+    u = F.when((F.col("a") > F.col("shown")) & onto, glide(F.col("shown"), F.col("q.t"))).otherwise(0.0)
+    own = F.col("shown").isNull() | ((F.col("a") > F.col("shown")) & F.coalesce(F.col("p.t") >= F.col("free"), F.lit(False)))
+    alone = F.when(F.col("p").isNull(), F.col("q.x")).when(F.col("q").isNull() | (F.col("q.shot") != F.col("p.shot")), F.col("p.x")).otherwise(
+        F.col("p.x") + (F.col("q.x") - F.col("p.x")) * glide(F.col("p.t"), F.col("q.t")))
+    v = affine_scan(n, [key], ["no"], few, F.when(own, 0.0).otherwise(1 - u), F.when(own, alone).otherwise(F.when(u > 0, u * F.col("q.x")).otherwise(0.0)), 0.0)
+    v = stage(n.join(v, [key, "no"]).select(key, "no", "a", "stop", "resume", F.col("value").alias("x")), "held")
+    new = v.select(key, "no", F.explode(F.array(F.struct(F.col("a").alias("t_ms"), F.lit(True).alias("first")), F.struct(F.col("stop").alias("t_ms"), F.lit(False).alias("first")))).alias("e"), "x")
+    new = new.select(key, F.col("no").alias("own"), "e.t_ms", "x")
+    new = joins.points_in_spans(new, v.select(key, "no", "a", "resume"), [key], "t_ms", F.col("a"), F.col("resume") - 1, bin_ms, how="left_anti", predicate=F.col("no") > F.col("own"))
+    kept = joins.points_in_spans(indexed.select(key, "t_ms", "x"), v.select(key, "a", "resume"), [key], "t_ms", F.col("a"), F.col("resume") - 1, bin_ms, how="left_anti")
+    return kept.withColumn("held", F.lit(False)).unionByName(new.select(key, "t_ms", "x", F.lit(True).alias("held")))
 
 
 def decimate(indexed: DataFrame, key: str, width: float, most: int) -> DataFrame:

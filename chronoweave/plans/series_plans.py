@@ -252,21 +252,20 @@ def q_time_share(spark, sf):
     return sr.time_share(indexed(spark, sf), K, F.col("x") / 245.0 - 1, 2 * DAY, 25 * DAY)
 
 
-@query("f25_freeze_spans", IX + """,
-  h0 AS (SELECT series_id, seq, t_ms AS a, x, row_number() OVER (PARTITION BY series_id ORDER BY t_ms, seq) AS rn FROM ix WHERE lane = 'signup'),
-  h1 AS (SELECT series_id, rn, a, x, TRUE AS keep, a + 28800000 AS last FROM h0 WHERE rn = 1
-    UNION ALL SELECT n.series_id, n.rn, n.a, n.x, n.a >= r.last, CASE WHEN n.a >= r.last THEN n.a + 28800000 ELSE r.last END FROM h1 r JOIN h0 n ON n.series_id = r.series_id AND n.rn = r.rn + 1),
-  ct AS (SELECT series_id, t_ms AS c FROM ix WHERE cut),
-  h2 AS (SELECT h.series_id, h.a, h.x, ct.c FROM (SELECT * FROM h1 WHERE keep) h ASOF LEFT JOIN ct ON ct.series_id = h.series_id AND ct.c > h.a),
-  h3 AS (SELECT *, CASE WHEN c <= a + 21600000 THEN c - 10 ELSE a + 21600000 END AS stop FROM h2),
-  h4 AS (SELECT *, CASE WHEN c <= a + 21600000 THEN c WHEN c IS NOT NULL THEN least(stop + 7200000, c) ELSE stop + 7200000 END AS resume FROM h3 WHERE stop - a >= 50)
-  SELECT series_id, t_ms, x, FALSE AS held FROM ix WHERE NOT EXISTS (SELECT 1 FROM h4 WHERE h4.series_id = ix.series_id AND ix.t_ms >= h4.a AND ix.t_ms <= h4.resume - 1)
-  UNION ALL SELECT series_id, a, x, TRUE FROM h4 UNION ALL SELECT series_id, stop, x, TRUE FROM h4""", "v_series")
+@query("f25_freeze_spans", IX + f""",
+  ct AS (SELECT series_id, list(t_ms ORDER BY t_ms) FILTER (WHERE cut) AS cs, list(struct_pack(t := t_ms, x := x, held := FALSE) ORDER BY t_ms, seq) AS ks FROM ix GROUP BY series_id),
+  h0 AS (SELECT ix.series_id, seq, t_ms AS a, list_filter(coalesce(cs, []), lambda c: c > t_ms)[1] AS c FROM ix JOIN ct ON ct.series_id = ix.series_id WHERE lane = 'signup'),
+  h1 AS (SELECT *, CASE WHEN c <= a + 21600000 THEN c - 10 ELSE a + 21600000 END AS stop FROM h0),
+  h2 AS (SELECT *, CASE WHEN c <= a + 21600000 THEN c WHEN c IS NOT NULL THEN least(stop + 7200000, c) ELSE stop + 7200000 END AS resume, row_number() OVER (PARTITION BY series_id ORDER BY a, seq) AS rn FROM h1 WHERE stop - a >= 50),
+  fo AS (SELECT series_id, 0 AS rn, coalesce(cs, []) AS cs, ks FROM ct
+    UNION ALL SELECT series_id, rn, cs, list_concat(list_concat(list_filter(ks, lambda k: k.t < a), [struct_pack(t := a, x := v, held := TRUE), struct_pack(t := stop, x := v, held := TRUE)]), list_filter(ks, lambda k: k.t >= resume AND k.t > stop)) FROM
+      (SELECT *, CASE WHEN p IS NULL THEN q.x WHEN q IS NULL OR len(list_filter(cs, lambda c: c > p.t AND c <= q.t)) > 0 THEN p.x ELSE p.x + (q.x - p.x) * (a - p.t) / (q.t - p.t) END AS v FROM
+        (SELECT fo.series_id, h2.rn, fo.cs, fo.ks, a, stop, resume, list_filter(fo.ks, lambda k: k.t <= a)[-1] AS p, list_filter(fo.ks, lambda k: k.t > a)[1] AS q FROM fo JOIN h2 ON h2.series_id = fo.series_id AND h2.rn = fo.rn + 1)))
+  SELECT series_id, k.t AS t_ms, {half_up_sql('k.x', 6)} AS x, k.held AS held FROM (SELECT series_id, unnest(arg_max(ks, rn)) AS k FROM fo GROUP BY series_id)""", "v_series")
 def q_freeze(spark, sf):
     ix = indexed(spark, sf)
-    h = ix.filter("lane = 'signup'").select(K, F.col("seq").alias("hold_id"), F.col("t_ms").alias("a"), (F.col("t_ms") + 6 * HOUR).alias("b"), (F.col("t_ms") + 8 * HOUR).alias("far"))
-    apart = stage(iv.drop_overlapping(h, [K], "a", "far", "hold_id", ["b"]), "holds")
-    return sr.freeze_spans(ix, apart.select(K, "hold_id", "a", "b"), K, 2 * HOUR)
+    h = ix.filter("lane = 'signup'").select(K, F.col("seq").alias("hold_id"), F.col("t_ms").alias("a"), (F.col("t_ms") + 6 * HOUR).alias("b"))
+    return sr.freeze_spans(ix, h, K, 2 * HOUR).withColumn("x", half_up(F.col("x"), 6))
 
 
 @query("f26_decimate_keep_jumps", IX + """,
