@@ -149,11 +149,11 @@ def theme_filter(raw: Column, allowed: list[str], cap: int = 3) -> Column:
     return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.lit(allowed[0]))))
 
 
-def raw_moments(sents: Column, per_chunk: int = 4) -> Column:
+def raw_moments(sents: Column) -> Column:
     """Deterministic stand-in for a scoring model: token statistics of a chunk's sentences.
 
-    The strongest sentences become peaks; each moment runs from two sentences
-    before its peak to one after, inside the chunk.
+    Every sentence is a peak, the strongest first, and its own peak line; its moment
+    runs from two sentences before it to one after, inside the chunk.
     """
     def score(s):
         n = F.size(F.split(s["text"], " "))
@@ -167,9 +167,9 @@ def raw_moments(sents: Column, per_chunk: int = 4) -> Column:
             scores = F.map_from_arrays(F.array(*[F.lit(a) for a in ("hook", "payoff", "quotability", "standalone")]), F.array(
                 F.least(F.lit(10.0), x["n"] / 3.0), -x["neg_payoff"], fluency_factor(x["text"]) * 10.0, F.when(dangling, 4.0).otherwise(9.0)))
             return F.struct(F.greatest(first, x["sent_no"] - 2).alias("start_id"), F.least(last, x["sent_no"] + 1).alias("end_id"), x["sent_no"].alias("peak_id"),
-                            F.array_join(F.slice(F.split(x["text"], " "), 1, 6), " ").alias("peak_line"), scores.alias("scores"))
+                            x["text"].alias("peak_line"), scores.alias("scores"))
 
-        return F.transform(F.slice(F.array_sort(F.transform(ss, score)), 1, per_chunk), moment)
+        return F.transform(F.array_sort(F.transform(ss, score)), moment)
 
     return let(sents, build)
 

@@ -42,10 +42,11 @@ def frame_change(frames: DataFrame, order: str, vec: str, threshold: float, buck
     return s.withColumn("diff", F.floor(total / F.size("v") * 1e6 + 0.5) / 1e6).select(order, "diff", F.coalesce(F.col("diff") > threshold, F.lit(False)).alias("cut"))
 
 
-def mark_cuts(frames: DataFrame, cuts: DataFrame, key: str, bin_ms: int, n: int) -> DataFrame:
-    """External cut times flag the first bin at or after them (never the first bin)."""
-    at = F.greatest(F.lit(1), F.least(F.lit(n - 1), F.ceil(F.col("t_ms") / bin_ms)))
-    c = cuts.select(key, at.cast("long").alias("i")).distinct().withColumn("__x", F.lit(True))
+def mark_cuts(frames: DataFrame, cuts: DataFrame, key: str, bin_ms: int) -> DataFrame:
+    """External cut times flag the first bin at or after them: never a series' first bin, nor one past its last."""
+    last = frames.groupBy(key).agg(F.max("i").alias("__last"))
+    at = F.greatest(F.lit(1), F.least(F.col("__last"), F.ceil(F.col("t_ms") / bin_ms)))
+    c = cuts.select(key, "t_ms").join(last, key).select(key, at.cast("long").alias("i")).distinct().withColumn("__x", F.lit(True))
     return frames.join(c, [key, "i"], "left").select(key, "i", (F.col("cut") | F.coalesce("__x", F.lit(False))).alias("cut"))
 
 
@@ -91,10 +92,10 @@ def assign_nearest_gated(series: DataFrame, seats: DataFrame, keys: list[str], x
     return j.withColumn("seat", F.col("__b.seat")).drop("__b", "seats")
 
 
-def seat_grid(assigned: DataFrame, seats: DataFrame, key: str, frame: str, frames: int, energy: str, pos: str) -> DataFrame:
-    """Dense (seat × frame) rows: loudest energy (0 when absent) and the last position seen in the frame."""
+def seat_grid(assigned: DataFrame, seats: DataFrame, ends: DataFrame, key: str, frame: str, energy: str, pos: str) -> DataFrame:
+    """Dense (seat × frame) rows up to the ``last`` frame that ``ends`` has for a series: loudest energy (0 when absent) and the last position seen in the frame."""
     a = assigned.groupBy(key, "seat", frame).agg(F.max(energy).alias("energy"), F.max_by(pos, F.struct(*ORDER)).alias("pos"))
-    g = seats.select(key, "seat", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long"))).alias(frame))
+    g = seats.join(ends, key).select(key, "seat", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias(frame))
     return g.join(a, [key, "seat", frame], "left").withColumn("energy", F.coalesce("energy", F.lit(0.0)))
 
 
@@ -273,11 +274,14 @@ def interpolate(points: DataFrame, indexed: DataFrame, key: list[str], t: str, p
     return hit.select(*points.columns, v.alias("value"))
 
 
-def gaussian_smooth(indexed: DataFrame, key: str, sigma_ms: int, step_ms: int, horizon: int) -> DataFrame:
-    """Time-weighted Gaussian over the interpolated path of the same shot, plus a settle row at its end."""
+def gaussian_smooth(indexed: DataFrame, key: str, sigma_ms: int, step_ms: int) -> DataFrame:
+    """Time-weighted Gaussian over the interpolated path of the same shot, plus a settle row at its end.
+
+    A shot ends where the next begins, the last one with its last row.
+    """
     reach = 3 * sigma_ms
     k = [key, "shot"]
-    ends = indexed.groupBy(*k).agg(F.min("t_ms").alias("s_from"), F.max(F.coalesce("next_t", F.lit(horizon))).alias("s_to"), F.max(F.struct(*ORDER)).alias("s_last"))
+    ends = indexed.groupBy(*k).agg(F.min("t_ms").alias("s_from"), F.max(F.coalesce("next_t", "t_ms")).alias("s_to"), F.max(F.struct(*ORDER)).alias("s_last"))
     base = indexed.select(*k, "seq", "t_ms", "x").join(ends, k)
     offs = F.sequence(F.lit(-reach), F.lit(reach), F.lit(step_ms))
     pts = base.select(*k, "seq", "t_ms", "s_from", "s_to", F.explode(offs).alias("dt")).withColumn("pt", F.col("t_ms") + F.col("dt"))
@@ -290,13 +294,13 @@ def gaussian_smooth(indexed: DataFrame, key: str, sigma_ms: int, step_ms: int, h
     return out.unionByName(rest.select(key, (F.col("t_ms") + reach).alias("t_ms"), F.col("x").alias("value"), F.lit(True).alias("settle")))
 
 
-def time_weighted_mean(indexed: DataFrame, key: str, horizon: int) -> DataFrame:
-    """Trapezoid mean per shot; the last value is held to the shot's end."""
+def time_weighted_mean(indexed: DataFrame, key: str) -> DataFrame:
+    """Trapezoid mean per shot; the last value is held to the shot's end (the next shot, or the series' last row). A shot without length has its first value."""
     nx = scan(indexed, [key], ORDER, _tb(), __n=following(F.struct("x", "shot")))
-    dt = (F.coalesce("next_t", F.lit(horizon)) - F.col("t_ms")).cast("double")
+    dt = (F.coalesce("next_t", "t_ms") - F.col("t_ms")).cast("double")
     y = F.when(F.col("__n.shot") == F.col("shot"), (F.col("x") + F.col("__n.x")) / 2.0).otherwise(F.col("x"))
-    g = nx.withColumn("dt", dt).filter("dt > 0").groupBy(key, "shot").agg(F.sum(y * F.col("dt")).alias("s"), F.sum("dt").alias("d"))
-    return g.select(key, "shot", (F.col("s") / F.col("d")).alias("mean"))
+    g = nx.withColumn("dt", dt).groupBy(key, "shot").agg(F.sum(y * F.col("dt")).alias("s"), F.sum("dt").alias("d"), F.min_by("x", F.struct(*ORDER)).alias("x"))
+    return g.select(key, "shot", F.when(F.col("d") > 0, F.col("s") / F.col("d")).otherwise(F.col("x")).alias("mean"))
 
 
 def per_shot_range(indexed: DataFrame, key: str, width: float) -> DataFrame:
@@ -304,9 +308,10 @@ def per_shot_range(indexed: DataFrame, key: str, width: float) -> DataFrame:
     return r.groupBy(key).agg((F.max("r") / width).alias("travel"))
 
 
-def time_share(indexed: DataFrame, key: str, value: Column, lo: int, hi: int) -> DataFrame:
-    """Share of the window spent left of, right of and inside the band; null under a second."""
-    a, b = F.greatest(F.lit(lo), F.col("t_ms")), F.least(F.lit(hi), F.coalesce("next_t", F.lit(hi)))
+def time_share(indexed: DataFrame, key: str, value: Column, lo: int, hi: int | None = None) -> DataFrame:
+    """Share of the window (to the series' last row if ``hi`` is not given) spent left of, right of and inside the band; null under a second."""
+    a, end = F.greatest(F.lit(lo), F.col("t_ms")), F.coalesce("next_t", "t_ms" if hi is None else F.lit(hi))
+    b = end if hi is None else F.least(F.lit(hi), end)
     g = indexed.withColumn("d", b - a).filter("d > 0").groupBy(key).agg(F.sum("d").alias("t"), F.coalesce(F.sum(F.when(value < -0.25, F.col("d"))), F.lit(0)).alias("l"), F.coalesce(F.sum(F.when(value > 0.25, F.col("d"))), F.lit(0)).alias("r"))
     pct = lambda c: F.when(F.col("t") >= 1000, F.floor(c / F.col("t") * 100 + 0.5))
     return g.select(key, pct(F.col("t") - F.col("l") - F.col("r")).alias("front"), pct(F.col("l")).alias("left"), pct(F.col("r")).alias("right"))

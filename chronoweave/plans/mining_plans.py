@@ -46,8 +46,8 @@ MOMENTS = CHUNKS + f""",
   mo AS (SELECT c.project_id, c.chunk_no, c.sent_no, f.text, f.nw, f.payoff, f.fl, min(c.sent_no) OVER (PARTITION BY c.project_id, c.chunk_no) AS f0, max(c.sent_no) OVER (PARTITION BY c.project_id, c.chunk_no) AS l0,
       row_number() OVER (PARTITION BY c.project_id, c.chunk_no ORDER BY f.payoff DESC, c.sent_no) AS rn
     FROM v_chunk c JOIN sf f ON f.project_id = c.project_id AND f.sent_no = c.sent_no),
-  v_moment AS (SELECT project_id, chunk_no, rn, greatest(f0, sent_no - 2) AS start_id, least(l0, sent_no + 1) AS end_id, sent_no AS peak_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS peak_line,
-      least(1e1, nw / 3e0) AS hook, payoff, fl * 1e1 AS quotability, CASE WHEN lower(string_split(text, ' ')[1]) IN ('that', 'this', 'he', 'she', 'they', 'it', 'and', 'so') THEN 4e0 ELSE 9e0 END AS standalone FROM mo WHERE rn <= 4)"""
+  v_moment AS (SELECT project_id, chunk_no, rn, greatest(f0, sent_no - 2) AS start_id, least(l0, sent_no + 1) AS end_id, sent_no AS peak_id, text AS peak_line,
+      least(1e1, nw / 3e0) AS hook, payoff, fl * 1e1 AS quotability, CASE WHEN lower(string_split(text, ' ')[1]) IN ('that', 'this', 'he', 'she', 'they', 'it', 'and', 'so') THEN 4e0 ELSE 9e0 END AS standalone FROM mo)"""
 FIT = MOMENTS + f""",
   sa AS (SELECT project_id, list(start_ms ORDER BY sent_no) AS s, list(end_ms ORDER BY sent_no) AS e, list(word_start ORDER BY sent_no) AS wa, list(word_end ORDER BY sent_no) AS wb, count(*) AS n FROM v_sent GROUP BY project_id),
   na AS (SELECT project_id, list({NORM.format(x='word')} ORDER BY word_no) AS norms, list(t_ms ORDER BY word_no) AS ts, list(word ORDER BY word_no) AS ws FROM v_words GROUP BY project_id),

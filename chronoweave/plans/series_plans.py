@@ -16,7 +16,6 @@ from chronoweave.plans.registry import query
 K = "series_id"
 W = 490.0
 HOUR, DAY = 3_600_000, 86_400_000
-END = 31 * DAY
 IX = """ix AS (SELECT *, row_number() OVER w - 1 AS i, CAST(sum(CAST(cut AS INT)) OVER (PARTITION BY series_id ORDER BY t_ms, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS shot, lead(t_ms) OVER w AS next_t
   FROM v_series WINDOW w AS (PARTITION BY series_id ORDER BY t_ms, seq))"""
 
@@ -42,7 +41,7 @@ ASSIGN = SEATS + """,
   asg AS (SELECT * FROM as0 WHERE rn = 1 AND d < 12e-2 * 49e1)"""
 GRID = ASSIGN + """,
   ga AS (SELECT series_id, seat, frame, max(x) AS energy, arg_max(x, struct_pack(t := t_ms, s := seq)) AS pos FROM asg GROUP BY ALL),
-  grid AS (SELECT q.series_id, q.seat, q.centre, f.frame, coalesce(g.energy, 0e0) AS energy, g.pos FROM seats q CROSS JOIN range(0, 30) AS f(frame) LEFT JOIN ga g ON g.series_id = q.series_id AND g.seat = q.seat AND g.frame = f.frame)"""
+  grid AS (SELECT q.series_id, q.seat, q.centre, f.frame, coalesce(g.energy, 0e0) AS energy, g.pos FROM seats q JOIN (SELECT series_id, unnest(range(0, max(t_ms) // 86400000 + 1)) AS frame FROM v_series GROUP BY series_id) f ON f.series_id = q.series_id LEFT JOIN ga g ON g.series_id = q.series_id AND g.seat = q.seat AND g.frame = f.frame)"""
 SCORED = GRID + f""",
   sc AS (SELECT *, {half_up_sql('CASE WHEN sum(energy) OVER f > 1e-6 THEN energy / sum(energy) OVER f ELSE 1e0 / count(*) OVER f END * (35e-2 + 65e-2 * ((seat + frame) % 3 / 2e0))', 6)} AS score FROM grid WINDOW f AS (PARTITION BY series_id, frame))"""
 
@@ -57,7 +56,8 @@ def assigned(spark, sf, s=None):
 
 def grid(spark, sf):
     s = seats(spark, sf)
-    return sr.seat_grid(assigned(spark, sf, s), s, K, "frame", 30, "x", "x")
+    ends = positions(spark, sf).groupBy(K).agg(F.max("frame").alias("last"))
+    return sr.seat_grid(assigned(spark, sf, s), s, ends, K, "frame", "x", "x")
 
 
 def scored(spark, sf):
@@ -74,12 +74,12 @@ def q_change(spark, sf):
 
 
 @query("f2_mark_cuts", """
-  f AS (SELECT series_id, t_ms // 3600000 AS i, bool_or(lane = 'view') AS cut FROM v_series GROUP BY ALL), c AS (SELECT DISTINCT series_id, greatest(1, least(719, CAST(ceil(t_ms / 36e5) AS BIGINT))) AS i FROM v_series WHERE cut)
+  f AS (SELECT series_id, t_ms // 3600000 AS i, bool_or(lane = 'view') AS cut FROM v_series GROUP BY ALL), z AS (SELECT series_id, max(i) AS last FROM f GROUP BY series_id), c AS (SELECT DISTINCT s.series_id, greatest(1, least(last, CAST(ceil(t_ms / 36e5) AS BIGINT))) AS i FROM v_series s JOIN z ON z.series_id = s.series_id WHERE cut)
   SELECT f.series_id, f.i, f.cut OR c.i IS NOT NULL AS cut FROM f LEFT JOIN c ON c.series_id = f.series_id AND c.i = f.i""", "v_series")
 def q_mark(spark, sf):
     s = views.series(spark, sf)
     frames = s.groupBy(K, F.floor(F.col("t_ms") / HOUR).alias("i")).agg(F.bool_or(F.col("lane") == "view").alias("cut"))
-    return sr.mark_cuts(frames, s.filter("cut"), K, HOUR, 720)
+    return sr.mark_cuts(frames, s.filter("cut"), K, HOUR)
 
 
 @query("f3_align_cuts", """
@@ -212,7 +212,7 @@ def q_rms(spark, sf):
 
 
 @query("f20_gaussian_smooth", IX + f""",
-  e AS (SELECT series_id, shot, min(t_ms) AS f, max(coalesce(next_t, {END})) AS u, max(i) AS li FROM ix GROUP BY ALL),
+  e AS (SELECT series_id, shot, min(t_ms) AS f, max(coalesce(next_t, t_ms)) AS u, max(i) AS li FROM ix GROUP BY ALL),
   nx AS (SELECT *, lead(t_ms) OVER w AS nt, lead(x) OVER w AS nxx FROM ix WINDOW w AS (PARTITION BY series_id, shot ORDER BY i)),
   p AS (SELECT b.series_id, b.shot, b.seq, b.t_ms + d.dt AS pt, d.dt FROM ix b JOIN e ON e.series_id = b.series_id AND e.shot = b.shot, range(-21600000, 21600001, 3600000) AS d(dt) WHERE b.t_ms + d.dt >= e.f AND b.t_ms + d.dt < e.u),
   v AS (SELECT p.series_id, p.seq, p.dt, CASE WHEN k.nt IS NULL THEN k.x ELSE k.x + (k.nxx - k.x) * ((p.pt - k.t_ms) / (k.nt - k.t_ms)::DOUBLE) END AS v FROM p JOIN nx k ON k.series_id = p.series_id AND k.shot = p.shot AND k.t_ms <= p.pt AND (k.nt IS NULL OR p.pt < k.nt)),
@@ -220,7 +220,7 @@ def q_rms(spark, sf):
   SELECT b.series_id, b.t_ms, {half_up_sql('coalesce(g.v, b.x)', 4)} AS value, FALSE AS settle FROM ix b LEFT JOIN g ON g.series_id = b.series_id AND g.seq = b.seq
   UNION ALL SELECT b.series_id, b.t_ms + 21600000, {half_up_sql('b.x', 4)}, TRUE FROM ix b JOIN e ON e.series_id = b.series_id AND e.shot = b.shot AND e.li = b.i WHERE b.t_ms + 21600000 < e.u - 1""", "v_series")
 def q_gauss(spark, sf):
-    g = sr.gaussian_smooth(indexed(spark, sf), K, 2 * HOUR, HOUR, END)
+    g = sr.gaussian_smooth(indexed(spark, sf), K, 2 * HOUR, HOUR)
     return g.select(K, "t_ms", half_up(F.col("value"), 4).alias("value"), "settle")
 
 
@@ -233,10 +233,10 @@ def q_interpolate(spark, sf):
 
 
 @query("f22_time_weighted_mean", IX + f""",
-  n AS (SELECT *, lead(x) OVER (PARTITION BY series_id, shot ORDER BY i) AS nx, coalesce(next_t, {END}) - t_ms AS dt FROM ix)
-  SELECT series_id, shot, {half_up_sql('sum((x + coalesce(nx, x)) / 2e0 * dt) / sum(dt::DOUBLE)', 4)} AS mean FROM n WHERE dt > 0 GROUP BY ALL""", "v_series")
+  n AS (SELECT *, lead(x) OVER (PARTITION BY series_id, shot ORDER BY i) AS nx, coalesce(next_t, t_ms) - t_ms AS dt FROM ix)
+  SELECT series_id, shot, {half_up_sql('CASE WHEN sum(dt) > 0 THEN sum((x + coalesce(nx, x)) / 2e0 * dt) / sum(dt::DOUBLE) ELSE arg_min(x, i) END', 4)} AS mean FROM n GROUP BY series_id, shot""", "v_series")
 def q_twm(spark, sf):
-    return sr.time_weighted_mean(indexed(spark, sf), K, END).withColumn("mean", half_up(F.col("mean"), 4))
+    return sr.time_weighted_mean(indexed(spark, sf), K).withColumn("mean", half_up(F.col("mean"), 4))
 
 
 @query("f23_per_shot_range", IX + f", r AS (SELECT series_id, shot, max(x) - min(x) AS r FROM ix GROUP BY ALL) SELECT series_id, {half_up_sql('max(r) / 49e1', 6)} AS travel FROM r GROUP BY series_id", "v_series")
@@ -245,11 +245,11 @@ def q_range(spark, sf):
 
 
 @query("f24_time_weighted_share", IX + f""",
-  d AS (SELECT series_id, x / 245e0 - 1 AS y, least({25 * DAY}, coalesce(next_t, {25 * DAY})) - greatest({2 * DAY}, t_ms) AS d FROM ix),
+  d AS (SELECT series_id, x / 245e0 - 1 AS y, coalesce(next_t, t_ms) - greatest({2 * DAY}, t_ms) AS d FROM ix),
   g AS (SELECT series_id, sum(d) AS t, coalesce(sum(d) FILTER (WHERE y < -25e-2), 0) AS l, coalesce(sum(d) FILTER (WHERE y > 25e-2), 0) AS r FROM d WHERE d > 0 GROUP BY series_id)
   SELECT series_id, {half_up_sql('(t - l - r) / t * 100')} AS front, {half_up_sql('l / t * 100')} AS "left", {half_up_sql('r / t * 100')} AS "right" FROM g""", "v_series")
 def q_time_share(spark, sf):
-    return sr.time_share(indexed(spark, sf), K, F.col("x") / 245.0 - 1, 2 * DAY, 25 * DAY)
+    return sr.time_share(indexed(spark, sf), K, F.col("x") / 245.0 - 1, 2 * DAY)
 
 
 @query("f25_freeze_spans", IX + f""",
