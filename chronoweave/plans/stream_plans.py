@@ -59,13 +59,17 @@ def halves(spark, sf):
     return e.filter(early), e.filter(~early)
 
 
-@query("k5_stalled_jobs", f"""
-  WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, {T_MS} < {15 * DAY} AS early FROM events),
-  a AS (SELECT user_id, max(ms) AS last_ms FROM e WHERE early GROUP BY user_id), b AS (SELECT user_id, max(ms) AS last_ms FROM e GROUP BY user_id)
-  SELECT * FROM a WHERE last_ms + 21600000 < (SELECT max(last_ms) FROM a) - 3600000 UNION ALL SELECT * FROM b WHERE last_ms + 21600000 < (SELECT max(last_ms) FROM b) - 3600000""")
+@query("k5_stalled_jobs", """
+  WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id, event_type = 'purchase' AS done FROM events),
+  o AS (SELECT *, lead(ms) OVER w AS nx, coalesce(sum(done::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+  d AS (SELECT user_id, run, ms AS last_ms, unnest(range(ms + 21600000, coalesce(nx, (SELECT max(ms) FROM e) - 3600000 + 1), 21600000)) AS stall_ms FROM o WHERE NOT done),
+  f AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY stall_ms) AS redeliveries FROM d),
+  z AS (SELECT user_id, min(stall_ms) AS over FROM f WHERE redeliveries = 6 GROUP BY user_id)
+  SELECT f.user_id, stall_ms, last_ms, redeliveries, redeliveries = 6 AS final FROM f LEFT JOIN z ON z.user_id = f.user_id WHERE over IS NULL OR stall_ms <= over""")
 def q_stalled(spark, sf):
     a, b = halves(spark, sf)
-    return sj.in_turns(spark, [a, b], lambda s: sj.stalled_jobs(s, "user_id", DAY // 4, "1 hour"))[0]
+    with sj.keyed_timers(spark):
+        return sj.in_turns(spark, [a, b], lambda s: sj.stalled_jobs(s.withColumn("done", F.col("event_type") == "purchase"), "user_id", "event_id", "done", DAY // 4, "1 hour"))[0]
 
 
 @query("k6_retry_state", """

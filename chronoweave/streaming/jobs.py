@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -20,6 +22,7 @@ from chronoweave.operators.staging import stage_root
 
 # Fixed values.
 MAX_ATTEMPTS = 2
+MAX_REDELIVERIES = 5
 BASE_DELAY_SEC = 5
 THROTTLE_DONE = 99
 REARM = 0.25
@@ -38,6 +41,10 @@ def _new_path(spark: SparkSession) -> str:
     return f"{stage_root(spark)}/chronoweave/stream-{uuid.uuid4().hex}"
 
 
+def _empty(spark: SparkSession, schema: StructType, path: str) -> None:
+    spark.createDataFrame([], schema).write.parquet(path)
+
+
 def run_append(df: DataFrame, path: str | None = None) -> tuple[DataFrame, list]:
     """Drain what is available into a Parquet table; a second call with the same path continues from the checkpoint."""
     spark = df.sparkSession
@@ -59,6 +66,7 @@ def run_update(df: DataFrame, keys: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     path = _new_path(spark)
+    _empty(spark, df.schema, f"{path}/data/batch=-1")  # an empty log has no batch
     q = (df.writeStream.outputMode("update").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True)
          .foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/data/batch={n}")).start())
     q.awaitTermination()
@@ -70,6 +78,7 @@ def run_update(df: DataFrame, keys: list[str]) -> DataFrame:
 def run_complete(df: DataFrame) -> DataFrame:
     """Drain a complete-mode aggregate (session windows know no update mode); the table always holds the latest full result."""
     path = _new_path(df.sparkSession)
+    _empty(df.sparkSession, df.schema, f"{path}/data")
     q = (df.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True)
          .foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{path}/data")).start())
     q.awaitTermination()
@@ -160,21 +169,77 @@ def crossing_once(log: DataFrame, key: str, order: str, mark: float, rearm: floa
     return keyed_fold(log, key, order, ["pos"], f"{key} long,{order} long,fired boolean", "prev double, fired boolean", (0.0, False), step)
 
 
-def stalled_jobs(log: DataFrame, key: str, timeout_ms: int, delay: str) -> DataFrame:
-    """Jobs without an event for the stall timeout, by event-time timers."""
-    def run(k: tuple, chunks: Iterator[pd.DataFrame], st: GroupState):
-        if st.hasTimedOut:
-            last = st.get[0]
-            st.remove()
-            yield pd.DataFrame([(k[0], last)], columns=[key, "last_ms"])
-            return
-        last = max([int(c["ts"].max().value // 1_000_000) for c in chunks] + ([st.get[0]] if st.exists else []))
-        st.update((last,))
-        st.setTimeoutTimestamp(max(last + timeout_ms, st.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([], columns=[key, "last_ms"])
-
-    w = log.withWatermark("ts", delay)
-    return w.select(key, "ts").groupBy(key).applyInPandasWithState(run, f"{key} long, last_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+def stalled_jobs(log: DataFrame, key: str, order: str, done: str, timeout_ms: int, delay: str) -> DataFrame:
+    """A row per stall: ``key, stall_ms, last_ms, redeliveries, final``.
+
+    A job stalls when no event of it comes for the timeout; it is then delivered again
+    and may stall again after another timeout. The stall after ``MAX_REDELIVERIES``
+    redeliveries is final: later events do not revive the job. An event with ``done``
+    ends the job; one after that starts it anew. Deadlines between two events of a batch
+    count as they come, those after the last event by event-time timers, so the rows do
+    not depend on how the log is cut into batches. State per job is four numbers.
+    """
+    w = log.withWatermark("ts", delay).select(key, order, "ts", F.unix_millis("ts").alias("t_ms"), F.col(done).alias("done"))
+    kind = next(f.dataType.simpleString() for f in w.schema if f.name == key)
+    schema = f"{key} {kind}, stall_ms bigint, last_ms bigint, redeliveries bigint, final boolean"
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    class Watch(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.job = handle.getValueState("job", "deadline bigint, last bigint, stalls bigint, final boolean")
+
+        def _stalls(self, k, s: list, until: int) -> list[tuple]:
+            """Stalls up to ``until``; changes ``s``."""
+            out = []
+            while s[0] >= 0 and not s[3] and s[0] <= until:
+                s[2] += 1
+                s[3] = s[2] > MAX_REDELIVERIES
+                out.append((k, s[0], s[1], s[2], s[3]))
+                s[0] += timeout_ms
+            return out
+
+        def _keep(self, s: list) -> None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if s[0] >= 0 and not s[3]:
+                self.handle.registerTimer(s[0])
+            self.job.update(tuple(s))
+
+        def handleInputRows(self, key_, rows, timerValues) -> Iterator[pd.DataFrame]:
+            s = list(self.job.get()) if self.job.exists() else [-1, -1, 0, False]
+            out = []
+            events = pd.concat(list(rows)).sort_values(["t_ms", order])
+            for t, ended in zip(events["t_ms"].tolist(), events["done"].fillna(False).tolist()):
+                out += self._stalls(key_[0], s, t - 1)
+                if s[3]:
+                    break
+                s = [-1, t, 0, False] if ended else [t + timeout_ms, t, s[2], False]
+            self._keep(s)
+            yield pd.DataFrame(out, columns=names)
+
+        def handleExpiredTimer(self, key_, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            s = list(self.job.get())
+            out = self._stalls(key_[0], s, timerValues.getCurrentWatermarkInMs())
+            self._keep(s)
+            yield pd.DataFrame(out, columns=names)
+
+        def close(self) -> None:
+            pass
+
+    return w.groupBy(key).transformWithStateInPandas(Watch(), schema, "Append", "EventTime")
+
+
+@contextmanager
+def keyed_timers(spark: SparkSession):
+    """The state store that timers need, for the queries started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def in_turns(spark: SparkSession, parts: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list]:
