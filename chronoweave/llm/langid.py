@@ -9,11 +9,11 @@ rows of symbol-pair tables. Every byte of a text lies in one window.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from chronoweave.operators.staging import stage
 SYMBOLS, WINDOW, FILTERS, WIDTHS = 64, 160, 12, (2, 3, 4)
 TEXTS_PER_LANG, WINDOWS_PER_TEXT, EPOCHS, RATE = 400, 4, 10, 0.01
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # Unicode category L, as in the training filter
 
 
 def _fold() -> np.ndarray:
