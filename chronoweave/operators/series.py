@@ -8,6 +8,9 @@ because a cut resets their state.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -414,26 +417,69 @@ def cut_audit(keys_: DataFrame, cuts: DataFrame, key: str, width: float, cut_id:
     return hit.select(*cuts.columns, F.when(jump, "snap").otherwise("hold").alias("kind"), F.when(ok, "ok").otherwise("flash").alias("status"))
 
 
-def link_tracks(indexed: DataFrame, key: str, gate: float) -> DataFrame:
-    """Greedy nearest linking of detections inside a gate, per shot (a cut clears every identity).
-
-    State is the short list of live tracks: a matched one moves towards the
-    detection, an unmatched one retires after four misses.
+class Linker:
+    """Live tracks of one shot: ``(id, x, y, misses)`` in order of birth; a few numbers, whatever the shot's length."""
+
+    def __init__(self, gate: float, live: list | None = None, following_id: int = 0, frame: int | None = None):
+        self.gate, self.live, self.next, self.frame = gate, [tuple(t) for t in live or []], following_id, frame
+
+    def link(self, frame: int, detections: list[tuple[float, float]]) -> list[int]:
+        """Track ids of a frame's detections, in order.
+
+        Every detection takes the nearest track inside the gate and pulls it along;
+        those without one start tracks that only later frames see. A track that is
+        missed for more than ``MAX_MISSES`` frames, empty ones included, ends.
+        """
+        gap = 0 if self.frame is None else frame - self.frame
+        live = [(i, x, y, m + gap) for i, x, y, m in self.live if m + gap - 1 <= MAX_MISSES]
+        born, out = [], []
+        for px, py in detections:
+            best, least = None, self.gate
+            for k, (_, x, y, _) in enumerate(live):
+                d = math.sqrt((px - x) * (px - x) + (py - y) * (py - y))
+                if d < least:
+                    best, least = k, d
+            if best is None:
+                born.append((self.next, px, py, 0))
+                out.append(self.next)
+                self.next += 1
+            else:
+                i, x, y, _ = live[best]
+                live[best] = (i, x * TRACK_KEEP + px * TRACK_NEW, y * TRACK_KEEP + py * TRACK_NEW, 0)
+                out.append(i)
+        self.live, self.frame = [t for t in live + born if t[3] <= MAX_MISSES], frame
+        return out
+
+
+def link_tracks(detections: DataFrame, key: str, gate: float) -> DataFrame:
+    """``key, seq, shot, track``: all detections of a frame linked in two dimensions, frame after frame.
+
+    ``detections``: key, shot, frame, seq (order within the frame), x, y. A cut clears every
+    identity. Rows stream in order past one ``Linker`` per shot, so a shot of any length
+    takes the memory of its live tracks and of one frame.
     """
-    items = collect_ordered(indexed, [key, "shot"], ORDER, ["x"])
-
-    def step(acc, d):
-        near = F.array_min(F.transform(F.filter(acc["live"], lambda t: F.abs(t["x"] - d["x"]) < gate), lambda t: F.struct(F.abs(t["x"] - d["x"]).alias("d"), t["id"].alias("id"))))
-        return let(F.struct(acc["live"].alias("live"), acc["next"].alias("next"), acc["out"].alias("out"), near["id"].alias("hit")), lambda s: advance(s, d))
-
-    def advance(s, d):
-        moved = F.transform(s["live"], lambda t: F.when(t["id"] == s["hit"], F.struct(t["id"].alias("id"), (t["x"] * TRACK_KEEP + d["x"] * TRACK_NEW).alias("x"), F.lit(0).alias("miss")))
-                            .otherwise(F.struct(t["id"].alias("id"), t["x"].alias("x"), (t["miss"] + 1).alias("miss"))))
-        born = F.array(F.struct(s["next"].alias("id"), d["x"].alias("x"), F.lit(0).alias("miss")))
-        live = F.filter(F.when(s["hit"].isNull(), F.concat(moved, born)).otherwise(moved), lambda t: t["miss"] <= MAX_MISSES)
-        row = F.struct(d["seq"].alias("seq"), F.coalesce(s["hit"], s["next"]).alias("track"))
-        return F.struct(live.alias("live"), F.when(s["hit"].isNull(), s["next"] + 1).otherwise(s["next"]).alias("next"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    init = F.struct(F.array().cast("array<struct<id:bigint,x:double,miss:int>>").alias("live"), F.lit(0).cast("long").alias("next"),
-                    F.array().cast("array<struct<seq:bigint,track:bigint>>").alias("out"))
-    return items.select(key, "shot", F.inline(F.aggregate("items", init, step, lambda a: a["out"]))).select(key, "seq", "shot", "track")
+    kind = detections.schema[key].dataType.simpleString()
+
+    def run(batches):
+        held, at, linker = [], None, None
+
+        def flush():
+            ids = linker.link(at[2], [(x, y) for _, x, y in held])
+            return [(*at[:2], seq, t) for (seq, _, _), t in zip(held, ids)]
+
+        for b in batches:
+            out = []
+            for k, shot, frame, seq, x, y in zip(*(b[c].tolist() for c in (key, "shot", "frame", "seq", "x", "y"))):
+                if (k, shot, frame) != at:
+                    if held:
+                        out += flush()
+                    if at is None or (k, shot) != at[:2]:
+                        linker = Linker(gate)
+                    held, at = [], (k, shot, frame)
+                held.append((seq, x, y))
+            yield pd.DataFrame(out, columns=[key, "shot", "seq", "track"])[[key, "seq", "shot", "track"]]
+        if held:
+            yield pd.DataFrame(flush(), columns=[key, "shot", "seq", "track"])[[key, "seq", "shot", "track"]]
+
+    rows = detections.select(key, "shot", "frame", "seq", "x", "y").repartition(key, "shot").sortWithinPartitions(key, "shot", "frame", "seq")
+    return rows.mapInPandas(run, f"{key} {kind}, seq bigint, shot bigint, track bigint")

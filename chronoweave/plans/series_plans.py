@@ -338,17 +338,27 @@ def q_new_cuts(spark, sf):
     return audit(spark, sf).withColumn("tick", F.floor(F.col("c") / 10)).join(known, [K, "tick"], "left_anti").select(K, "cut_id", "status")
 
 
-@query("f32_link_tracks", IX + """,
-  z AS (SELECT *, row_number() OVER (PARTITION BY series_id, shot ORDER BY i) AS rn FROM ix),
-  lk AS (SELECT series_id, shot, rn, seq, 0 AS track, 1 AS nxt, [struct_pack(id := 0, x := x, miss := 0)] AS live FROM z WHERE rn = 1
-    UNION ALL SELECT series_id, shot, rn, seq, coalesce(hit, nxt), CASE WHEN hit IS NULL THEN nxt + 1 ELSE nxt END,
-      list_filter(list_concat(list_transform(live, lambda t: CASE WHEN t.id = hit THEN struct_pack(id := t.id, x := t.x * 6e-1 + nx * 4e-1, miss := 0) ELSE struct_pack(id := t.id, x := t.x, miss := t.miss + 1) END),
-        CASE WHEN hit IS NULL THEN [struct_pack(id := nxt, x := nx, miss := 0)] ELSE [] END), lambda t: t.miss <= 4) FROM
-      (SELECT z.series_id, z.shot, z.rn, z.seq, z.x AS nx, lk.nxt, lk.live, list_sort(list_transform(list_filter(lk.live, lambda t: abs(t.x - z.x) < 12e-2 * 49e1), lambda t: struct_pack(d := abs(t.x - z.x), id := t.id)))[1].id AS hit
-       FROM lk JOIN z ON z.series_id = lk.series_id AND z.shot = lk.shot AND z.rn = lk.rn + 1))
-  SELECT series_id, seq, shot, track FROM lk""", "v_series")
+LINK = IX + """,
+  z AS (SELECT series_id, shot, seq, t_ms // 86400000 AS frame, x, (t_ms % 86400000) / 864e5 * 49e1 AS y, row_number() OVER (PARTITION BY series_id, shot ORDER BY t_ms // 86400000, seq) AS rn FROM ix),
+  lk AS (SELECT series_id, shot, rn, seq, frame, 0 AS track, 1 AS nxt, CAST([] AS STRUCT(id INTEGER, x DOUBLE, y DOUBLE, miss BIGINT)[]) AS live, [struct_pack(id := 0, x := x, y := y, miss := 0::BIGINT)] AS born FROM z WHERE rn = 1
+    UNION ALL SELECT series_id, shot, rn, seq, frame, coalesce(hit, nxt), CASE WHEN hit IS NULL THEN nxt + 1 ELSE nxt END,
+      list_transform(now, lambda t: CASE WHEN t.id = hit THEN struct_pack(id := t.id, x := t.x * 6e-1 + px * 4e-1, y := t.y * 6e-1 + py * 4e-1, miss := 0::BIGINT) ELSE t END),
+      CASE WHEN hit IS NULL THEN list_append(new, struct_pack(id := nxt, x := px, y := py, miss := 0::BIGINT)) ELSE new END FROM
+      (SELECT *, list_sort(list_transform(list_filter(list_transform(now, lambda t: struct_pack(d := sqrt((px - t.x) * (px - t.x) + (py - t.y) * (py - t.y)), id := t.id)), lambda q: q.d < 12e-2 * 49e1), lambda q: q))[1].id AS hit FROM
+        (SELECT z.series_id, z.shot, z.rn, z.seq, z.frame, z.x AS px, z.y AS py, lk.nxt,
+          CASE WHEN z.frame = lk.frame THEN lk.live ELSE list_transform(list_filter(list_concat(lk.live, lk.born), lambda t: t.miss <= 4 AND t.miss + z.frame - lk.frame - 1 <= 4), lambda t: struct_pack(id := t.id, x := t.x, y := t.y, miss := t.miss + z.frame - lk.frame)) END AS now,
+          CASE WHEN z.frame = lk.frame THEN lk.born ELSE [] END AS new
+        FROM lk JOIN z ON z.series_id = lk.series_id AND z.shot = lk.shot AND z.rn = lk.rn + 1)))"""
+
+
+@query("f32_link_tracks", LINK + " SELECT series_id, seq, shot, track FROM lk", "v_series")
 def q_link(spark, sf):
-    return sr.link_tracks(indexed(spark, sf), K, 0.12 * W)
+    """A frame is a day with all its samples; the second coordinate is the time of day."""
+    return sr.link_tracks(detections(indexed(spark, sf)), K, 0.12 * W)
+
+
+def detections(ix):
+    return ix.select(K, "shot", "seq", F.floor(F.col("t_ms") / DAY).alias("frame"), "x", ((F.col("t_ms") % DAY) / 86_400_000.0 * 490.0).alias("y"))
 
 
 @query("f33_envelope_follow", IX + f""", a AS (SELECT *, lag(t_ms) OVER (PARTITION BY series_id ORDER BY i) AS pt FROM ix),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.plans import views
 from chronoweave.plans.registry import query
+from chronoweave.plans.series_plans import LINK
 from chronoweave.streaming import jobs as sj
 
 DAY = 86_400_000
@@ -72,6 +73,18 @@ def q_stalled(spark, sf):
         return sj.in_turns(spark, [a, b], lambda s: sj.stalled_jobs(s.withColumn("done", F.col("event_type") == "purchase"), "user_id", "event_id", "done", DAY // 4, "1 hour"))[0]
 
 
+@query("f32_link_tracks_stream", LINK + """ SELECT lk.series_id, lk.seq, lk.shot, lk.track FROM lk JOIN v_series s ON s.seq = lk.seq
+  WHERE (s.t_ms // 86400000 + 1) * 86400000 <= (SELECT max(t_ms) FROM v_series) - 3600000""", "v_series")
+def q_linked(spark, sf):
+    """The same linking on the log, in two deliveries; frames that the watermark has not closed wait."""
+    def run(s):
+        s = s.select(F.col("user_id").alias("series_id"), F.col("event_id").alias("seq"), "ts", t_ms().alias("t_ms"), F.col("value").alias("x"), (F.col("event_type") == "error").alias("cut"))
+        s = s.withColumn("y", (F.col("t_ms") % DAY) / 86_400_000.0 * 490.0)
+        return sj.linked_detections(s, "series_id", DAY, 0.12 * 490.0, "1 hour")
+    with sj.keyed_timers(spark):
+        return sj.in_turns(spark, list(halves(spark, sf)), run)[0]
+
+
 @query("k6_retry_state", """
   WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'error')
   SELECT user_id, event_id, n AS attempts, CAST(5 * pow(2, least(n - 1, 30)) AS BIGINT) AS delay_sec, n >= 2 AS final FROM f""")

@@ -6,6 +6,7 @@ State is keyed per job; one micro-batch of a key is bounded by the trigger.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chronoweave.operators import joins
+from chronoweave.operators.series import Linker
 from chronoweave.operators.staging import stage_root
 
 # Fixed values.
@@ -206,21 +208,21 @@ def stalled_jobs(log: DataFrame, key: str, order: str, done: str, timeout_ms: in
                 self.handle.registerTimer(s[0])
             self.job.update(tuple(s))
 
-        def handleInputRows(self, key_, rows, timerValues) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             s = list(self.job.get()) if self.job.exists() else [-1, -1, 0, False]
             out = []
             events = pd.concat(list(rows)).sort_values(["t_ms", order])
             for t, ended in zip(events["t_ms"].tolist(), events["done"].fillna(False).tolist()):
-                out += self._stalls(key_[0], s, t - 1)
+                out += self._stalls(key[0], s, t - 1)
                 if s[3]:
                     break
                 s = [-1, t, 0, False] if ended else [t + timeout_ms, t, s[2], False]
             self._keep(s)
             yield pd.DataFrame(out, columns=names)
 
-        def handleExpiredTimer(self, key_, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             s = list(self.job.get())
-            out = self._stalls(key_[0], s, timerValues.getCurrentWatermarkInMs())
+            out = self._stalls(key[0], s, timerValues.getCurrentWatermarkInMs())
             self._keep(s)
             yield pd.DataFrame(out, columns=names)
 
@@ -230,6 +232,64 @@ def stalled_jobs(log: DataFrame, key: str, order: str, done: str, timeout_ms: in
     return w.groupBy(key).transformWithStateInPandas(Watch(), schema, "Append", "EventTime")
 
 
+def linked_detections(log: DataFrame, key: str, frame_ms: int, gate: float, delay: str) -> DataFrame:
+    """Stream twin of ``series.link_tracks``: ``key, seq, shot, track`` of every frame that the watermark has closed.
+
+    ``log``: key, seq, ts, t_ms, x, y, cut; a row with ``cut`` starts a new shot. Rows wait in
+    the state until their frame (``t_ms`` in steps of ``frame_ms``) is over, then a timer links
+    it and lets them go: what stays is the rows of open frames and the live tracks.
+    """
+    w = log.withWatermark("ts", delay).select(key, "seq", "ts", "t_ms", "x", "y", F.coalesce("cut", F.lit(False)).alias("cut"), (F.unix_millis("ts") - F.col("t_ms")).alias("origin"))
+    kind = w.schema[key].dataType.simpleString()
+    names = [key, "seq", "shot", "track"]
+
+    class Link(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "t_ms bigint, seq bigint, x double, y double, cut boolean, origin bigint")
+            self.tracks = handle.getValueState("tracks", "state string")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            due = set()
+            for b in rows:
+                new = [tuple(r) for r in zip(*(b[c].tolist() for c in ("t_ms", "seq", "x", "y", "cut", "origin")))]
+                self.waiting.appendList(new)
+                due |= {(r[0] // frame_ms + 1) * frame_ms + r[5] for r in new}
+            for t in due - set(self.handle.listTimers()):
+                self.handle.registerTimer(t)
+            yield pd.DataFrame([], columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            mark = timerValues.getCurrentWatermarkInMs()
+            over = lambda r: (r[0] // frame_ms + 1) * frame_ms + r[5] <= mark
+            rows = sorted(tuple(r) for r in self.waiting.get())
+            ready, rest = [r for r in rows if over(r)], [r for r in rows if not over(r)]
+            state = json.loads(self.tracks.get()[0]) if self.tracks.exists() else {"shot": 0, "live": [], "next": 0, "frame": None}
+            linker, shot, out = Linker(gate, state["live"], state["next"], state["frame"]), state["shot"], []
+            frames = []  # (shot, frame, rows): a cut within a frame parts it
+            for r in ready:
+                shot += r[4]
+                if not frames or frames[-1][:2] != (shot, r[0] // frame_ms):
+                    frames.append((shot, r[0] // frame_ms, []))
+                frames[-1][2].append(r)
+            at = state["shot"]
+            for shot, frame, held in frames:
+                if shot != at:
+                    linker, at = Linker(gate), shot
+                held.sort(key=lambda r: r[1])
+                out += [(key[0], r[1], shot, t) for r, t in zip(held, linker.link(frame, [(r[2], r[3]) for r in held]))]
+            self.tracks.update((json.dumps({"shot": at, "live": linker.live, "next": linker.next, "frame": linker.frame}),))
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+            yield pd.DataFrame(out, columns=names)
+
+        def close(self) -> None:
+            pass
+
+    return w.groupBy(key).transformWithStateInPandas(Link(), f"{key} {kind}, seq bigint, shot bigint, track bigint", "Append", "EventTime")
+
+
 @contextmanager
 def keyed_timers(spark: SparkSession):
     """The state store that timers need, for the queries started within."""
