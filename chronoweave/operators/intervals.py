@@ -8,11 +8,14 @@ provably resets, never gathered whole.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.operators import joins
-from chronoweave.operators.folds import collect_ordered, fold
 from chronoweave.operators.scans import following, previous, running_max, running_sum, scan
 from chronoweave.operators.staging import stage
 
@@ -33,6 +36,7 @@ COVER_SLACK_MS = 50
 MIN_RATE, MAX_RATE = 0.2, 3.0
 FADE_CAP_MS = 1200.0
 DAY_MS = 86_400_000
+KEPT_BLOCK, NONE_KEPT = 512, -(1 << 62)
 
 
 def _bucket(col: str, width: int = DAY_MS) -> Column:
@@ -75,38 +79,98 @@ def complement(owners: DataFrame, merged: DataFrame, keys: list[str], start: str
     return kept.unionByName(whole)
 
 
-def drop_overlapping(df: DataFrame, keys: list[str], start: str, end: str, tie: str, fields: list[str]) -> DataFrame:
-    """Keep a span only if it starts at or after the end of the last *kept* one.
+def _exits(until: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
+    """A block of steps "m becomes ``end`` if it is at most ``until``" as one step function: for m up to t[k] it ends as x[k], beyond the last t it stays.
 
-    A span that starts after everything before it is always kept, so the fold
-    runs per overlap island rather than per owner.
+    From the last row back: a row's end meets the first later row that takes it. The rows that can be first
+    for some m are those whose ``until`` exceeds all before; they are what is left on the stack.
     """
-    isl = islands(df, keys, start, end, tie, touch=False)
-    items = collect_ordered(isl, [*keys, "island"], [start, tie], [end, *fields])
+    ends = end.tolist()
+    stack, low = [], []  # rows, and minus their ``until``, which falls towards the block's start
+    for i in range(len(ends) - 1, -1, -1):
+        k = bisect_right(low, -ends[i])
+        if k:
+            ends[i] = ends[stack[k - 1]]
+        u = int(until[i])
+        while low and -low[-1] <= u:
+            low.pop(), stack.pop()
+        low.append(-u), stack.append(i)
+    t, x = [], []
+    for u, i in zip(reversed(low), reversed(stack)):
+        if x and x[-1] == ends[i]:
+            t[-1] = -u
+        else:
+            t.append(-u), x.append(ends[i])
+    return t, x
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    return [v.values.to_numpy() for v in column]
+
+
+def last_kept(df: DataFrame, keys: list[str], order: list[str], until: Column, end: Column, out: str) -> DataFrame:
+    """Add ``out``: the ``end`` of the last kept row before each row, null if there is none; a row is kept if that is at most ``until``.
+
+    Exact, and linear in the rows. Rows are numbered along a key and cut into blocks; a
+    block composes into one step function, all blocks at once. What runs in order per key
+    is one look-up a block, streaming over those functions; then all blocks are walked at
+    once from the value that enters them. No island or key is ever one array. Columns
+    of ``order`` are longs, or any that sort; the first one is a time in milliseconds.
+    """
+    base = df.columns
+    n = scan(df.withColumns({"__until": until.cast("long"), "__end": end.cast("long")}), keys, order, _bucket(order[0]), __no=running_sum(F.lit(1).cast("long"), False))
+    row = F.struct("__no", *[F.col(c) for c in [*base, "__until", "__end"]])
+    blocks = n.groupBy(*keys, F.floor(F.col("__no") / KEPT_BLOCK).alias("__b")).agg(F.array_sort(F.collect_list(row), lambda a, b: (a["__no"] - b["__no"]).cast("int")).alias("__rows"))
+    blocks = stage(blocks.withColumn("__id", F.monotonically_increasing_id()), "blocks")
+    of = lambda f: F.transform("__rows", lambda r: r[f])
+
+    def table(u: pa.Array, e: pa.Array) -> pa.Array:
+        both = [_exits(a, b) for a, b in zip(_lists(u), _lists(e))]
+        kind = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in both], kind), pa.array([x for _, x in both], kind)], ["t", "x"])
+
+    def entering(batches):
+        key, m = None, NONE_KEPT
+        for b in batches:
+            ids, got = b.column("__id"), []
+            for k, t, x in zip(zip(*(b.column(c).to_pylist() for c in keys)), _lists(b.column("t")), _lists(b.column("x"))):
+                if k != key:
+                    key, m = k, NONE_KEPT
+                got.append(m)
+                at = int(np.searchsorted(t, m))
+                m = int(x[at]) if at < len(x) else m
+            yield pa.RecordBatch.from_arrays([ids, pa.array(got, pa.int64())], ["__id", "__m"])
+
+    def walked(m: pa.Array, u: pa.Array, e: pa.Array) -> pa.Array:
+        out = []
+        for now, us, es in zip(m.to_pylist(), _lists(u), _lists(e)):
+            before = []
+            for a, b in zip(us.tolist(), es.tolist()):
+                before.append(now)
+                if now <= a:
+                    now = b
+            out.append([None if v == NONE_KEPT else v for v in before])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    functions = blocks.select(*keys, "__b", "__id", F.arrow_udf(table, "struct<t: array<bigint>, x: array<bigint>>")(of("__until"), of("__end")).alias("f")).select(*keys, "__b", "__id", "f.*")
+    carries = functions.repartition(*keys).sortWithinPartitions(*keys, "__b").mapInArrow(entering, "__id bigint, __m bigint")
+    walk = F.arrow_udf(walked, "array<bigint>")(F.col("__m"), of("__until"), of("__end"))
+    rows = blocks.join(carries, "__id").select("__rows", walk.alias("__before")).select(F.explode(F.arrays_zip("__rows", "__before")).alias("z"))
+    return rows.select(*[F.col("z.__rows")[c].alias(c) for c in base], F.col("z.__before").alias(out))
 
-    def step(acc, x):
-        ok = x[start] >= acc["last"]
-        return F.struct(F.when(ok, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"),
-                        F.when(ok, x[end]).otherwise(acc["last"]).alias("last"))
 
-    init = F.struct(F.filter(F.col("items"), lambda x: F.lit(False)).alias("out"), F.lit(-(1 << 62)).cast("long").alias("last"))
-    return items.select(*keys, F.inline(fold(F.col("items"), init, step)["out"]))
+def drop_overlapping(df: DataFrame, keys: list[str], start: str, end: str, tie: str, fields: list[str]) -> DataFrame:
+    """Keep a span only if it starts at or after the end of the last *kept* one; in order of start, then ``tie``."""
+    s = last_kept(df.select(*keys, start, tie, end, *fields), keys, [start, tie], F.col(start), F.col(end), "__last")
+    return s.filter(F.col("__last").isNull() | (F.col(start) >= F.col("__last"))).drop("__last")
 
 
 def exclusive_order(df: DataFrame, keys: list[str], start: str, end: str, tie: str, min_len: int = MIN_LANE_MS) -> DataFrame:
     """Push each start to the end of the last kept span; drop what becomes too short."""
-    isl = islands(df, keys, start, end, tie, touch=False)
-    items = collect_ordered(isl, [*keys, "island"], [start, end, tie], [])
-
-    def step(acc, x):
-        s = F.greatest(x[start], acc["last"])
-        ok = (x[end] - s) >= min_len
-        row = F.struct(s.alias(start), x[end].alias(end), x[tie].alias(tie))
-        return F.struct(F.when(ok, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
-                        F.when(ok, x[end]).otherwise(acc["last"]).alias("last"))
-
-    init = F.struct(F.filter(F.col("items"), lambda x: F.lit(False)).alias("out"), F.lit(-(1 << 62)).cast("long").alias("last"))
-    return items.select(*keys, F.inline(fold(F.col("items"), init, step)["out"]))
+    long = F.col(end) - F.col(start) >= min_len
+    s = last_kept(df.select(*keys, start, end, tie), keys, [start, end, tie], F.when(long, F.col(end) - min_len).otherwise(NONE_KEPT - 1), F.col(end), "__last")
+    s = s.withColumn(start, F.greatest(start, "__last"))
+    return s.filter(F.col(end) - F.col(start) >= min_len).drop("__last")
 
 
 def speed_rate(kind: Column, rate: Column) -> Column:

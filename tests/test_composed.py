@@ -84,3 +84,36 @@ def test_holds_that_meet(spark, case):
     spans = spark.createDataFrame([(7, i, a, b) for i, (a, b) in enumerate(holds)], "series_id long, hold_id long, a long, b long")
     got = sr.freeze_spans(path, spans, "series_id", 80).collect()
     assert sorted((r.t_ms, round(r.x, 6), r.held) for r in got) == held_path([(t, x) for _, _, t, x, _ in rows], cuts, holds, 80)
+
+
+def loop_kept(spans, min_len=None):
+    out, last = [], None
+    for s, e, i in sorted(spans, key=(lambda r: (r[0], r[2])) if min_len is None else None):
+        at = s if last is None else max(s, last)
+        if (min_len is None and at == s) or (min_len is not None and e - at >= min_len):
+            out.append((at, e, i))
+            last = e
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n,reach", [(3000, 4000), (3000, 60), (40, 500), (1, 10)])
+def test_greedy_lanes_equal_loops(spark, n, reach):
+    from chronoweave.operators import intervals as iv
+    r = random.Random(n + reach)
+    spans = [(a, a + r.choice([0, 30, r.randrange(reach), r.randrange(reach * 9)]), i) for i, a in enumerate(sorted(r.randrange(n * 10) for _ in range(n)))]
+    rows = [(k, *s) for k in ("hot", None) for s in (spans if k else spans[: n // 3 + 1])]
+    df = spark.createDataFrame(rows, "k string, s long, e long, i long").repartition(4)
+    for got, limit in ((iv.drop_overlapping(df, ["k"], "s", "e", "i", []), None), (iv.exclusive_order(df, ["k"], "s", "e", "i", 50), 50)):
+        found = {}
+        for g in got.collect():
+            found.setdefault(g.k, []).append((g.s, g.e, g.i))
+        want = {k: loop_kept([x[1:] for x in rows if x[0] == k], limit) for k in ("hot", None)}
+        assert {k: sorted(v) for k, v in found.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_one_island_of_200_000_spans(spark):
+    from chronoweave.operators import intervals as iv
+    spans = [(i * 10, i * 10 + 15 + i * 7919 % 400, i) for i in range(200_000)]
+    df = spark.range(200_000).selectExpr("1 AS k", "id * 10 AS s", "id * 10 + 15 + id * 7919 % 400 AS e", "id AS i")
+    assert sorted((g.s, g.e, g.i) for g in iv.drop_overlapping(df, ["k"], "s", "e", "i", []).collect()) == loop_kept(spans)
+    assert sorted((g.s, g.e, g.i) for g in iv.exclusive_order(df, ["k"], "s", "e", "i", 50).collect()) == loop_kept(spans, 50)
