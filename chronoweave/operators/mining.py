@@ -7,10 +7,12 @@ over tasks or collected anywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.binding import let, part, same_words
+from chronoweave.functions.binding import let, part, rows, same_words
 from chronoweave.functions.numeric import clamp, finite_or, half_up
 from chronoweave.functions.profiles import DEFAULT_PROFILE, PROFILES
 from chronoweave.functions.text import fluency_factor, norm_word, squeeze, tokens
@@ -25,6 +27,7 @@ MIN_PEAK_POSITION = 0.2
 MIN_TOTAL_SCORE = 3.5
 BOARD_SIZE = 12
 FUZZY_SHARE = 0.75
+SEED_BITS = 65_536
 
 
 def overlap_chunks(sents: Column) -> Column:
@@ -117,6 +120,45 @@ def locate_exact(norms: Column, q: Column, lo: Column, hi: Column) -> Column:
     return F.array_min(F.filter(spots, lambda i: (F.get(norms, i) == first) & same_words(norms, i, q)))
 
 
+def _in_row_filter(values: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test of a word against a hash bitmap of ``SEED_BITS`` bits of the column's values: a literal of fixed size, however many values."""
+    used = [r[0] for r in values.select(F.pmod(F.xxhash64(column), F.lit(SEED_BITS)).alias("b")).distinct().collect()]  # at most SEED_BITS rows
+    words = [0] * (SEED_BITS // 64)
+    for b in used:
+        words[b // 64] |= 1 << (b % 64)
+    bits = F.lit([w - (1 << 64) if w >= 1 << 63 else w for w in words])
+
+    def test(word: Column) -> Column:
+        place = F.pmod(F.xxhash64(word), F.lit(SEED_BITS)).cast("int")
+        return F.getbit(F.get(bits, F.floor(place / 64).cast("int")), place % 64) == 1
+
+    return test
+
+
+def phrase_spots(docs: DataFrame, phrases: DataFrame, key: str, phrase_id: str) -> DataFrame:
+    """``key, phrase_id, pos, hits, n``: every place whose word is a phrase's first, with the words of the phrase that match there in place.
+
+    ``docs``: key, norms (array of words). ``phrases``: phrase_id, q (array of three words or
+    more). The phrases alone are indexed: a bitmap of their first words is tested inside the
+    transcript's row, so of a transcript only short windows at such words leave it (as long as
+    the longest phrase), never its word array; a window meets the phrases on the first word.
+    """
+    q = phrases.filter(F.size("q") >= 3).select(phrase_id, "q", F.get("q", F.lit(0)).alias("__first"))
+    longest = q.agg(F.max(F.size("q"))).first()[0]
+    if longest is None:
+        q, longest = q.limit(0), 3
+    seed = _in_row_filter(q, "__first")
+
+    def windows(ws):
+        n = F.size(ws)
+        at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: seed(F.get(ws, i)))
+        return F.transform(F.when(n >= 3, at).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("pos"), part(ws, i, F.least(F.lit(longest), n - i), lambda w: w).alias("win")))
+
+    w = rows(docs, [key], let(F.col("norms"), windows), "w").select(key, "w.pos", "w.win", F.get("w.win", F.lit(0)).alias("__first"))
+    hits = F.size(F.filter(F.zip_with("win", "q", lambda a, b: a == b), lambda x: x))
+    return w.join(q, "__first").filter(F.size("win") >= F.size("q")).select(key, phrase_id, "pos", hits.alias("hits"), F.size("q").alias("n"))
+
+
 def clamp_score(x: Column) -> Column:
     return clamp(half_up(finite_or(x, 0.0), 1), 0.0, 10.0)
 

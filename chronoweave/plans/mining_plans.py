@@ -182,29 +182,10 @@ def q_guard(spark, sf):
 
 
 def located(spark, sf):
-    """Phrases against every transcript by shared n-grams at the same offset.
-
-    With at least 75 % of the words matching in place, some run of two words
-    matches (three when the phrase has more than eight), so every acceptable
-    position shares such a gram; positions are then verified word by word.
-    """
-    items = views.table(spark, sf, "benchmark").select("item_id", mn.phrase_words(F.col("text")).alias("q")).filter(F.size("q") >= 3)
+    """Every benchmark phrase against every transcript."""
+    items = views.table(spark, sf, "benchmark").select("item_id", mn.phrase_words(F.col("text")).alias("q"))
     docs = views.transcripts(spark, sf).select("project_id", F.transform(views.words_array(F.col("cues")), lambda w: norm_word(w["word"])).alias("norms"))
-
-    def grams(ws, n):
-        return let(ws, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))),
-                                             lambda i: F.struct(i.alias("at"), F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)]).alias("gram"))))
-
-    keys = F.when(F.size("q") > 8, grams(F.col("q"), 3)).otherwise(grams(F.col("q"), 2))
-    ik = items.select("item_id", F.size("q").alias("n"), F.inline(keys)).withColumnRenamed("at", "off")
-    dk = docs.select("project_id", F.size("norms").alias("total"), F.inline(F.concat(grams(F.col("norms"), 3), grams(F.col("norms"), 2))))
-    spots = dk.join(ik, "gram").select("project_id", "item_id", (F.col("at") - F.col("off")).alias("pos"), "total", "n")
-    spots = spots.filter((F.col("pos") >= 0) & (F.col("pos") + F.col("n") <= F.col("total"))).select("project_id", "item_id", "pos").distinct()
-    found = spots.join(docs, "project_id").join(items, "item_id")
-    window = F.slice("norms", F.col("pos") + 1, F.size("q"))
-    found = found.withColumn("win", window).filter(F.get("win", F.lit(0)) == F.get("q", F.lit(0)))
-    hits = F.size(F.filter(F.zip_with("win", "q", lambda a, b: a == b), lambda x: x))
-    return found.select("project_id", "item_id", "pos", hits.alias("hits"), F.size("q").alias("n"), "norms")
+    return mn.phrase_spots(docs, items, "project_id", "item_id")
 
 
 LOC = f"""

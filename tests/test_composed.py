@@ -117,3 +117,28 @@ def test_one_island_of_200_000_spans(spark):
     df = spark.range(200_000).selectExpr("1 AS k", "id * 10 AS s", "id * 10 + 15 + id * 7919 % 400 AS e", "id AS i")
     assert sorted((g.s, g.e, g.i) for g in iv.drop_overlapping(df, ["k"], "s", "e", "i", []).collect()) == loop_kept(spans)
     assert sorted((g.s, g.e, g.i) for g in iv.exclusive_order(df, ["k"], "s", "e", "i", 50).collect()) == loop_kept(spans, 50)
+
+
+def test_phrase_search_keeps_word_arrays_in_their_row(spark, sf):
+    from chronoweave.plans import mining_plans
+    plan = mining_plans.located(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "norms" not in plan.split("Join")[0]
+    shuffled = [line for line in mining_plans.q_locate_fuzzy(spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert not any("norms" in line for line in shuffled)
+
+
+def test_phrases_equal_a_loop(spark):
+    from chronoweave.operators import mining as mn
+    r = random.Random(1)
+    docs = [(i, [r.choice("abcdefg") for _ in range(r.choice([0, 1, 2, 3, 40, 300]))]) for i in range(30)] + [(99, None)]
+    phrases = [(i, [r.choice("abcdefg") for _ in range(r.choice([0, 2, 3, 4, 9]))]) for i in range(40)] + [(77, None)]
+    want = set()
+    for d, ws in docs:
+        for p, q in phrases:
+            for at in range(len(ws or []) - len(q or []) + 1):
+                if q and len(q) >= 3 and ws[at] == q[0]:
+                    want.add((d, p, at, sum(a == b for a, b in zip(ws[at:], q)), len(q)))
+    df = spark.createDataFrame(docs, "project_id long, norms array<string>")
+    got = mn.phrase_spots(df, spark.createDataFrame(phrases, "item_id long, q array<string>"), "project_id", "item_id").collect()
+    assert {tuple(g) for g in got} == want and len(got) == len(want)
+    assert mn.phrase_spots(df, spark.createDataFrame([], "item_id long, q array<string>"), "project_id", "item_id").count() == 0
