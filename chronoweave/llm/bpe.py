@@ -27,7 +27,7 @@ from chronoweave.llm.common import Remembered, ragged, small_batches
 
 # The pattern of byte-level models; white space is Unicode's own, without the control characters 1C to 1F.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-_KNOWN, _LONG, _STREAMED = 300_000, 64, 1 << 20
+_KNOWN, _LONG, _STREAMED = 700_000, 64, 1 << 20
 _NONE, _FAN = 1 << 62, 5
 _LIVE: dict[str, Coder] = {}
 
