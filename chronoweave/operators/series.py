@@ -454,11 +454,16 @@ class Linker:
 def link_tracks(detections: DataFrame, key: str, gate: float) -> DataFrame:
     """``key, seq, shot, track``: all detections of a frame linked in two dimensions, frame after frame.
 
-    ``detections``: key, shot, frame, seq (order within the frame), x, y. A cut clears every
-    identity. Rows stream in order past one ``Linker`` per shot, so a shot of any length
+    ``detections``: key, shot, frame, seq (order within the frame), x, y; without ``frame`` every
+    row is a frame of its own in order of (t_ms, seq), without ``y`` all lie on a line. A cut
+    clears every identity. Rows stream in order past one ``Linker`` per shot, so a shot of any length
     takes the memory of its live tracks and of one frame.
     """
     kind = detections.schema[key].dataType.simpleString()
+    if "frame" not in detections.columns:
+        detections = scan(detections, [key, "shot"], ORDER, _tb(), frame=running_sum(F.lit(1).cast("long")))
+    if "y" not in detections.columns:
+        detections = detections.withColumn("y", F.lit(0.0))
 
     def run(batches):
         held, at, linker = [], None, None
