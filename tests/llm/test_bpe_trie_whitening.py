@@ -266,3 +266,14 @@ def test_queue_spills_in_order():
     while plain:
         assert queue.pop() == heapq.heappop(plain)
     assert queue.peek() is None
+
+
+# ---- 9 ----
+
+def test_letters_of_language_id(spark):
+    """A letter is Unicode category L when predicting as in the filter of training rows."""
+    from chronoweave.llm import langid
+    texts = ["5²", "½ 3", "①", "Ⅷ", "123_", "ª", "é", "ж 1", "你", "ʰ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", r"t rlike '\\p{L}' AS letter").collect()
+    assert {r.t: r.letter for r in rows} == {t: bool(langid._LETTER.search(t)) for t in texts}
+    assert [bool(langid._LETTER.search(t)) for t in texts] == [False] * 5 + [True] * 5
