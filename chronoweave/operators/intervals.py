@@ -296,9 +296,9 @@ def covered_at(probes: DataFrame, spans: DataFrame, keys: list[str], t: str, sta
     return joins.points_in_spans(probes, spans, keys, t, F.col(start), F.col(end) - 1, bin_ms, how="left_semi")
 
 
-def active_at(probes: DataFrame, spans: DataFrame, keys: list[str], t: str, start: str, end: str, bin_ms: int = DAY_MS) -> DataFrame:
-    """All spans in force at each instant (``start <= t < end``)."""
-    return joins.points_in_spans(probes, spans, keys, t, F.col(start), F.col(end) - 1, bin_ms)
+def active_at(probes: DataFrame, spans: DataFrame, keys: list[str], t: str, start: str, end: str) -> DataFrame:
+    """All spans in force at each instant (``start <= t < end``), second-long and month-long ones alike."""
+    return joins.stabbed(probes, spans, keys, t, F.col(start), F.col(end))
 
 
 def spans_in_window(windows: DataFrame, spans: DataFrame, keys: list[str], w_start: str, w_end: str, start: str, end: str,
@@ -350,10 +350,46 @@ def snap_nearest(points: DataFrame, grid: DataFrame, keys: list[str], t: str, pi
 
 
 def covering_pairs(outer: DataFrame, inner: DataFrame, keys: list[str], o: tuple[str, str], i: tuple[str, str],
-                   slack: int = COVER_SLACK_MS, bin_ms: int = DAY_MS) -> DataFrame:
+                   slack: int = COVER_SLACK_MS) -> DataFrame:
     """Pairs where the outer span contains the inner one, with slack at both edges."""
-    pred = (F.col(o[0]) <= F.col(i[0]) + slack) & (F.col(o[1]) >= F.col(i[1]) - slack)
-    return joins.points_in_spans(inner, outer, keys, i[0], F.col(o[0]) - slack, F.col(o[1]) + slack, bin_ms, predicate=pred)
+    return joins.stabbed(inner, outer, keys, i[0], F.col(o[0]) - slack, F.col(o[1]) + slack + 1, predicate=covers(o, i, slack))
+
+
+def covers(o: tuple[str, str], i: tuple[str, str], slack: int = COVER_SLACK_MS) -> Column:
+    return (F.col(o[0]) <= F.col(i[0]) + slack) & (F.col(o[1]) >= F.col(i[1]) - slack)
+
+
+def reusable(windows: DataFrame, cached: DataFrame, keys: list[str], wid: str, cid: str, version: int, slack: int = COVER_SLACK_MS) -> DataFrame:
+    """The stored track a window can be read from: it covers the window, has its mode and the rules' version.
+
+    ``windows`` hold ``w_start``, ``w_end``, ``mode``; ``cached`` hold ``c_start``, ``c_end``, ``c_mode``,
+    ``c_version``. Of several the shortest, then the smallest id. One row per window, null where none serves:
+    a track of another mode, of an older rule or without a span never does.
+    """
+    live = cached.filter((F.col("c_version") == version) & F.col("c_mode").isNotNull())
+    live = live.select(*keys, cid, "c_start", "c_end", F.col("c_mode").alias("mode"))
+    hit = covering_pairs(live, windows.filter("w_end >= w_start"), [*keys, "mode"], ("c_start", "c_end"), ("w_start", "w_end"), slack)
+    best = hit.groupBy(*keys, wid).agg(F.min(F.struct((F.col("c_end") - F.col("c_start")).alias("len"), F.col(cid).alias("id"))).alias("__b"))
+    best = best.select(F.col(wid).alias("__w"), *[F.col(k).alias(f"__o_{k}") for k in keys], F.col("__b.id").alias(cid))
+    on = F.col(wid) == F.col("__w")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__o_{k}"))
+    return windows.join(best, on, "left").drop("__w", *[f"__o_{k}" for k in keys])
+
+
+def kept_track(same: Column, old: tuple[Column, Column], new: tuple[Column, Column], slack: int = COVER_SLACK_MS) -> tuple[Column, Column, Column]:
+    """What is stored when a new track meets an old one: action, start and end.
+
+    ``same``: both have one mode and the rules' version. A strictly wider old track stays, a new one that
+    covers the old replaces it, others are stitched to their union; without ``same`` the new one is stored.
+    """
+    wide = (old[0] <= new[0] + slack) & (old[1] >= new[1] - slack)
+    back = (new[0] <= old[0] + slack) & (new[1] >= old[1] - slack)
+    same = F.coalesce(same & old[0].isNotNull() & old[1].isNotNull(), F.lit(False))
+    act = F.when(same & wide & ~back, "keep").when(same & ~back, "stitch").otherwise("replace")
+    s = F.when(act == "keep", old[0]).when(act == "stitch", F.least(old[0], new[0])).otherwise(new[0])
+    e = F.when(act == "keep", old[1]).when(act == "stitch", F.greatest(old[1], new[1])).otherwise(new[1])
+    return act, s, e
 
 
 def clip_window(start: Column, end: Column, trim_start: Column, trim_end: Column, source_ms: Column) -> tuple[Column, Column, Column]:

@@ -43,6 +43,49 @@ def points_in_spans(
     return out.drop(BIN, "__sbin", "__s", "__e", *[f"__k_{k}" for k in keys])
 
 
+def _nodes(a: Column, b: Column) -> Column:
+    """The at most two dyadic nodes a level whose ranges make up ``[a, b)``: level ``k``, node ``p`` is ``[p * 2^k, (p + 1) * 2^k)``."""
+    def at(k: Column) -> Column:
+        shift = lambda x: F.call_function("shiftright", x, k)
+        lo, hi = -shift(-a), shift(b)
+        node = lambda p: F.struct(k.alias("k"), p.alias("p"))
+        left = F.when((lo < hi) & (lo.bitwiseAND(F.lit(1)) == 1), node(lo))
+        right = F.when((lo < hi) & (hi.bitwiseAND(F.lit(1)) == 1), node(hi - 1))
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.length(F.bin(b - a)) - 1)
+    return F.filter(F.flatten(F.transform(levels, at)), lambda n: n.isNotNull())
+
+
+def stabbed(
+    points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: Column, end: Column,
+    unit: int = 1024, predicate: Column | None = None,
+) -> DataFrame:
+    """Pairs of a point and a span with ``start <= t < end``, for spans of any mix of lengths; all in long milliseconds.
+
+    Time is cut into units and the units into dyadic nodes. A span goes to the few nodes
+    that make it up (two a level at most), a point to every node above its unit, up to
+    the highest level any span uses. A point and a span share at most one node, and every
+    pair in a node above the lowest level is a match, so no key of the join holds more
+    than its matches and the pairs of one unit. Spans that are empty, reversed or null
+    at an end, and points without a time, match nothing. Null keys match nothing.
+    """
+    s = spans.withColumns({"__s": start.cast("long"), "__e": end.cast("long")}).filter("__s < __e")
+    s = s.withColumn("__at", F.explode(_nodes(F.floor(F.col("__s") / unit), F.floor((F.col("__e") - 1) / unit) + 1)))
+    s = s.select(*[F.col(c).alias(f"__k_{c}") for c in keys], F.col("__at.k").alias("__sk"), F.col("__at.p").alias("__sp"),
+                 *[c for c in s.columns if c not in keys and c != "__at"])
+    tops = spans.filter(start.cast("long") < end.cast("long")).select(F.max(F.length(F.bin(F.floor((end.cast("long") - start.cast("long")) / unit) + 2)) - 1).alias("top"))
+    p = points.filter(F.col(t).isNotNull()).withColumn("__k", F.explode(F.sequence(F.lit(0), F.coalesce(tops.scalar(), F.lit(0)))))
+    p = p.withColumn("__p", F.call_function("shiftright", F.floor(F.col(t) / unit).cast("long"), F.col("__k")))
+    cond = (F.col("__k") == F.col("__sk")) & (F.col("__p") == F.col("__sp"))
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__k_{k}"))
+    cond = cond & (F.col(t) >= F.col("__s")) & (F.col(t) < F.col("__e"))
+    if predicate is not None:
+        cond = cond & predicate
+    return p.join(s, cond).drop("__k", "__p", "__sk", "__sp", "__s", "__e", *[f"__k_{k}" for k in keys])
+
+
 def overlaps(
     left: DataFrame, right: DataFrame, keys: list[str],
     l_start: str, l_end: str, r_start: str, r_end: str, width: float,

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.numeric import half_up, half_up_sql
 from chronoweave.operators import intervals as iv
+from chronoweave.operators.scans import previous, scan
 from chronoweave.operators.staging import stage
 from chronoweave.plans import views
 from chronoweave.plans.registry import query
 
 K = ["owner_id"]
 LO, HI = iv.DAY_MS, 29 * iv.DAY_MS
+TRACK_VERSION = 16
 MERGED = f"""
   m1 AS (SELECT owner_id, span_id, greatest({LO}, start_ms) AS s, least({HI}, end_ms) AS e FROM v_spans WHERE enabled AND lane = 'click'),
   m2 AS (SELECT *, max(e) OVER (PARTITION BY owner_id ORDER BY s, e, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM m1 WHERE e - s >= 120),
@@ -329,6 +331,31 @@ def q_covers(spark, sf):
     return iv.covering_pairs(o, i, K, ("o_s", "o_e"), ("i_s", "i_e")).select("owner_id", "inner_id", "outer_id")
 
 
+@query("e24_track_reuse", """
+  w AS (SELECT owner_id, span_id AS window_id, start_ms AS w_start, end_ms AS w_end, CASE WHEN score >= 2e1 THEN 'wide' ELSE 'close' END AS mode FROM v_spans WHERE lane = 'click'),
+  c AS (SELECT owner_id, span_id AS track_id, start_ms AS c_start, end_ms AS c_end, CASE WHEN span_id % 2 = 0 THEN 'wide' ELSE 'close' END AS mode FROM v_spans WHERE lane = 'view' AND score >= 5),
+  h AS (SELECT w.window_id, c.track_id, row_number() OVER (PARTITION BY w.window_id ORDER BY c.c_end - c.c_start, c.track_id) AS rn FROM w JOIN c ON c.owner_id = w.owner_id AND c.mode = w.mode AND c.c_start <= w.w_start + 50 AND c.c_end >= w.w_end - 50)
+  SELECT w.owner_id, w.window_id, w.mode, h.track_id FROM w LEFT JOIN h ON h.window_id = w.window_id AND h.rn = 1""", "v_spans")
+def q_reuse(spark, sf):
+    s = views.spans(spark, sf)
+    w = s.filter("lane = 'click'").select("owner_id", F.col("span_id").alias("window_id"), F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end"), F.when(F.col("score") >= 20.0, "wide").otherwise("close").alias("mode"))
+    c = s.filter("lane = 'view'").select("owner_id", F.col("span_id").alias("track_id"), F.col("start_ms").alias("c_start"), F.col("end_ms").alias("c_end"), F.when(F.col("span_id") % 2 == 0, "wide").otherwise("close").alias("c_mode"),
+                                         F.when(F.col("score") >= 5, TRACK_VERSION).otherwise(TRACK_VERSION - 1).alias("c_version"))
+    return iv.reusable(w, c, K, "window_id", "track_id", TRACK_VERSION).select("owner_id", "window_id", "mode", "track_id")
+
+
+@query("e24_kept_track", """
+  n AS (SELECT span_id, lane, enabled, start_ms AS s, end_ms AS e, lag(start_ms) OVER w AS os, lag(end_ms) OVER w AS oe, lag(lane) OVER w AS ol FROM v_spans WINDOW w AS (PARTITION BY owner_id ORDER BY start_ms, span_id)),
+  f AS (SELECT *, ol = lane AND oe IS NOT NULL AS same, os <= s + 50 AND oe >= e - 50 AS wide, s <= os + 50 AND e >= oe - 50 AS back FROM n),
+  a AS (SELECT *, CASE WHEN same AND wide AND NOT back THEN 'keep' WHEN same AND NOT back THEN 'stitch' ELSE 'replace' END AS action FROM f)
+  SELECT span_id, action, CASE action WHEN 'keep' THEN os WHEN 'stitch' THEN least(os, s) ELSE s END AS start_ms, CASE action WHEN 'keep' THEN oe WHEN 'stitch' THEN greatest(oe, e) ELSE e END AS end_ms FROM a""", "v_spans")
+def q_kept_track(spark, sf):
+    old = F.struct("start_ms", "end_ms", "lane")
+    s = scan(views.spans(spark, sf), K, ["start_ms", "span_id"], F.floor(F.col("start_ms") / iv.DAY_MS), old=previous(old))
+    act, a, b = iv.kept_track(F.col("old.lane") == F.col("lane"), (F.col("old.start_ms"), F.col("old.end_ms")), (F.col("start_ms"), F.col("end_ms")))
+    return s.select("span_id", act.alias("action"), a.alias("start_ms"), b.alias("end_ms"))
+
+
 @query("e25_clip_window", f"""
   c AS (SELECT span_id, greatest(0, CASE WHEN span_id % 3 = 0 THEN start_ms + 60000 ELSE start_ms END) AS s,
           least(CASE WHEN span_id % 4 = 0 THEN end_ms - 60000 ELSE end_ms END, {15 * iv.DAY_MS}) AS e FROM v_spans)
