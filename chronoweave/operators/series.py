@@ -8,8 +8,11 @@ because a cut resets their state.
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,7 @@ SAME_PX, SNAP_SHARE = 4.0, 0.25
 TRACK_KEEP, TRACK_NEW, MAX_MISSES = 0.6, 0.4, 4
 DAY_MS = 86_400_000
 IDX_BUCKET = 65_536
+BATCH_BYTES = 32 << 20
 ORDER = ["t_ms", "seq"]
 
 
@@ -146,45 +150,181 @@ def share_score(grid: DataFrame, keys: list[str], energy: str, corr: Column) ->
     return grid.withColumn("score", F.floor(share * (0.35 + 0.65 * corr) * 1e6 + 0.5) / 1e6)
 
 
-def frame_scores(scored: DataFrame, keys: list[str], frame: str) -> DataFrame:
-    """One row per shot: its frames in order, each with its seats' scores."""
-    f = scored.groupBy(*keys, frame).agg(F.array_sort(F.collect_list(F.struct("seat", "score"))).alias("s"))
-    return collect_ordered(f, keys, [frame], ["s"], "frames")
-
-
-def best_seat(s: Column) -> Column:
-    return F.array_min(F.transform(s, lambda x: F.struct((-x["score"]).alias("neg"), x["seat"].alias("seat"))))["seat"]
+def frame_blocks(rows: DataFrame, keys: list[str], frame: str, size: int, **fields: str) -> DataFrame:
+    """One staged row per key and ``size`` values of ``frame``: its frames in order, how many rows each holds, and the rows' fields as flat arrays of type ``fields``.
 
+    A frame's rows are in the order of their fields; rows without a frame are left out.
+    """
+    one = rows.filter(F.col(frame).isNotNull()).groupBy(*keys, F.col(frame).cast("long").alias("__f"))
+    one = one.agg(F.array_sort(F.collect_list(F.struct(*[F.col(f).cast(t).alias(f) for f, t in fields.items()]))).alias("__r"))
+    cut = collect_ordered(one.withColumn("__b", F.floor(F.col("__f") / size)), [*keys, "__b"], ["__f"], ["__r"], "__rows")
+    per = F.transform("__rows", lambda r: r["__r"])
+    flat = [F.transform("__rows", lambda r: r["__f"]).alias("__f"), F.transform(per, lambda r: F.size(r)).alias("__n"), *[F.flatten(per)[f].alias(f) for f in fields]]
+    return stage(cut.select(*keys, "__b", F.monotonically_increasing_id().alias("__id"), *flat), "blocks")
 
-def hysteresis(frames: Column, hold: int, margin: float = SWITCH_MARGIN) -> Column:
-    """Choice per frame: a challenger takes over after leading by the margin ``hold`` frames in a row."""
-    score = lambda s, seat: F.get(F.filter(s, lambda x: x["seat"] == seat), F.lit(0))["score"]
 
-    def step(acc, f):
-        best = best_seat(f["s"])
-        cur = F.coalesce(acc["cur"], best)
-        lead = (best != cur) & (score(f["s"], best) - score(f["s"], cur) > margin)
-        count = F.when(~lead, 0).when(acc["ch"] == best, acc["n"] + 1).otherwise(1)
-        switch = lead & (count >= hold)
-        now = F.when(switch, best).otherwise(cur)
-        out = F.concat(acc["out"], F.array(F.struct(f["frame"].alias("frame"), now.alias("seat"), switch.alias("switched"))))
-        return F.struct(now.alias("cur"), F.when(lead & ~switch, best).alias("ch"), F.when(switch, 0).otherwise(count).alias("n"), out.alias("out"))
+def transduced(blocks: DataFrame, keys: list[str], summary: Callable, advance: Callable, walk: Callable, out: str) -> DataFrame:
+    """Run a state machine along each key, exact, with all blocks worked on at once.
 
-    init = F.struct(F.lit(None).cast("long").alias("cur"), F.lit(None).cast("long").alias("ch"), F.lit(0).alias("n"),
-                    F.array().cast("array<struct<frame:bigint,seat:bigint,switched:boolean>>").alias("out"))
-    return F.aggregate(frames, init, step, lambda a: a["out"])
+    ``summary(*arrays)`` sums a block up for any state that may enter it, ``advance(summary,
+    state)`` is the state that leaves it (None enters a key's first block), ``walk(state,
+    *arrays)`` gives the output columns of type ``out``. What runs in order per key is
+    ``advance`` alone, streaming over one small summary a block; no key is ever one array.
+    """
+    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    arrays = blocks.columns[len(keys) + 2:]
 
+    def summed(batches):
+        for b in batches:
+            b["__sum"] = [json.dumps(summary(*r)) for r in zip(*(b.pop(a) for a in arrays))]
+            yield b
 
-def opening_choice(shots_: Column, rows: int, margin: float = SWITCH_MARGIN) -> Column:
-    """Opening seat per shot: the one nearest the previous speaker unless another clearly speaks."""
-    def step(acc, s):
-        near = F.array_min(F.transform(s["seats"], lambda x: F.struct(F.abs(x["centre"] - acc["carry"]).alias("d"), x["seat"].alias("seat"), x["centre"].alias("c"), x["spoken"].alias("v"))))
-        talk = F.array_min(F.transform(s["seats"], lambda x: F.struct((-x["spoken"]).alias("neg"), x["seat"].alias("seat"), x["centre"].alias("c"), x["spoken"].alias("v"))))
-        use_talk = acc["carry"].isNull() | ((talk["seat"] != near["seat"]) & (talk["v"] > near["v"] + margin * rows))
-        seat, c = F.when(use_talk, talk["seat"]).otherwise(near["seat"]), F.when(use_talk, talk["c"]).otherwise(near["c"])
-        return F.struct(c.alias("carry"), F.concat(acc["out"], F.array(F.struct(s["shot"].alias("shot"), seat.alias("seat")))).alias("out"))
-    init = F.struct(F.lit(None).cast("double").alias("carry"), F.array().cast("array<struct<shot:bigint,seat:bigint>>").alias("out"))
-    return F.aggregate(shots_, init, step, lambda a: a["out"])
+    def entering(batches):
+        key, state = None, None
+        for b in batches:
+            got = []
+            for k, s in zip(zip(*(b[c].astype(object).where(b[c].notna(), None) for c in keys)), b["__sum"]):
+                if k != key:
+                    key, state = k, None
+                got.append(json.dumps(state))
+                state = advance(json.loads(s), state)
+            yield pd.DataFrame({"__id": b["__id"], "__state": got})
+
+    def walked(batches):
+        for b in batches:
+            for i, s, *r in zip(b["__id"], b["__state"], *(b[a] for a in arrays)):
+                yield pd.DataFrame(dict(zip(names, [np.full(len(r[0]), i), *walk(json.loads(s), *r)])))
+
+    kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in keys)
+    names = ["__id", *[f.split()[0] for f in out.split(", ")]]
+    sums = blocks.select(*keys, "__b", "__id", *arrays).mapInPandas(summed, f"{kinds}, __b long, __id long, __sum string")
+    states = sums.repartition(*keys).sortWithinPartitions(*keys, "__b").mapInPandas(entering, "__id long, __state string")
+    rows = blocks.select("__id", *arrays).join(states, "__id").mapInPandas(walked, f"__id long, {out}")
+    return blocks.select("__id", *keys).join(rows, "__id").drop("__id")
+
+
+class _Leads:
+    """A block of frames seen from every seat: the best seat by place, where it leads that seat, and for how many frames on end."""
+
+    def __init__(self, n, seat, score, hold: int, margin: float):
+        self.seats, place = np.unique(seat, return_inverse=True)
+        self.size, self.hold = len(n), hold
+        table = np.full((self.seats.size, self.size), -np.inf)
+        table[place, np.repeat(np.arange(self.size), n)] = score
+        self.best = table.argmax(axis=0)
+        top = table[self.best, np.arange(self.size)]
+        self.lead = (self.best != np.arange(self.seats.size)[:, None]) & (table > -np.inf) & (top - table > margin)
+        same = np.zeros(self.lead.shape, dtype=bool)
+        same[:, 1:] = self.lead[:, :-1] & (self.best[1:] == self.best[:-1])
+        at = np.arange(self.size)
+        self.run = np.where(self.lead, at - np.maximum.accumulate(np.where(self.lead & ~same, at, 0), axis=1) + 1, 0)
+        self.full = [np.flatnonzero(r >= hold) for r in self.run]
+
+    def follow(self, cur: int, ch: int = -1, n: int = 0) -> tuple[list[tuple[int, int]], tuple[int, int, int]]:
+        """Switches (frame, seat) if entered with choice ``cur`` and challenger ``ch`` ahead for ``n`` frames, and the state that leaves."""
+        j, out = 0, []
+        if n:
+            broken = np.flatnonzero(~(self.lead[cur] & (self.best == ch))[: self.hold - n])
+            if broken.size:
+                j = int(broken[0])
+            elif self.size < self.hold - n:
+                return out, (cur, ch, n + self.size)
+            else:
+                j, cur = self.hold - n, ch
+                out.append((j - 1, ch))
+        while j < self.size:
+            # a run that began before j counts from j on
+            hit = int(np.searchsorted(self.full[cur], j + self.hold - 1))
+            if hit == self.full[cur].size:
+                n = min(int(self.run[cur, -1]), self.size - j)
+                return out, (cur, int(self.best[-1]) if n else -1, n)
+            j = int(self.full[cur][hit])
+            cur = int(self.best[j])
+            out.append((j, cur))
+            j += 1
+        return out, (cur, -1, 0)
+
+
+def hysteresis(scored: DataFrame, keys: list[str], frame: str, hold: int, margin: float = SWITCH_MARGIN, size: int = 4096) -> DataFrame:
+    """Choice per frame (``seat``, ``switched``): a challenger takes over after leading by the margin ``hold`` frames in a row.
+
+    ``scored`` holds one row per key, frame and seat. A series of any length is cut into blocks:
+    a block is followed from every seat at its start, and from each with the first frame's best
+    one already ahead for 1 to ``hold - 1`` frames. A seat with a null or missing score leads
+    nobody and is led by nobody; null frames are left out, frames without any score too.
+    """
+    f = scored.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("seat").isNotNull())
+
+    def summary(frames, n, seat, score):
+        x = _Leads(n, seat, score, hold, margin)
+        names, leave = x.seats.tolist(), {}
+        for c, s in enumerate(names):
+            ahead = range(1, hold) if x.lead[c, 0] else ()
+            for k in (0, *ahead):
+                cur, ch, m = x.follow(c, int(x.best[0]), k)[1]
+                leave[f"{s} {k}"] = [names[cur], names[ch] if m else None, m]
+        return {"first": names[int(x.best[0])], "leave": leave}
+
+    def enter(first, state, led):
+        """The state without a challenger that the first frame ends."""
+        if state is None:
+            return [first, None, 0]
+        cur, ch, n = state
+        return state if n and ch == first and led(cur) else [cur, None, 0]
+
+    def advance(s, state):
+        cur, _, n = enter(s["first"], state, lambda c: f"{c} 1" in s["leave"])
+        return s["leave"].get(f"{cur} {n}", [cur, None, 0])
+
+    def walk(state, frames, n, seat, score):
+        x = _Leads(n, seat, score, hold, margin)
+        place = {s: i for i, s in enumerate(x.seats.tolist())}
+        cur, ch, m = enter(x.seats[x.best[0]], state, lambda c: c in place and x.lead[place[c], 0])
+        choice, switched = np.full(x.size, cur), np.zeros(x.size, dtype=bool)
+        for j, s in x.follow(place[cur], place[ch] if m else -1, m)[0] if cur in place else ():
+            choice[j:], switched[j] = x.seats[s], True
+        return frames, choice, switched
+
+    return transduced(frame_blocks(f, keys, frame, size, seat="long", score="double"), keys, summary, advance, walk, f"{frame} long, seat long, switched boolean")
+
+
+def opening_choice(seats: DataFrame, keys: list[str], shot: str, rows: int, margin: float = SWITCH_MARGIN, size: int = 4096) -> DataFrame:
+    """Opening ``seat`` per shot: the one nearest the previous shot's unless another clearly speaks.
+
+    ``seats`` holds one row per key, shot and seat, with its ``centre`` and how much it has ``spoken``. After a
+    block's first shot the choice is one of that shot's seats, so a block is followed from each of them.
+    Ties go to the smaller seat; seats without a centre or a spoken value, and null shots, are left out.
+    """
+    s = seats.filter(F.col("centre").isNotNull() & F.col("spoken").isNotNull() & F.col("seat").isNotNull())
+
+    def pick(at, before):
+        """The seat (number, centre, spoken) chosen after ``before``, the centre last chosen."""
+        talk = min(at, key=lambda x: (-x[2], x[0]))
+        near = talk if before is None else min(at, key=lambda x: (abs(x[1] - before), x[0]))
+        return talk if talk[2] > near[2] + margin * rows else near
+
+    def shots_of(n, *flat):
+        items, at = list(zip(*(f.tolist() for f in flat))), np.cumsum([0, *n]).tolist()
+        return [items[a:b] for a, b in zip(at, at[1:])]
+
+    def summary(shots, n, *flat):
+        at = shots_of(n, *flat)
+        leave = {x: x[1] for x in at[-1]}
+        for a, b in zip(at[-2::-1], at[:0:-1]):
+            leave = {x: leave[pick(b, x[1])] for x in a}
+        return {"first": at[0], "leave": [leave[x] for x in at[0]]}
+
+    def advance(s, state):
+        return s["leave"][s["first"].index(pick(s["first"], state))]
+
+    def walk(state, shots, n, *flat):
+        chosen = []
+        for at in shots_of(n, *flat):
+            seat, state, _ = pick(at, state)
+            chosen.append(seat)
+        return shots, np.array(chosen)
+
+    return transduced(frame_blocks(s, keys, shot, size, seat="long", centre="double", spoken="double"), keys, summary, advance, walk, f"{shot} long, seat long")
 
 
 def affine_scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, a: Column, b: Column, seed: float) -> DataFrame:

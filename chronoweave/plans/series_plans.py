@@ -152,8 +152,7 @@ HYST = SCORED + """,
 
 @query("f13_hysteresis_switch", HYST + " SELECT series_id, frame, cur AS seat, switched FROM hy", "v_series")
 def q_hysteresis(spark, sf):
-    f = sr.frame_scores(scored(spark, sf), [K], "frame")
-    return f.select(K, F.inline(sr.hysteresis(F.col("frames"), 2)))
+    return sr.hysteresis(scored(spark, sf), [K], "frame", 2)
 
 
 WEEK = seats_sql("series_id, shot", "(SELECT series_id, t_ms // 604800000 AS shot, x FROM v_series)", "k_")
@@ -169,8 +168,7 @@ WEEK = seats_sql("series_id, shot", "(SELECT series_id, t_ms // 604800000 AS sho
 def q_opening(spark, sf):
     p = positions(spark, sf).withColumn("shot", F.floor(F.col("t_ms") / (7 * DAY)))
     s = sr.seats_1d(p, [K, "shot"], "x100", 49_000).withColumn("spoken", F.col("n") / 10.0)
-    a = s.groupBy(K, "shot").agg(F.array_sort(F.collect_list(F.struct("seat", "centre", "spoken"))).alias("seats"))
-    return collect_ordered(a, [K], ["shot"], ["seats"], "shots").select(K, F.inline(sr.opening_choice(F.col("shots"), 3)))
+    return sr.opening_choice(s, [K], "shot", 3)
 
 
 EMA = IX + """, em AS (SELECT series_id, i, sqrt(x) AS s FROM ix WHERE i = 0 UNION ALL SELECT n.series_id, n.i, CASE WHEN n.cut THEN sqrt(n.x) ELSE e.s + (sqrt(n.x) - e.s) * 5e-1 END FROM em e JOIN ix n ON n.series_id = e.series_id AND n.i = e.i + 1)"""
