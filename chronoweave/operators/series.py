@@ -132,14 +132,24 @@ def rolling_mean(indexed: DataFrame, key: str, x: str, w: int, size: int = IDX_B
     return t.select(key, F.explode(F.when(F.col("next_t").isNull(), last).otherwise(one)).alias("i"), "mean")
 
 
-def windowed_pearson(indexed: DataFrame, key: str, a: str, b: str, w: int, size: int = IDX_BUCKET) -> DataFrame:
+def windowed_pearson(indexed: DataFrame, key: str | list[str], a: str, b: str, w: int, size: int = IDX_BUCKET) -> DataFrame:
     """Correlation over a centred window; too few rows or no variance count as 0, negatives floor at 0."""
-    half = w // 2
+    half, keys = w // 2, [key] if isinstance(key, str) else key
     h = with_halo(indexed, half, half, size)
-    win = Window.partitionBy(key, "b").orderBy("i").rowsBetween(-half, half)
-    t = h.withColumn("__n", F.count("*").over(win)).withColumn("__r", F.corr(a, b).over(win)).filter("own")
+    win = Window.partitionBy(*keys, "b").orderBy("i").rowsBetween(-half, half)
+    # corr() itself divides by zero where a window does not vary
+    spread = F.stddev_pop(a).over(win) * F.stddev_pop(b).over(win)
+    t = h.withColumn("__n", F.count("*").over(win)).withColumn("__r", F.try_divide(F.covar_pop(a, b).over(win), spread)).filter("own")
     r = F.when((F.col("__n") < 3) | F.col("__r").isNull() | F.isnan("__r"), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("__r")))
-    return t.select(key, "i", r.alias("corr"))
+    return t.select(*keys, "i", r.alias("corr"))
+
+
+def sound_correlation(grid: DataFrame, sound: DataFrame, key: str, frame: str, w: int, size: int = IDX_BUCKET) -> DataFrame:
+    """Add ``corr``: how well a seat's energy follows the series' ``level`` around each frame, to four digits; frames without sound have level 0."""
+    g = grid.join(sound.select(key, frame, "level"), [key, frame], "left").withColumn("__level", F.coalesce(F.col("level").cast("double"), F.lit(0.0)))
+    r = windowed_pearson(g.withColumn("i", F.col(frame)), [key, "seat"], "energy", "__level", w, size)
+    r = r.select(F.col(key).alias("__k"), F.col("seat").alias("__s"), F.col("i").alias("__f"), (F.floor(F.col("corr") * 1e4 + 0.5) / 1e4).alias("corr"))
+    return grid.join(r, (F.col(key) == F.col("__k")) & (F.col("seat") == F.col("__s")) & (F.col(frame) == F.col("__f"))).drop("__k", "__s", "__f")
 
 
 def share_score(grid: DataFrame, keys: list[str], energy: str, corr: Column) -> DataFrame:
@@ -386,11 +396,23 @@ def hold_before_cut(series: DataFrame, key: str, is_cut: Column, hold_ms: int) -
     return s.filter(~F.coalesce(near, F.lit(False))).drop("__c")
 
 
-def winner_margin(scored: DataFrame, key: str, frame: str) -> DataFrame:
-    """Mean lead of the best seat over the second, and frames with both active."""
-    f = scored.groupBy(key, frame).agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).filter(F.size("s") > 1)
-    f = f.select(key, (F.col("s")[0] - F.col("s")[1]).alias("m"), ((F.col("s")[0] >= DUAL_SCORE) & (F.col("s")[1] >= DUAL_SCORE)).alias("dual"))
-    return f.groupBy(key).agg(F.count("*").alias("frames"), F.avg("m").alias("margin"), F.count_if("dual").alias("dual"))
+def winner_margin(scored: DataFrame, choices: DataFrame, presence: DataFrame, key: str, frame: str) -> DataFrame:
+    """How sure the choices of a series are: means over the frames with two seats or more, and its switches.
+
+    ``margin``: lead of the best seat over the second; ``speaker_corr``, ``listener_corr``: how well those
+    two follow the sound; ``dual``: frames with both active; ``present``: share of rows with a face.
+    Means are sums of whole millionths, so they do not depend on the order of rows. Series that never
+    have two seats are left out; the lower seat wins a tie.
+    """
+    s = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "seat", "corr")))
+    f = scored.groupBy(key, frame).agg(s.alias("s")).filter(F.size("s") > 1)
+    micro = lambda x: F.floor(x * 1e6 + 0.5)
+    a, b = F.col("s")[0], F.col("s")[1]
+    f = f.select(key, micro(b["neg"] - a["neg"]).alias("m"), micro(a["corr"]).alias("ca"), micro(b["corr"]).alias("cb"), ((-a["neg"] >= DUAL_SCORE) & (-b["neg"] >= DUAL_SCORE)).alias("dual"))
+    mean = lambda c: F.sum(c) / F.count("*") / 1e6
+    m = f.groupBy(key).agg(F.count("*").alias("frames"), mean("m").alias("margin"), mean("ca").alias("speaker_corr"), mean("cb").alias("listener_corr"), F.count_if("dual").alias("dual"))
+    n = choices.groupBy(key).agg(F.count_if("switched").alias("switches"))
+    return m.join(n, key).join(presence.select(key, (F.col("seen") / F.col("n")).alias("present")), key)
 
 
 def confidence(presence_share: Column, margin: Column) -> Column:

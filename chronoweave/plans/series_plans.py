@@ -43,7 +43,10 @@ GRID = ASSIGN + """,
   ga AS (SELECT series_id, seat, frame, max(x) AS energy, arg_max(x, struct_pack(t := t_ms, s := seq)) AS pos FROM asg GROUP BY ALL),
   grid AS (SELECT q.series_id, q.seat, q.centre, f.frame, coalesce(g.energy, 0e0) AS energy, g.pos FROM seats q JOIN (SELECT series_id, unnest(range(0, max(t_ms) // 86400000 + 1)) AS frame FROM v_series GROUP BY series_id) f ON f.series_id = q.series_id LEFT JOIN ga g ON g.series_id = q.series_id AND g.seat = q.seat AND g.frame = f.frame)"""
 SCORED = GRID + f""",
-  sc AS (SELECT *, {half_up_sql('CASE WHEN sum(energy) OVER f > 1e-6 THEN energy / sum(energy) OVER f ELSE 1e0 / count(*) OVER f END * (35e-2 + 65e-2 * ((seat + frame) % 3 / 2e0))', 6)} AS score FROM grid WINDOW f AS (PARTITION BY series_id, frame))"""
+  au AS (SELECT series_id, t_ms // 86400000 AS frame, sum({half_up_sql('x * 100')}) AS level FROM v_series GROUP BY ALL),
+  cw AS (SELECT g.*, count(*) OVER w AS cn, corr(g.energy, coalesce(au.level, 0)::DOUBLE) OVER w AS r FROM grid g LEFT JOIN au ON au.series_id = g.series_id AND au.frame = g.frame WINDOW w AS (PARTITION BY g.series_id, g.seat ORDER BY g.frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+  cr AS (SELECT *, {half_up_sql('CASE WHEN cn < 3 OR r IS NULL OR isnan(r) THEN 0e0 ELSE greatest(0e0, r) END', 4)} AS corr FROM cw),
+  sc AS (SELECT *, {half_up_sql('CASE WHEN sum(energy) OVER f > 1e-6 THEN energy / sum(energy) OVER f ELSE 1e0 / count(*) OVER f END * (35e-2 + 65e-2 * corr)', 6)} AS score FROM cr WINDOW f AS (PARTITION BY series_id, frame))"""
 
 
 def seats(spark, sf):
@@ -61,8 +64,9 @@ def grid(spark, sf):
 
 
 def scored(spark, sf):
-    corr = ((F.col("seat") + F.col("frame")) % 3) / 2.0
-    return sr.share_score(grid(spark, sf), [K, "frame"], "energy", corr)
+    level = positions(spark, sf).groupBy(K, "frame").agg(F.sum("x100").alias("level"))
+    g = stage(grid(spark, sf), "grid")
+    return sr.share_score(sr.sound_correlation(g, level, K, "frame", 7), [K, "frame"], "energy", F.col("corr"))
 
 
 @query("f1_frame_change", f"""
@@ -196,11 +200,19 @@ def q_hold(spark, sf):
     return sr.hold_before_cut(views.series(spark, sf), K, F.col("cut"), HOUR).select(K, "seq", "t_ms")
 
 
-@query("f18_winner_margin", SCORED + f""", r AS (SELECT series_id, frame, list(score ORDER BY score DESC) AS s FROM sc GROUP BY ALL), m AS (SELECT series_id, count(*) AS frames, avg(s[1] - s[2]) AS margin, count(*) FILTER (WHERE s[1] >= 34e-2 AND s[2] >= 34e-2) AS dual FROM r WHERE len(s) > 1 GROUP BY series_id)
-  SELECT series_id, frames, {half_up_sql('margin', 5)} AS margin, dual, {half_up_sql('greatest(0e0, least(1e0, 25e-2 + 45e-2 * 8e-1 + 6e-1 * least(margin, 5e-1)))', 5)} AS confidence FROM m""", "v_series")
+@query("f18_winner_margin", HYST + f""",
+  r AS (SELECT series_id, frame, list(struct_pack(k := -score, seat := seat, s := score, c := corr) ORDER BY -score, seat) AS s FROM sc GROUP BY ALL),
+  m AS (SELECT series_id, count(*) AS frames, sum({half_up_sql('(s[1].s - s[2].s) * 1e6')}) / count(*)::DOUBLE / 1e6 AS margin, sum({half_up_sql('s[1].c * 1e6')}) / count(*)::DOUBLE / 1e6 AS sp, sum({half_up_sql('s[2].c * 1e6')}) / count(*)::DOUBLE / 1e6 AS li,
+    count(*) FILTER (WHERE s[1].s >= 34e-2 AND s[2].s >= 34e-2) AS dual FROM r WHERE len(s) > 1 GROUP BY series_id),
+  w AS (SELECT series_id, count(*) FILTER (WHERE switched) AS switches FROM hy GROUP BY series_id),
+  pr AS (SELECT series_id, count(*) FILTER (WHERE x > 12e1) / count(*)::DOUBLE AS present FROM v_series GROUP BY series_id)
+  SELECT m.series_id, frames, {half_up_sql('margin', 5)} AS margin, {half_up_sql('sp', 5)} AS speaker_corr, {half_up_sql('li', 5)} AS listener_corr, dual, switches, {half_up_sql('present', 5)} AS present,
+    {half_up_sql('greatest(0e0, least(1e0, 25e-2 + 45e-2 * present + 6e-1 * least(margin, 5e-1)))', 5)} AS confidence FROM m JOIN w ON w.series_id = m.series_id JOIN pr ON pr.series_id = m.series_id""", "v_series")
 def q_margin(spark, sf):
-    m = sr.winner_margin(scored(spark, sf), K, "frame")
-    return m.select(K, "frames", half_up(F.col("margin"), 5).alias("margin"), "dual", half_up(sr.confidence(F.lit(0.8), F.col("margin")), 5).alias("confidence"))
+    s = stage(scored(spark, sf), "scored")
+    m = sr.winner_margin(s, sr.hysteresis(s, [K], "frame", 2), sr.presence(views.series(spark, sf), K, F.col("x") > 120.0), K, "frame")
+    return m.select(K, "frames", *[half_up(F.col(c), 5).alias(c) for c in ("margin", "speaker_corr", "listener_corr")], "dual", "switches", half_up(F.col("present"), 5).alias("present"),
+                    half_up(sr.confidence(F.col("present"), F.col("margin")), 5).alias("confidence"))
 
 
 @query("f19_rms_envelope", IX + f""", n AS (SELECT series_id, greatest(1, count(*) // 20) AS per FROM ix GROUP BY series_id), r AS (SELECT ix.series_id, i // per AS frame, sqrt(avg(x * x)) AS rms FROM ix JOIN n ON n.series_id = ix.series_id WHERE i // per < 20 GROUP BY ALL)

@@ -142,3 +142,19 @@ def test_phrases_equal_a_loop(spark):
     got = mn.phrase_spots(df, spark.createDataFrame(phrases, "item_id long, q array<string>"), "project_id", "item_id").collect()
     assert {tuple(g) for g in got} == want and len(got) == len(want)
     assert mn.phrase_spots(df, spark.createDataFrame([], "item_id long, q array<string>"), "project_id", "item_id").count() == 0
+
+
+def test_correlation_of_windows_that_do_not_vary(spark):
+    rows = [("a", i, 2.0, float(i)) for i in range(12)] + [("b", i, float(i % 5), -float(i % 5)) for i in range(12)] + [("c", i, float(i % 5), 3.0 * (i % 5)) for i in range(12)] + [("d", 0, 1.0, 2.0)]
+    out = sr.windowed_pearson(spark.createDataFrame(rows, "k string, i long, x double, y double"), "k", "x", "y", 7, size=4).collect()
+    assert len(out) == 37
+    assert all(r.corr == 0.0 for r in out if r.k in "abd") and all(abs(r.corr - 1) < 1e-9 for r in out if r.k == "c")
+
+
+def test_margin_counts_frames_with_two_seats(spark):
+    scored = spark.createDataFrame([("a", 0, 0, 0.6, 1.0), ("a", 0, 1, 0.4, 0.5), ("a", 1, 0, 0.35, 0.0), ("a", 1, 1, 0.35, 0.2), ("a", 2, 0, 0.9, 0.9), ("b", 0, 0, 0.5, 0.5)], "k string, f long, seat long, score double, corr double")
+    choices = spark.createDataFrame([("a", 0, False), ("a", 1, True), ("b", 0, False)], "k string, f long, switched boolean")
+    seen = spark.createDataFrame([("a", 4, 3), ("b", 1, 1)], "k string, n long, seen long")
+    r, = sr.winner_margin(scored, choices, seen, "k", "f").collect()
+    assert (r.k, r.frames, r.dual, r.switches, r.present) == ("a", 2, 2, 1, 0.75)
+    assert [round(x, 6) for x in (r.margin, r.speaker_corr, r.listener_corr)] == [0.1, 0.5, 0.35]
