@@ -21,6 +21,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it (letter case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def arrow_column(returns: str):
     """Decorator: a function of Arrow arrays becomes a function of columns; the UDF is made at the call, on the driver."""
 

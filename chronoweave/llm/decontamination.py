@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import small_batches
+from chronoweave.llm.common import free_names, small_batches
 from chronoweave.operators.staging import stage
 
 WIDTH, MIN_PLAIN, SHARE, RUN = 5, 2, 0.8, 13
@@ -202,5 +202,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", copies: bool = False) -> DataFrame:
     """``docs``, all columns, without the documents that hold a benchmark item as in ``leaks``; rows with a null id stay."""
-    bad = leaks(docs, benchmark, doc_id, text, copies=copies).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(doc_id).cast("long") == F.col("__bad"), "left_anti")
+    held, = free_names(docs, "held")
+    bad = leaks(docs, benchmark, doc_id, text, copies=copies).select(F.col("doc_id").alias(held)).distinct()
+    return docs.join(bad, F.col(doc_id).cast("long") == F.col(held), "left_anti")

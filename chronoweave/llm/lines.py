@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import NULL_ID, arrow_column, small_batches, text_bytes
+from chronoweave.llm.common import NULL_ID, arrow_column, free_names, small_batches, text_bytes
 from chronoweave.operators.staging import stage
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -120,15 +120,23 @@ def _occurrences(min_chars: int):
     return emit
 
 
+def _mixed(h1: np.ndarray, h2: np.ndarray, salt: int) -> np.ndarray:
+    """The 64 bits that are hashed perfectly: the first half of a key, with the second multiplied in if ``salt`` is above 0."""
+    key = h1.view(np.uint64)
+    return key if salt == 0 else key ^ (h2.view(np.uint64) * np.uint64(2 * salt * 0x9E3779B97F4A7C15 + 1 & 2**64 - 1))
+
+
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    key = pdf["h1"].to_numpy().view(np.uint64)
-    if len(np.unique(key)) < len(key):  # two keys of one shard agree in 64 bits: mix in the rest
-        raise ValueError("64-bit collision inside a shard")
+    h1, h2, salt = pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), 0
+    key = _mixed(h1, h2, salt)
+    while len(np.unique(key)) < len(key):  # two keys of one shard agree in 64 bits: mix in the rest
+        salt += 1
+        key = _mixed(h1, h2, salt)
     ph = PerfectHash.build(key)
     at = ph.find(key)
     prints, counts, tops = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
     prints[at], counts[at], tops[at] = pdf["h2"], pdf["n"], pdf["top"]
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "levels": [ph.pack()], "prints": [prints.tobytes()],
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "salt": [salt], "levels": [ph.pack()], "prints": [prints.tobytes()],
                          "counts": [counts.tobytes()], "tops": [tops.tobytes()]})
 
 
@@ -138,7 +146,7 @@ def line_index(occurrences: DataFrame, min_docs: int, shard_keys: int = SHARD_KE
     found = stage(found, "repeated")
     shards = max(1, -(-found.count() // shard_keys))
     index = found.withColumn("shard", F.pmod("h2", F.lit(shards))).groupBy("shard").applyInPandas(
-        _build, "shard long, levels array<binary>, prints binary, counts binary, tops binary")
+        _build, "shard long, salt long, levels array<binary>, prints binary, counts binary, tops binary")
     return stage(index, "lineindex"), shards
 
 
@@ -152,12 +160,13 @@ def _probe(batches):
             part = b.slice(lo, hi - lo)
             if kind[lo] == 0:
                 at, ph = place[lo], PerfectHash.unpack(part.column("levels")[0].as_py())
+                salt = part.column("salt")[0].as_py()
                 prints, counts, tops = (np.frombuffer(part.column(c)[0].as_py(), np.int64) for c in ("prints", "counts", "tops"))
                 continue
             if at != place[lo]:
                 continue
             h1, h2, ident = (part.column(c).to_numpy() for c in ("h1", "h2", "id"))
-            k = ph.find(h1.view(np.uint64))
+            k = ph.find(_mixed(h1, h2, salt))
             drop = (k >= 0) & (prints[k] == h2) & (counts[k] > 0) & (tops[k] != ident)
             if drop.any():
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(drop)) for c in ("r1", "r2", "no")], ["r1", "r2", "no"])
@@ -173,7 +182,7 @@ def dropped_lines(occurrences: DataFrame, min_docs: int) -> DataFrame:
     probes = probes.join(copies, "shard").select(
         place_of(F.pmod(F.xxhash64("r1", "no"), F.col("copies"))).alias("place"), F.lit(1).alias("kind"), "r1", "r2", "id", "no", "h1", "h2")
     arrays = index.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select(
-        place.alias("place"), F.lit(0).alias("kind"), "levels", "prints", "counts", "tops")
+        place.alias("place"), F.lit(0).alias("kind"), "salt", "levels", "prints", "counts", "tops")
     dealt = probes.unionByName(arrays, allowMissingColumns=True).repartition("place").sortWithinPartitions("place", "kind")
     return dealt.mapInArrow(_probe, "r1 long, r2 long, no int")
 
@@ -218,10 +227,12 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
     body = small_batches(docs).select(ident.alias("id"), F.col(text).alias("text"))
     occ = stage(body.mapInArrow(_occurrences(min_chars), "r1 long, r2 long, id long, no int, first boolean, h1 long, h2 long"), "lines")
-    drop = dropped_lines(occ, min_docs).groupBy("r1", "r2").agg(F.collect_set("no").alias("__drop")).withColumnsRenamed({"r1": "__r1", "r2": "__r2"})
-    rows = docs.withColumn("__row", _row_keys(ident, F.col(text)))
-    rows = rows.join(drop, (F.col("__row.r1") == F.col("__r1")) & (F.col("__row.r2") == F.col("__r2")), "left").drop("__r1", "__r2", "__row")
-    out = rows.withColumn("__new", _rebuild(F.col(text), F.col("__drop"))).withColumn(text, F.col("__new.text"))
+    row, new, gone, r1, r2 = free_names(docs, "row", "new", "drop", "r1", "r2")
+    drop = dropped_lines(occ, min_docs).groupBy("r1", "r2").agg(F.collect_set("no").alias(gone))
+    drop = drop.select(F.col("r1").alias(r1), F.col("r2").alias(r2), gone)
+    rows = docs.withColumn(row, _row_keys(ident, F.col(text)))
+    rows = rows.join(drop, (F.col(row)["r1"] == F.col(r1)) & (F.col(row)["r2"] == F.col(r2)), "left").drop(r1, r2, row)
+    out = rows.withColumn(new, _rebuild(F.col(text), F.col(gone))).withColumn(text, F.col(new)["text"])
     if stats:
-        out = out.withColumns({"n_lines": F.col("__new.n_lines"), "n_dropped": F.col("__new.n_dropped"), "kept_sha256": F.col("__new.sha")})
-    return out.drop("__drop", "__new")
+        out = out.withColumns({"n_lines": F.col(new)["n_lines"], "n_dropped": F.col(new)["n_dropped"], "kept_sha256": F.col(new)["sha"]})
+    return out.drop(gone, new)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import arrow_column, components, group_starts, small_batches, text_bytes, unite, whole_groups
+from chronoweave.llm.common import arrow_column, components, free_names, group_starts, small_batches, text_bytes, unite, whole_groups
 from chronoweave.operators.staging import stage
 
 BUDGET, BLOCKS, NODE_ROWS = 4, 6, 8192
@@ -173,9 +173,8 @@ def near_duplicates_removed(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Of rows equal in doc_id and text one stays; rows that share a doc_id but not the text are kept or
     dropped together. Rows with a null doc_id cannot be told apart and stay.
     """
-    keep = groups(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    row = Window.partitionBy("__id", "__text").orderBy("__id")
-    return (docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__text", F.xxhash64(text))
-            .join(keep, F.col("__id") == F.col("__keep"), "left")
-            .withColumn("__row", F.row_number().over(row))
-            .where("__id is null or (__keep is not null and __row = 1)").select(*docs.columns))
+    ident, body, row, held = free_names(docs, "ident", "body", "row", "held")
+    keep = groups(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias(held)).distinct()
+    rows = docs.withColumn(ident, F.col(doc_id).cast("long")).withColumn(body, F.xxhash64(text)).join(keep, F.col(ident) == F.col(held), "left")
+    rows = rows.withColumn(row, F.row_number().over(Window.partitionBy(ident, body).orderBy(ident)))
+    return rows.where(F.col(ident).isNull() | (F.col(held).isNotNull() & (F.col(row) == 1))).select(*docs.columns)
