@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import small_batches, text_bytes
+from chronoweave.llm.common import free_names, small_batches, text_bytes
 from chronoweave.operators.staging import stage
 
 SYMBOLS, WINDOW, FILTERS, WIDTHS = 64, 160, 12, (2, 3, 4)
@@ -158,8 +158,10 @@ def fit(docs: DataFrame, use, doc_id: str = "doc_id", text: str = "text", lang:
     """
     rows = docs.where(use(F.col(doc_id))).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("h"))
-    ranked = rows.select("lang", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    picked = stage(ranked.where(F.col("rank") <= texts_per_lang).select("lang", "h"), "picked")
+    ranked = rows.select("lang", "h").distinct()
+    for part in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # the smallest of each slice, then of all slices
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("h"))).where(F.col("rank") <= texts_per_lang).drop("rank")
+    picked = stage(ranked, "picked")
     drawn = small_batches(rows.join(F.broadcast(picked), ["lang", "h"])).select("lang", "h", "text").mapInArrow(_draw, "lang string, h long, windows array<binary>")
     got = drawn.orderBy("lang", "h").toArrow().to_pylist()  # at most texts_per_lang texts a language, a few windows each
     got = [r for r, last in zip(got, [None, *got]) if last is None or (r["lang"], r["h"]) != (last["lang"], last["h"])]
@@ -196,8 +198,9 @@ def with_language(docs: DataFrame, net: Network, text: str = "text", lang_out: s
                     langs[i], scores[i] = n.langs[k], min(1.0, float(s))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return small_batches(docs).withColumn("__lang", predict(F.col(text))).withColumns(
-        {lang_out: F.col("__lang.lang"), score_out: F.col("__lang.score")}).drop("__lang")
+    found, = free_names(docs, "found")
+    return small_batches(docs).withColumn(found, predict(F.col(text))).withColumns(
+        {lang_out: F.col(found)["lang"], score_out: F.col(found)["score"]}).drop(found)
 
 
 def _chunks(todo: list[int], texts: list[bytes], size: int):
