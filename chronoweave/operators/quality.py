@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,48 @@ def cap_violations(df: DataFrame, owner: str, cap: int) -> DataFrame:
     return df.groupBy(owner).agg(F.count("*").alias("n")).filter(F.col("n") > cap)
 
 
+def rule_violations(tables: dict[str, tuple[DataFrame, str]], rules: DataFrame) -> DataFrame:
+    """``table, key, rule, n`` for every rule of a rule table that a row or an owner breaks.
+
+    ``tables``: name to its rows and key column. ``rules`` holds ``table, rule, kind, field, low, high, allowed``:
+    ``enum`` (value, as text, is in ``allowed``), ``range`` and ``length`` (between ``low`` and ``high``, null is no bound),
+    ``pattern`` (``allowed[0]`` is found), ``required`` (not null) and ``cap`` (at most ``high`` rows share a value of
+    ``field``, counted in ``n``). A null value breaks ``required`` alone. The rules are few and read once; a table's row
+    rules are one pass over it, a cap is one aggregate. Keys are given as text; unknown tables, kinds and null
+    arguments raise.
+    """
+    out = []
+    by_table: dict[str, list] = {}
+    for r in rules.orderBy("table", "rule").collect():
+        by_table.setdefault(r["table"], []).append(r)
+    for name, rows in by_table.items():
+        df, key = tables[name]
+        held = [(r["rule"], _holds(r)) for r in rows if r["kind"] != "cap"]
+        if held:
+            bad = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(True)), F.lit(rule)) for rule, ok in held]), lambda x: x.isNotNull())
+            out.append(df.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"), F.explode(bad).alias("rule"), F.lit(1).cast("long").alias("n")))
+        for r in (x for x in rows if x["kind"] == "cap"):
+            over = df.filter(F.col(r["field"]).isNotNull()).groupBy(F.col(r["field"]).cast("string").alias("key")).agg(F.count("*").alias("n")).filter(F.col("n") > r["high"])
+            out.append(over.select(F.lit(name).alias("table"), "key", F.lit(r["rule"]).alias("rule"), "n"))
+    empty = rules.sparkSession.createDataFrame([], "table string, key string, rule string, n long")
+    return reduce(DataFrame.unionByName, out, empty)
+
+
+def _holds(r) -> Column:
+    x = F.col(r["field"])
+    if r["kind"] in ("range", "length"):
+        x = F.length(x) if r["kind"] == "length" else x
+        low, high = (F.lit(True) if b is None else x >= b if low_side else x <= b for b, low_side in ((r["low"], True), (r["high"], False)))
+        return F.when(x.isNotNull(), low & high)
+    if r["kind"] == "enum":
+        return x.cast("string").isin(*r["allowed"])
+    if r["kind"] == "pattern":
+        return x.rlike(r["allowed"][0])
+    if r["kind"] == "required":
+        return x.isNotNull()
+    raise ValueError(f"unknown kind of rule: {r['kind']}")
+
+
 def enum(col: str, allowed: list[str]) -> Column:
     return F.col(col).isin(*allowed)
 

@@ -193,6 +193,33 @@ def q_caps(spark, sf):
     return ql.cap_violations(views.table(spark, sf, "orders"), "o_custkey", 10)
 
 
+# table, rule, kind, field, low, high, allowed
+RULES = [("customer", "segment_enum", "enum", "c_mktsegment", None, None, ["BUILDING", "HOUSEHOLD", "MACHINERY", "FURNITURE"]), ("customer", "balance_floor", "range", "c_acctbal", 0.0, None, None),
+         ("customer", "nation_cap", "cap", "c_nationkey", None, 55.0, None), ("orders", "price_range", "range", "o_totalprice", 1000.0, 400000.0, None), ("orders", "priority_pattern", "pattern", "o_orderpriority", None, None, ["^[1-4]-"]),
+         ("orders", "customer_cap", "cap", "o_custkey", None, 10.0, None), ("part", "name_length", "length", "p_name", 1.0, 10.0, None), ("part", "size_range", "range", "p_size", 5.0, 45.0, None),
+         ("supplier", "name_required", "required", "s_name", None, None, None), ("supplier", "balance_ceiling", "range", "s_acctbal", None, 9000.0, None), ("events", "type_enum", "enum", "event_type", None, None, ["view", "click", "purchase", "signup"]),
+         ("events", "value_range", "range", "value", 1.0, 100.0, None)]
+
+
+@query("q1_rule_table", """
+  SELECT 'customer' AS "table", c_custkey::VARCHAR AS key, 'segment_enum' AS rule, 1::BIGINT AS n FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
+  UNION ALL SELECT 'customer', c_custkey::VARCHAR, 'balance_floor', 1 FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT 'customer', c_nationkey::VARCHAR, 'nation_cap', count(*) FROM customer GROUP BY c_nationkey HAVING count(*) > 55
+  UNION ALL SELECT 'orders', o_orderkey::VARCHAR, 'price_range', 1 FROM orders WHERE o_totalprice < 1e3 OR o_totalprice > 4e5
+  UNION ALL SELECT 'orders', o_orderkey::VARCHAR, 'priority_pattern', 1 FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-')
+  UNION ALL SELECT 'orders', o_custkey::VARCHAR, 'customer_cap', count(*) FROM orders GROUP BY o_custkey HAVING count(*) > 10
+  UNION ALL SELECT 'part', p_partkey::VARCHAR, 'name_length', 1 FROM part WHERE length(p_name) NOT BETWEEN 1 AND 10
+  UNION ALL SELECT 'part', p_partkey::VARCHAR, 'size_range', 1 FROM part WHERE p_size NOT BETWEEN 5 AND 45
+  UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, 'name_required', 1 FROM supplier WHERE s_name IS NULL
+  UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, 'balance_ceiling', 1 FROM supplier WHERE s_acctbal > 9e3
+  UNION ALL SELECT 'events', event_id::VARCHAR, 'type_enum', 1 FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')
+  UNION ALL SELECT 'events', event_id::VARCHAR, 'value_range', 1 FROM events WHERE value < 1 OR value > 100""")
+def q_rule_table(spark, sf):
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "events": "event_id"}
+    rules = spark.createDataFrame(RULES, "table string, rule string, kind string, field string, low double, high double, allowed array<string>")
+    return ql.rule_violations({t: (views.table(spark, sf, t), k) for t, k in keys.items()}, rules)
+
+
 @query("p2_sparse_patch", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN NULL ELSE 'set ' || user_id END AS title FROM events""")
 def q_patch(spark, sf):
     n = F.col("event_id") % 3
