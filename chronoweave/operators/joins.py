@@ -57,25 +57,33 @@ def _nodes(a: Column, b: Column) -> Column:
     return F.filter(F.flatten(F.transform(levels, at)), lambda n: n.isNotNull())
 
 
+def _holders(u: Column, v: Column) -> tuple[Column, Column]:
+    """Lowest level whose nodes are at least as long as the units ``u`` to ``v``, and the one or two nodes there that hold them."""
+    level = F.when(u == v, 0).otherwise(F.length(F.bin(v - u)))
+    at = lambda x: F.call_function("shiftright", x, level)
+    return level, F.array_distinct(F.array(at(u), at(v)))
+
+
 def stabbed(
     points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: Column, end: Column,
     unit: int = 1024, predicate: Column | None = None,
 ) -> DataFrame:
     """Pairs of a point and a span with ``start <= t < end``, for spans of any mix of lengths; all in long milliseconds.
 
-    Time is cut into units and the units into dyadic nodes. A span goes to the few nodes
-    that make it up (two a level at most), a point to every node above its unit, up to
-    the highest level any span uses. A point and a span share at most one node, and every
-    pair in a node above the lowest level is a match, so no key of the join holds more
-    than its matches and the pairs of one unit. Spans that are empty, reversed or null
-    at an end, and points without a time, match nothing. Null keys match nothing.
+    Time is cut into units and the units into dyadic nodes. A span goes to the one or two
+    nodes that hold it at the lowest level whose nodes are as long as the span, a point to
+    the node above its unit at every level some span is on. A point and a span share at
+    most one node. A node holds spans longer than half of it only, so where points lie
+    evenly a fourth of the pairs compared or more are matches. Spans that are empty,
+    reversed or null at an end, and points without a time, match nothing. Null keys match
+    nothing. Sides are shuffled: a node holds far more rows than the source's size tells,
+    so neither is left to be broadcast.
     """
     s = spans.withColumns({"__s": start.cast("long"), "__e": end.cast("long")}).filter("__s < __e")
-    s = s.withColumn("__at", F.explode(_nodes(F.floor(F.col("__s") / unit), F.floor((F.col("__e") - 1) / unit) + 1)))
-    s = s.select(*[F.col(c).alias(f"__k_{c}") for c in keys], F.col("__at.k").alias("__sk"), F.col("__at.p").alias("__sp"),
-                 *[c for c in s.columns if c not in keys and c != "__at"])
-    tops = spans.filter(start.cast("long") < end.cast("long")).select(F.max(F.length(F.bin(F.floor((end.cast("long") - start.cast("long")) / unit) + 2)) - 1).alias("top"))
-    p = points.filter(F.col(t).isNotNull()).withColumn("__k", F.explode(F.sequence(F.lit(0), F.coalesce(tops.scalar(), F.lit(0)))))
+    level, held = _holders(F.floor(F.col("__s") / unit), F.floor((F.col("__e") - 1) / unit))
+    levels = s.select(F.array_sort(F.collect_set(level)))
+    s = s.select(*[F.col(c).alias(f"__k_{c}") for c in keys], level.alias("__sk"), F.explode(held).alias("__sp"), *[c for c in s.columns if c not in keys])
+    p = points.filter(F.col(t).isNotNull()).withColumn("__k", F.explode(levels.scalar()))
     p = p.withColumn("__p", F.call_function("shiftright", F.floor(F.col(t) / unit).cast("long"), F.col("__k")))
     cond = (F.col("__k") == F.col("__sk")) & (F.col("__p") == F.col("__sp"))
     for k in keys:
@@ -83,7 +91,7 @@ def stabbed(
     cond = cond & (F.col(t) >= F.col("__s")) & (F.col(t) < F.col("__e"))
     if predicate is not None:
         cond = cond & predicate
-    return p.join(s, cond).drop("__k", "__p", "__sk", "__sp", "__s", "__e", *[f"__k_{k}" for k in keys])
+    return p.join(s.hint("merge"), cond).drop("__k", "__p", "__sk", "__sp", "__s", "__e", *[f"__k_{k}" for k in keys])
 
 
 def overlaps(

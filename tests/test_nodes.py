@@ -47,3 +47,19 @@ def test_a_wider_track_stays_and_neighbours_are_stitched(spark):
     act, a, b = iv.kept_track(F.col("same"), (F.col("os"), F.col("oe")), (F.col("s"), F.col("e")))
     got = [tuple(r) for r in df.select(act, a, b).collect()]
     assert got == [("keep", 0, 1000), ("replace", 0, 1000), ("stitch", 0, 2000), ("replace", 0, 1000), ("replace", 100, 900), ("replace", 1, 2)]
+
+
+def test_a_span_is_copied_twice_at_most(spark):
+    spans = spark.range(3000).selectExpr("id AS sid", "id * 977 % 40000 - 9000 AS u").withColumn("v", F.col("u") + F.when(F.col("sid") % 50 == 0, 90_000).otherwise(F.col("sid") % 9))
+    level, held = joins._holders(F.col("u"), F.col("v"))
+    n = spans.select("u", "v", level.alias("k"), F.explode(held).alias("p")).withColumns({"lo": F.expr("shiftleft(p, k)"), "hi": F.expr("shiftleft(p + 1, k)")})
+    per = n.groupBy("u", "v", "k").agg(F.count("*").alias("copies"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    assert per.filter("copies > 2 OR lo > u OR hi <= v OR (k > 0 AND shiftleft(1L, k - 1) > v - u)").count() == 0
+
+
+def test_sides_of_a_node_join_are_not_broadcast(spark):
+    p = spark.createDataFrame([("a", 5, 1)], "k string, t long, pid long")
+    s = spark.createDataFrame([("a", 0, 10**9, 1)], "k string, a long, b long, sid long")
+    df = joins.stabbed(p, s, ["k"], "t", F.col("a"), F.col("b"))
+    assert [(r.pid, r.sid) for r in df.collect()] == [(1, 1)]
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
