@@ -439,14 +439,14 @@ def interpolate(points: DataFrame, indexed: DataFrame, key: list[str], t: str, p
     return hit.select(*points.columns, v.alias("value"))
 
 
-def gaussian_smooth(indexed: DataFrame, key: str, sigma_ms: int, step_ms: int) -> DataFrame:
+def gaussian_smooth(indexed: DataFrame, key: str, sigma_ms: int, step_ms: int, horizon: int = 0) -> DataFrame:
     """Time-weighted Gaussian over the interpolated path of the same shot, plus a settle row at its end.
 
-    A shot ends where the next begins, the last one with its last row.
+    A shot ends where the next begins; the last one is held to the horizon, or to its last row if that is later.
     """
     reach = 3 * sigma_ms
     k = [key, "shot"]
-    ends = indexed.groupBy(*k).agg(F.min("t_ms").alias("s_from"), F.max(F.coalesce("next_t", "t_ms")).alias("s_to"), F.max(F.struct(*ORDER)).alias("s_last"))
+    ends = indexed.groupBy(*k).agg(F.min("t_ms").alias("s_from"), F.max(F.coalesce("next_t", F.greatest("t_ms", F.lit(horizon)))).alias("s_to"), F.max(F.struct(*ORDER)).alias("s_last"))
     base = indexed.select(*k, "seq", "t_ms", "x").join(ends, k)
     offs = F.sequence(F.lit(-reach), F.lit(reach), F.lit(step_ms))
     pts = base.select(*k, "seq", "t_ms", "s_from", "s_to", F.explode(offs).alias("dt")).withColumn("pt", F.col("t_ms") + F.col("dt"))

@@ -16,6 +16,7 @@ from chronoweave.plans.registry import query
 K = "series_id"
 W = 490.0
 HOUR, DAY = 3_600_000, 86_400_000
+END = 31 * DAY
 IX = """ix AS (SELECT *, row_number() OVER w - 1 AS i, CAST(sum(CAST(cut AS INT)) OVER (PARTITION BY series_id ORDER BY t_ms, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS shot, lead(t_ms) OVER w AS next_t
   FROM v_series WINDOW w AS (PARTITION BY series_id ORDER BY t_ms, seq))"""
 
@@ -222,7 +223,7 @@ def q_rms(spark, sf):
 
 
 @query("f20_gaussian_smooth", IX + f""",
-  e AS (SELECT series_id, shot, min(t_ms) AS f, max(coalesce(next_t, t_ms)) AS u, max(i) AS li FROM ix GROUP BY ALL),
+  e AS (SELECT series_id, shot, min(t_ms) AS f, max(coalesce(next_t, greatest(t_ms, {END}))) AS u, max(i) AS li FROM ix GROUP BY ALL),
   nx AS (SELECT *, lead(t_ms) OVER w AS nt, lead(x) OVER w AS nxx FROM ix WINDOW w AS (PARTITION BY series_id, shot ORDER BY i)),
   p AS (SELECT b.series_id, b.shot, b.seq, b.t_ms + d.dt AS pt, d.dt FROM ix b JOIN e ON e.series_id = b.series_id AND e.shot = b.shot, range(-21600000, 21600001, 3600000) AS d(dt) WHERE b.t_ms + d.dt >= e.f AND b.t_ms + d.dt < e.u),
   v AS (SELECT p.series_id, p.seq, p.dt, CASE WHEN k.nt IS NULL THEN k.x ELSE k.x + (k.nxx - k.x) * ((p.pt - k.t_ms) / (k.nt - k.t_ms)::DOUBLE) END AS v FROM p JOIN nx k ON k.series_id = p.series_id AND k.shot = p.shot AND k.t_ms <= p.pt AND (k.nt IS NULL OR p.pt < k.nt)),
@@ -230,7 +231,7 @@ def q_rms(spark, sf):
   SELECT b.series_id, b.t_ms, {half_up_sql('coalesce(g.v, b.x)', 4)} AS value, FALSE AS settle FROM ix b LEFT JOIN g ON g.series_id = b.series_id AND g.seq = b.seq
   UNION ALL SELECT b.series_id, b.t_ms + 21600000, {half_up_sql('b.x', 4)}, TRUE FROM ix b JOIN e ON e.series_id = b.series_id AND e.shot = b.shot AND e.li = b.i WHERE b.t_ms + 21600000 < e.u - 1""", "v_series")
 def q_gauss(spark, sf):
-    g = sr.gaussian_smooth(indexed(spark, sf), K, 2 * HOUR, HOUR)
+    g = sr.gaussian_smooth(indexed(spark, sf), K, 2 * HOUR, HOUR, END)
     return g.select(K, "t_ms", half_up(F.col("value"), 4).alias("value"), "settle")
 
 
