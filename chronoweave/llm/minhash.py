@@ -1,8 +1,11 @@
 """Near-duplicate documents by the true Jaccard similarity of their five-word shingles.
 
-Candidates share one of ``BANDS`` MinHash bands of ``ROWS`` values: a pair of
-similarity s meets with probability ``1 - (1 - s^ROWS)^BANDS``, 0.9996 at 0.8.
-Distinct texts that bands connect form a candidate group; inside a group every
+Candidates have SimHash fingerprints of those shingles at most 4 bits apart, found
+by the trie self-join of ``simhash``. Texts alike at 0.8 differ in about ten bits,
+more than any trie over 64 bits affords, so those that share one of ``BANDS``
+MinHash bands of ``ROWS`` values are candidates too: a pair of similarity s meets
+there with probability ``1 - (1 - s^ROWS)^BANDS``, 0.9996 at 0.8.
+Distinct texts that candidates connect form a group; inside a group every
 pair that is not linked yet is compared by its whole shingle sets, so no link is
 estimated. Links leave a task only as a spanning forest. A large group is dealt
 out as pairs of slices.
@@ -16,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.llm import simhash
 from chronoweave.llm.common import components, group_starts, small_batches, text_bytes, whole_groups
 from chronoweave.operators.staging import stage
 
@@ -77,6 +81,16 @@ def alike_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def simhash_candidates(prints: DataFrame) -> DataFrame:
+    """``(a, b)`` edges that connect all codes whose fingerprints (``print``) the trie links."""
+    first = stage(prints.groupBy("print").agg(F.min("code").alias("a")), "fingerprints")
+    same = prints.join(first, "print").where("code <> a").select("a", F.col("code").alias("b"))
+    links = simhash.fingerprint_links(first.select(F.col("print").alias("code")))
+    a, b = (first.select(F.col("print").alias(f"print_{c}"), F.col("a").alias(f"code_{c}")) for c in "ab")
+    near = links.join(a, F.col("a") == F.col("print_a")).join(b, F.col("b") == F.col("print_b"))
+    return same.unionByName(near.select(F.col("code_a").alias("a"), F.col("code_b").alias("b")))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
     """``doc_id, code, component_id`` per row: the smallest doc_id linked to it, itself included; ``code`` stands for the text.
 
@@ -90,13 +104,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         for b in batches:
             got = [shingles(t) for t in text_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("code"), pa.array([len(s) for s in got], pa.int64()),
-                                              pa.array([bands(s) for s in got], pa.list_(pa.int64()))], ["doc_id", "code", "n", "bands"])
+                                              pa.array([bands(s) for s in got], pa.list_(pa.int64())),
+                                              pa.array(np.array([simhash.majority(s) for s in got], np.uint64).view(np.int64))], ["doc_id", "code", "n", "bands", "print"])
 
-    prints = stage(rows.mapInArrow(sign, "doc_id long, code long, n long, bands array<long>"), "prints")
+    prints = stage(rows.mapInArrow(sign, "doc_id long, code long, n long, bands array<long>, print long"), "prints")
     codes = stage(prints.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("n").alias("n")), "codes")
     posts = prints.select("code", F.explode("bands").alias("band"))
     first = stage(posts.groupBy("band").agg(F.min("code").alias("a"), F.max("code").alias("top")).where("a < top").select("band", "a"), "first")
-    group = stage(components(posts.join(first, "band").where("code <> a").select("a", F.col("code").alias("b")).distinct()), "group")
+    banded = posts.join(first, "band").where("code <> a").select("a", F.col("code").alias("b"))
+    group = stage(components(banded.unionByName(simhash_candidates(prints.select("code", "print"))).distinct()), "group")
     held = group.withColumnRenamed("node", "code").join(codes, "code")
     hot = stage(held.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where(
         (F.col("rows") > node_rows) | (F.col("shingles") > NODE_SHINGLES)).select(

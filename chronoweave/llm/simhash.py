@@ -43,7 +43,11 @@ def fingerprint_of(text: bytes | None, width: int = 4, seed: int = 42) -> int:
     else:
         spans = zip(starts, ends[width - 1:])
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(flat[s:e], seed) for s, e in spans], np.uint64)
+    return majority(np.array([digest(flat[s:e], seed) for s, e in spans], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """Unsigned fingerprint of shingle hashes: the bits that are set in over half of them."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         part = h[k:k + (1 << 16)]

@@ -27,7 +27,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word Jaccard similarity of 0.8 or more, verified on whole texts."""
+    """One document of each group of near duplicates: five-word Jaccard similarity of 0.8 or more, verified on whole texts.
+
+    SimHash fingerprints meet in the trie of op1; MinHash bands add the pairs that are alike but over 4 bits apart.
+    """
     return simhash.near_duplicates_removed(docs, groups=minhash.jaccard_components)
 
 
