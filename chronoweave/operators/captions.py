@@ -31,9 +31,9 @@ CUSTOM_MS = 1500
 BIN_MS = 30_000.0
 
 
-def words_in_window(clips: DataFrame, words: DataFrame, key: str, lo: int = EDGE_MS) -> DataFrame:
+def words_in_window(clips: DataFrame, words: DataFrame, key: str, lo: int = EDGE_MS, keep_bin: bool = False) -> DataFrame:
     """Words with ``start - 50 ms <= t <= end`` of each clip."""
-    return joins.points_in_spans(words, clips, [key], "t_ms", F.col("c_start") - lo, F.col("c_end"), BIN_MS)
+    return joins.points_in_spans(words, clips, [key], "t_ms", F.col("c_start") - lo, F.col("c_end"), BIN_MS, keep_bin=keep_bin)
 
 
 def lines_in_window(clips: DataFrame, cues: DataFrame, key: str) -> DataFrame:
@@ -49,6 +49,21 @@ def scene_at(words: DataFrame, scenes: DataFrame, key: str, word_id: list[str],
     return words.join(first, [key, *word_id], "left")
 
 
+def scene_in_bin(words: DataFrame, scenes: DataFrame, key: str, t: str = "t_ms") -> DataFrame:
+    """As ``scene_at``, for words that still carry their bin (``words_in_window`` with ``keep_bin``).
+
+    A bin's scenes come as one list, so every word stays one row, where it is: the words
+    are neither grouped nor joined to themselves, and only the scenes are shuffled.
+    """
+    s = scenes.select(F.col(key).alias("__key"), "scene_no", "size", "s_start", (F.col("s_end") - 1).alias("s_last"))
+    s = s.withColumn("__sbin", F.explode(joins.bins(F.col("s_start"), F.col("s_last"), BIN_MS)))
+    s = s.groupBy("__sbin", "__key").agg(F.collect_set(F.struct("scene_no", "size", "s_start", "s_last")).alias("__scenes"))
+    inside = F.filter("__scenes", lambda v: (F.col(t) >= v["s_start"]) & (F.col(t) <= v["s_last"]))
+    x = words.join(s, (F.col(joins.BIN) == F.col("__sbin")) & (F.col(key) == F.col("__key")), "left")
+    x = x.withColumn("scene", F.array_min(F.transform(inside, lambda v: F.struct(v["scene_no"], v["size"]))))
+    return x.drop(joins.BIN, "__sbin", "__key", "__scenes")
+
+
 def caption_end(start: Column, nxt: Column, duration: Column) -> Column:
     cap = F.greatest(start + 40, duration - OUT_PAD_MS)
     natural = F.when(nxt.isNotNull(), F.least(nxt, start + MAX_HOLD_MS)).otherwise(start + MIN_HOLD_MS)

@@ -15,22 +15,24 @@ from chronoweave.operators.scans import following, latest, scan
 BIN = "__bin"
 
 
-def _bins(start: Column, end: Column, width: float) -> Column:
+def bins(start: Column, end: Column, width: float) -> Column:
     return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))
 
 
 def points_in_spans(
     points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: Column, end: Column,
-    width: float, how: str = "inner", predicate: Column | None = None,
+    width: float, how: str = "inner", predicate: Column | None = None, keep_bin: bool = False,
 ) -> DataFrame:
     """Join each point to every span with ``start <= t <= end`` (or a stricter predicate).
 
     A point has one bin, so each pair appears once. ``start``/``end`` bound the
     span columns used for binning (widen them there when the predicate has slack).
+    With ``keep_bin`` the point's bin stays, and a further join on key and bin needs no
+    new shuffle of the result.
     """
     p = points.withColumn(BIN, F.floor(F.col(t) / width))
     s = (spans.withColumn("__s", start).withColumn("__e", end)
-         .withColumn(BIN, F.explode(_bins(F.col("__s"), F.col("__e"), width))))
+         .withColumn(BIN, F.explode(bins(F.col("__s"), F.col("__e"), width))))
     s = s.select(*[F.col(c).alias(f"__k_{c}") for c in keys], F.col(BIN).alias("__sbin"),
                  *[c for c in s.columns if c not in keys and c != BIN])
     cond = F.col(BIN) == F.col("__sbin")
@@ -40,7 +42,7 @@ def points_in_spans(
     if predicate is not None:
         cond = cond & predicate
     out = p.join(s, cond, how)
-    return out.drop(BIN, "__sbin", "__s", "__e", *[f"__k_{k}" for k in keys])
+    return out.drop("__sbin", "__s", "__e", *[f"__k_{k}" for k in keys], *[] if keep_bin else [BIN])
 
 
 def _nodes(a: Column, b: Column) -> Column:
@@ -99,10 +101,10 @@ def overlaps(
     l_start: str, l_end: str, r_start: str, r_end: str, width: float,
 ) -> DataFrame:
     """Pairs with ``l_start < r_end and l_end > r_start``; each pair is kept in its first shared bin."""
-    a = left.withColumn(BIN, F.explode(_bins(F.col(l_start), F.col(l_end), width)))
+    a = left.withColumn(BIN, F.explode(bins(F.col(l_start), F.col(l_end), width)))
     b = right.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in right.columns if c not in keys],
-        F.explode(_bins(F.col(r_start), F.col(r_end), width)).alias("__rbin"))
+        F.explode(bins(F.col(r_start), F.col(r_end), width)).alias("__rbin"))
     cond = (F.col(BIN) == F.col("__rbin")) & (F.col(l_start) < F.col(r_end)) & (F.col(l_end) > F.col(r_start))
     cond = cond & (F.col(BIN) == F.floor(F.greatest(F.col(l_start), F.col(r_start)) / width))
     for k in keys:
