@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.staging import stage
+
 # Stop lists, suffixes, limits and weights.
 STOP = ["the", "a", "an", "of", "and", "sound", "sfx", "effect", "noise", "hit", "with"]
 SUFFIX = r"(ing|ers|er|es|s|ed)$"
@@ -40,23 +42,52 @@ def prefix_pairs(left: DataFrame, right: DataFrame, l: str, r: str) -> DataFrame
     return a.unionByName(b).distinct()
 
 
-def catalog_search(queries: DataFrame, assets: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """Assets per query, best first: 3 for a name stem, 2 for a description stem, 1 for a prefix; flawed ones sink.
+def asset_kinds(assets: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """``kind, tags, flawed, place, asset_id, label``: assets with the same tags and flaw score alike for every query.
 
-    ``queries`` has query_id, text; ``assets`` has asset_id, label, described, quality.
+    Ties of a kind break by label and id, so only the first ``limit`` rows of a kind can come among the best
+    ``limit`` of anything. Written once, as it is read several times.
     """
-    q = queries.select("text").distinct().select("text", F.explode(F.array_distinct(stems(F.col("text")))).alias("qs"))
     tagged = F.concat(F.transform(stems(F.col("label")), lambda w: F.struct(w.alias("stem"), F.lit(3).alias("weight"))),
                       F.transform(stems(F.col("described")), lambda w: F.struct(w.alias("stem"), F.lit(2).alias("weight"))))
     index = assets.select("asset_id", F.explode(tagged).alias("t")).groupBy("asset_id", "t.stem").agg(F.max("t.weight").alias("weight"))
-    pairs = prefix_pairs(q.select("qs").distinct(), index.select("stem").distinct(), "qs", "stem")
-    hits = q.join(pairs, "qs").join(index, "stem").withColumn("points", F.when(F.col("qs") == F.col("stem"), F.col("weight")).otherwise(1))
-    scored = hits.groupBy("text", "asset_id", "qs").agg(F.max("points").alias("p")).groupBy("text", "asset_id").agg(F.sum("p").alias("s"))
-    scored = scored.join(assets.select("asset_id", "label", "quality"), "asset_id")
-    scored = scored.withColumn("score", F.col("s") - F.when(F.col("quality") < USABLE_QUALITY, 2).otherwise(0)).filter("score > 0")
-    w = Window.partitionBy("text").orderBy(F.desc("score"), "label", "asset_id")
-    best = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
-    return queries.join(best, "text").select("query_id", "rank", "asset_id", "score")
+    tags = index.groupBy("asset_id").agg(F.sort_array(F.collect_list(F.struct("stem", "weight"))).alias("tags"))
+    flawed = F.coalesce(F.col("quality") < USABLE_QUALITY, F.lit(False))
+    w = Window.partitionBy("tags", "flawed").orderBy("label", "asset_id")
+    kept = assets.select("asset_id", "label", flawed.alias("flawed")).join(tags, "asset_id").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    kept = stage(kept, "kinds")
+    kinds = stage(kept.select("tags", "flawed").distinct().withColumn("kind", F.monotonically_increasing_id()), "kind")  # ids hold once written
+    return kept.join(kinds, ["tags", "flawed"]).select("kind", "tags", "flawed", "place", "asset_id", "label")
+
+
+def wanted_stems(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``text, wanted``: a text's stems that meet the catalogue, sorted; texts alike in these have the same answer."""
+    q = queries.select("text").distinct().select("text", F.explode(F.array_distinct(stems(F.col("text")))).alias("qs"))
+    return q.join(pairs.select("qs").distinct(), "qs").groupBy("text").agg(F.sort_array(F.collect_list("qs")).alias("wanted"))
+
+
+def catalog_search(queries: DataFrame, assets: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """Assets per query, best first: 3 for a name stem, 2 for a description stem, 1 for a prefix; flawed ones sink.
+
+    ``queries`` has query_id, text; ``assets`` has asset_id, label, described, quality. Sets of wanted stems are scored
+    against kinds of assets, once each: a word that thousands of texts and assets share does not pair them all.
+    """
+    members = stage(asset_kinds(assets, limit), "members")
+    heads = members.filter("place = 1")
+    index = heads.select("kind", F.explode("tags").alias("t")).select("kind", "t.stem", "t.weight")
+    asked = queries.select(F.explode(stems(F.col("text"))).alias("qs")).distinct()
+    pairs = stage(prefix_pairs(asked, index.select("stem").distinct(), "qs", "stem"), "pairs")
+    texts = stage(wanted_stems(queries, pairs), "texts")
+    hits = texts.select("wanted").distinct().select("wanted", F.explode("wanted").alias("qs")).join(pairs, "qs").join(index, "stem")
+    hits = hits.withColumn("points", F.when(F.col("qs") == F.col("stem"), F.col("weight")).otherwise(1))
+    scored = hits.groupBy("wanted", "kind", "qs").agg(F.max("points").alias("p")).groupBy("wanted", "kind").agg(F.sum("p").alias("s"))
+    scored = scored.join(heads.select("kind", "flawed", "label", "asset_id"), "kind")
+    scored = scored.withColumn("score", F.col("s") - F.when(F.col("flawed"), 2).otherwise(0)).filter("score > 0")
+    w = Window.partitionBy("wanted").orderBy(F.desc("score"), "label", "asset_id")
+    first = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("wanted", "kind", "score")
+    best = first.join(members.select("kind", "label", "asset_id"), "kind")
+    best = best.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
+    return queries.join(texts, "text").join(best, "wanted").select("query_id", "rank", "asset_id", "score")
 
 
 def best_label_match(queries: DataFrame, assets: DataFrame) -> DataFrame:
