@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from chronoweave.functions.binding import let
 from chronoweave.functions.numeric import half_up
 from chronoweave.operators.scans import running_max, scan
 from chronoweave.operators.staging import stage_root
@@ -15,23 +16,24 @@ from chronoweave.sources import tracks as tr
 
 
 def clock_text(ms):
-    return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000), F.floor(F.pmod(F.floor(ms / 60000), F.lit(60))),
-                           F.floor(F.pmod(F.floor(ms / 1000), F.lit(60))), F.pmod(ms, F.lit(1000)))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    hours = F.floor(ms / 3600000)
+    return F.concat(F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), F.lit(":"), two(F.floor(F.pmod(ms, F.lit(3600000)) / 60000)), F.lit(":"),
+                    two(F.floor(F.pmod(ms, F.lit(60000)) / 1000)), F.lit("."), F.lpad(F.pmod(ms, F.lit(1000)).cast("string"), 3, "0"))
 
 
 def vtt(spark, sf):
     """Caption text per document: even ids carry word tags and rolling repeats, odd ids are plain."""
     t = views.transcripts(spark, sf)
-    cues = F.col("cues")
 
-    def block(c, i):
+    def block(cues, c, i):
         head = F.concat(clock_text(c["start_ms"]), F.lit(" --> "), clock_text(c["end_ms"]), F.lit(" align:start\n"))
         tags = F.array_join(F.transform(views.cue_words(c), lambda w: F.concat(F.lit("<"), clock_text(w["t_ms"]), F.lit("><c> "), w["word"], F.lit("</c>"))), "")
         prev = F.when(i > 0, F.concat(F.get(cues, i - 1)["text"], F.lit("\n"))).otherwise(F.lit(""))
         hold = F.concat(F.lit("\n\n"), clock_text(c["end_ms"]), F.lit(" --> "), clock_text(c["end_ms"] + 10), F.lit("\n"), c["text"])
         return F.when(F.col("project_id") % 2 == 0, F.concat(head, prev, tags, hold)).otherwise(F.concat(head, c["text"]))
 
-    body = F.array_join(F.transform(cues, block), "\n\n")
+    body = let(F.col("cues"), lambda cues: F.array_join(F.transform(cues, lambda c, i: block(cues, c, i)), "\n\n"))
     return t.select("project_id", "lang", "source", F.concat(F.lit("WEBVTT\n\n"), body).alias("vtt"))
 
 

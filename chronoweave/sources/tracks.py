@@ -78,7 +78,10 @@ def prefer_track(tracks: DataFrame, key: str, lang: str, vtt: str, order: list[s
     """One track per key: first in language order with word tags, else first that is not empty."""
     rank = F.array_position(F.lit(order), F.col(lang))
     choice = F.struct((~is_tagged(F.col(vtt))).alias("untagged"), F.when(rank > 0, rank).otherwise(len(order) + 1).alias("rank"), F.col(tie).alias("tie"))
-    return (tracks.filter(F.trim(vtt) != "").groupBy(key).agg(F.min_by(F.struct(tie, lang), choice).alias("best")).select(key, f"best.{tie}", f"best.{lang}"))
+    # An empty track has no rank. A filter on the text would be pushed below the projections that build it, and build it again.
+    ranked = F.when(F.trim(vtt) != "", choice)
+    best = tracks.groupBy(key).agg(F.min_by(F.struct(tie, lang), ranked).alias("best")).filter(F.col("best").isNotNull())
+    return best.select(key, f"best.{tie}", f"best.{lang}")
 
 
 def source_id(url: Column, short_hosts=SHORT_HOSTS, families=HOST_FAMILIES, param: str = "v", markers=PATH_MARKERS) -> Column:
@@ -146,7 +149,7 @@ def asr_words(json: Column) -> Column:
     good = F.filter(rows, lambda r: (r["word"] != "") & r["start"].isNotNull() & r["end"].isNotNull())
     fixed = F.transform(good, lambda r: F.struct(F.greatest(F.lit(0.0), r["start"]).alias("start"),
                                                  F.greatest(r["end"], F.greatest(F.lit(0.0), r["start"]) + MIN_WORD_SEC).alias("end"), r["word"].alias("word")))
-    return F.array_sort(fixed)
+    return F.sort_array(fixed)
 
 
 def list_objects(spark: SparkSession, path: str) -> DataFrame:

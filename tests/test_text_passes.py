@@ -1,4 +1,4 @@
-"""Lines normalised in one pass, sentences closed from their breaks; against plain loops."""
+"""Lines normalised in one pass, sentences closed from their breaks, tags and clock texts; against plain loops."""
 
 import random
 import re
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import text as tx
 from chronoweave.operators import words as wd
+from chronoweave.plans.source_plans import clock_text
+from chronoweave.sources import tracks as tr
 
 SPACES = "\t\n\x0b\x0c\r       　﻿"
 LETTERS = "abAB'09-.,éİΣ\U0001f600\u0085​"
@@ -62,3 +64,23 @@ def test_sentences_close_at_their_breaks(spark):
     for x in df.select("k", wd.segment_sentences(F.col("ws")).alias("s")).collect():
         assert [(s.word_start, s.word_end) for s in x.s] == loop(cases[x.k]), x.k
         assert [s.text for s in x.s] == [" ".join(w[3] for w in rows[x.k][1][s.word_start:s.word_end]) for s in x.s]
+
+
+def test_tags_and_clock(spark):
+    tags = ["One", "#one", None, "TWO", "two", "é!", "x", "İs", "three", "Three", "four", "five", "six"]
+    line = lambda t: spark.range(1).select(tx.hashtag_line(F.array(*[F.lit(x) for x in t])).alias("x")).first().x
+    assert line(tags) == "#One #TWO #İs #three #four"
+    assert line(["a", None]) == "#Shorts" and line(["SHORTS", "ab", "AB"]) == "#SHORTS #ab"
+    spell = spark.range(1).select(tx.distinct_ignore_case(F.array(*[F.lit(x) for x in tags])).alias("a"), tx.distinct_ignore_case(F.array(*[F.lit(x) for x in tags]), 2).alias("b")).first()
+    assert spell.a == ["One", "#one", "TWO", "é!", "x", "İs", "three", "four", "five", "six"] and spell.b == ["One", "#one"]
+    ms = [0, 999, 59_999, 3_599_999, 3_600_000, 359_999_999, 360_000_000, 3_600_000_000]
+    got = spark.createDataFrame([(m,) for m in ms], "ms long").select("ms", clock_text(F.col("ms")).alias("c")).collect()
+    assert all(r.c == f"{r.ms // 3600000:02d}:{r.ms // 60000 % 60:02d}:{r.ms // 1000 % 60:02d}.{r.ms % 1000:03d}" for r in got)
+
+
+def test_best_track_is_built_once(spark):
+    rows = [("a", 1, "en", "x"), ("a", 2, "de", "y <c>"), ("a", 3, "de", " "), ("b", 4, "fr", "z"), ("b", 5, None, "w"), ("c", 6, "de", "  "), ("c", 7, "de", None), (None, 8, "en", "v")]
+    t = spark.createDataFrame(rows, "source string, doc_id long, lang string, vtt string")
+    best = tr.prefer_track(t.withColumn("vtt", F.concat("vtt", F.lit(""))), "source", "lang", "vtt", ["de", "en", "fr"], "doc_id")
+    assert sorted(map(tuple, best.collect()), key=str) == sorted([("a", 2, "de"), ("b", 4, "fr"), (None, 8, "en")], key=str)
+    assert "trim" not in best._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[-1].split("Project", 1)[-1]
