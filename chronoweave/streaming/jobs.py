@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -237,11 +237,18 @@ def linked_detections(log: DataFrame, key: str, frame_ms: int, gate: float, dela
 
     ``log``: key, seq, ts, t_ms, x, y, cut; a row with ``cut`` starts a new shot. Rows wait in
     the state until their frame (``t_ms`` in steps of ``frame_ms``) is over, then a timer links
-    it and lets them go: what stays is the rows of open frames and the live tracks.
+    it and lets them go: what stays is the rows of open frames and the live tracks. A key has
+    one timer, for the first of its open frames; it links all frames that are over by then.
     """
     w = log.withWatermark("ts", delay).select(key, "seq", "ts", "t_ms", "x", "y", F.coalesce("cut", F.lit(False)).alias("cut"), (F.unix_millis("ts") - F.col("t_ms")).alias("origin"))
     kind = w.schema[key].dataType.simpleString()
-    names = [key, "seq", "shot", "track"]
+    record = Row(key, "seq", "shot", "track")
+
+    def number(x: float | None) -> float:
+        return float("nan") if x is None else x
+
+    def over_at(r: tuple) -> int:
+        return (r[0] // frame_ms + 1) * frame_ms + r[5]
 
     class Link(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -249,22 +256,22 @@ def linked_detections(log: DataFrame, key: str, frame_ms: int, gate: float, dela
             self.waiting = handle.getListState("waiting", "t_ms bigint, seq bigint, x double, y double, cut boolean, origin bigint")
             self.tracks = handle.getValueState("tracks", "state string")
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            due = set()
-            for b in rows:
-                new = [tuple(r) for r in zip(*(b[c].tolist() for c in ("t_ms", "seq", "x", "y", "cut", "origin")))]
-                self.waiting.appendList(new)
-                due |= {(r[0] // frame_ms + 1) * frame_ms + r[5] for r in new}
-            for t in due - set(self.handle.listTimers()):
-                self.handle.registerTimer(t)
-            yield pd.DataFrame([], columns=names)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            new = [(r.t_ms, r.seq, number(r.x), number(r.y), r.cut, r.origin) for r in rows]
+            self.waiting.appendList(new)
+            due, held = min(map(over_at, new)), list(self.handle.listTimers())
+            if not held or due < min(held):
+                self.handle.registerTimer(due)
+                for t in held:
+                    self.handle.deleteTimer(t)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             mark = timerValues.getCurrentWatermarkInMs()
-            over = lambda r: (r[0] // frame_ms + 1) * frame_ms + r[5] <= mark
             rows = sorted(tuple(r) for r in self.waiting.get())
-            ready, rest = [r for r in rows if over(r)], [r for r in rows if not over(r)]
-            state = json.loads(self.tracks.get()[0]) if self.tracks.exists() else {"shot": 0, "live": [], "next": 0, "frame": None}
+            ready, rest = [r for r in rows if over_at(r) <= mark], [r for r in rows if over_at(r) > mark]
+            state = self.tracks.get()
+            state = json.loads(state[0]) if state else {"shot": 0, "live": [], "next": 0, "frame": None}
             linker, shot, out = Linker(gate, state["live"], state["next"], state["frame"]), state["shot"], []
             frames = []  # (shot, frame, rows): a cut within a frame parts it
             for r in ready:
@@ -277,17 +284,19 @@ def linked_detections(log: DataFrame, key: str, frame_ms: int, gate: float, dela
                 if shot != at:
                     linker, at = Linker(gate), shot
                 held.sort(key=lambda r: r[1])
-                out += [(key[0], r[1], shot, t) for r, t in zip(held, linker.link(frame, [(r[2], r[3]) for r in held]))]
+                out += [record(key[0], r[1], shot, t) for r, t in zip(held, linker.link(frame, [(r[2], r[3]) for r in held]))]
             self.tracks.update((json.dumps({"shot": at, "live": linker.live, "next": linker.next, "frame": linker.frame}),))
-            self.waiting.clear()
             if rest:
                 self.waiting.put(rest)
-            yield pd.DataFrame(out, columns=names)
+                self.handle.registerTimer(min(map(over_at, rest)))
+            else:
+                self.waiting.clear()
+            return iter(out)
 
         def close(self) -> None:
             pass
 
-    return w.groupBy(key).transformWithStateInPandas(Link(), f"{key} {kind}, seq bigint, shot bigint, track bigint", "Append", "EventTime")
+    return w.groupBy(key).transformWithState(Link(), f"{key} {kind}, seq bigint, shot bigint, track bigint", "Append", "EventTime")
 
 
 @contextmanager

@@ -105,6 +105,16 @@ def test_links_of_all_detections_batch_and_stream(spark):
     assert len(got) > len(rows) / 2
 
 
+def test_one_timer_a_key_links_all_frames_that_are_over(spark):
+    rows = crowded(5)
+    log = spark.createDataFrame([(1, s, at(t), t, float(x), float(y), c) for s, t, x, y, c in rows], "series_id long, seq long, ts timestamp, t_ms long, x double, y double, cut boolean")
+    parts = [log.filter("t_ms < 20500"), log.filter("t_ms >= 20500")]
+    with sj.keyed_timers(spark):
+        got, progress = sj.in_turns(spark, parts, lambda s: sj.linked_detections(s, "series_id", 1000, 25.0, "0 seconds"))
+    timers = sum(int(o.get("customMetrics", {}).get("numRegisteredTimers", 0)) for p in progress for o in p["stateOperators"])
+    assert got.count() > len(rows) / 2 and 1 <= timers <= 2 * len(progress)
+
+
 def test_empty_log(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/events.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / "e"))
     part = next((tmp_path / "e").glob("part-*.parquet"))
