@@ -144,6 +144,25 @@ def test_phrases_equal_a_loop(spark):
     assert mn.phrase_spots(df, spark.createDataFrame([], "item_id long, q array<string>"), "project_id", "item_id").count() == 0
 
 
+def test_phrase_places_of_a_share(spark):
+    from chronoweave.operators import mining as mn
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, [r.choice("abc") for _ in range(200)]) for i in range(8)] + [(99, None)], "project_id long, norms array<string>")
+    phrases = spark.createDataFrame([(i, [r.choice("abc") for _ in range(3 + i % 6)]) for i in range(30)] + [(50, list("ab" * 150))], "item_id long, q array<string>")
+    every = {tuple(g) for g in mn.phrase_spots(docs, phrases, "project_id", "item_id").collect()}
+    for share in (0.2, 0.5, 0.75, 1.0):
+        got = mn.phrase_spots(docs, phrases, "project_id", "item_id", share).collect()
+        assert {tuple(g) for g in got} == {e for e in every if e[3] / e[4] >= share} and len(set(got)) == len(got)
+
+
+def test_windows_are_as_long_as_the_phrases_that_begin_so(spark):
+    from chronoweave.operators import mining as mn
+    phrases = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "x", "y", "z"]), (3, ["b"] * 300)], "item_id long, q array<string>")
+    one = spark.createDataFrame([(["c", "a", "b", "c", "b"],)], "ws array<string>")
+    at = lambda head: [tuple(v) for v in one.select(mn._in_row_lengths(phrases, "q", head, 300)(F.col("ws")).alias("v")).first().v]
+    assert at(1) == [(1, 4), (2, 300), (4, 300)] and at(2) == [(1, 3)]
+
+
 def test_correlation_of_windows_that_do_not_vary(spark):
     rows = [("a", i, 2.0, float(i)) for i in range(12)] + [("b", i, float(i % 5), -float(i % 5)) for i in range(12)] + [("c", i, float(i % 5), 3.0 * (i % 5)) for i in range(12)] + [("d", 0, 1.0, 2.0)]
     out = sr.windowed_pearson(spark.createDataFrame(rows, "k string, i long, x double, y double"), "k", "x", "y", 7, size=4).collect()

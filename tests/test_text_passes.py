@@ -84,3 +84,21 @@ def test_best_track_is_built_once(spark):
     best = tr.prefer_track(t.withColumn("vtt", F.concat("vtt", F.lit(""))), "source", "lang", "vtt", ["de", "en", "fr"], "doc_id")
     assert sorted(map(tuple, best.collect()), key=str) == sorted([("a", 2, "de"), ("b", 4, "fr"), (None, 8, "en")], key=str)
     assert "trim" not in best._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[-1].split("Project", 1)[-1]
+
+
+def test_words_of_a_text_equal_those_of_its_cues(spark):
+    from chronoweave.plans import views
+    texts = ["\n".join(_lines(12)[k:]) for k in range(12)] + ["", " ", "\n \n", "a\n\t\nb", "  a  —  b \r\n c", None]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for r in df.select(views.text_norms(F.col("x")).alias("a"), views.norms_array(views.timed_lines(F.col("x"))).alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_fillers_go_and_lines_without_are_left(spark):
+    lines = _lines(200) + ["um", "(um) over", "Uh-huh, yes", "her um", "é um-", "umm… ER! hmm mhm x", "o'er 'um' um'", "thumb um2 2um"]
+    keep = lambda w: not re.fullmatch(r"um+|uh+|er+|ah+|hmm+|mm+|uh-huh|mhm", re.sub(r"^[^\w']+|[^\w']+$", "", w.replace("_", "-")).lower())
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    for r in df.select(tx.tokens("x").alias("t"), tx.strip_fillers(F.col("x")).alias("s")).collect():
+        assert r.s == " ".join(w for w in r.t if keep(w))
+    plan = df.select(tx.strip_fillers(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert tx.HOLDS_FILLER in plan
