@@ -123,17 +123,18 @@ def asof(
     first with ``rt > t + tolerance``. Both come from one scan over the union,
     bucketed on time, so a hot key is split.
     """
-    l = left.select(*keys, F.struct(*[F.col(c) for c in left.columns]).alias("__row"),
-                    (F.col(t) + tolerance).alias("__t"), F.lit(1).alias("__side"),
-                    (F.col(left_id) if left_id else F.lit(0)).cast("string").alias("__id"))
-    payload = F.struct(F.col(rt).alias("t"), *[F.col(v) for v in values])
-    r = right.select(*keys, payload.alias("__pay"), F.col(rt).alias("__t"), F.lit(0).alias("__side"),
-                     F.to_json(payload).alias("__id"))
+    l = left.select(*keys, F.struct(*[F.col(c) for c in left.columns]).alias("__row"))
+    r = right.select(*keys, F.struct(F.col(rt).alias("t"), *[F.col(v) for v in values]).alias("__pay"))
     u = l.unionByName(r, allowMissingColumns=True)
+    # Only keys and rows are exchanged; the order follows from them. Ties of the right side go by the text of their values.
+    probe = F.col("__row").isNotNull()
+    at = F.when(probe, F.col(f"__row.{t}") + tolerance).otherwise(F.col("__pay.t"))
+    tie = F.to_json(F.struct(*[F.col(f"__pay.{v}") for v in values])) if values else F.lit("")
+    late = {"__t": at, "__side": probe.cast("int"), "__id": F.when(probe, F.col(f"__row.{left_id}").cast("string") if left_id else F.lit("0")).otherwise(tie)}
     outs = {}
     if before:
         outs[before] = latest(F.col("__pay"))
     if after:
         outs[after] = following(F.col("__pay"))
-    res = scan(u, keys, ["__t", "__side", "__id"], F.floor(F.col("__t") / bucket_width), **outs)
-    return res.filter("__side = 1").select("__row.*", *outs)
+    res = scan(u, keys, ["__t", "__side", "__id"], F.floor(at / bucket_width), late, **outs)
+    return res.filter("__row IS NOT NULL").select("__row.*", *outs)

@@ -107,9 +107,11 @@ def _combine(spec: Running, local: Column, carry: Column) -> Column:
     return F.coalesce(local, carry)
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, **outs: Running) -> DataFrame:
+def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, late: dict[str, Column] | None = None, **outs: Running) -> DataFrame:
     """Add running columns ordered by ``order`` within ``keys``.
 
+    ``late`` are columns of ``order`` that follow from the others: they are made after the rows are exchanged.
+
     ``order`` must be a total order; ``bucket`` must be monotone in it. Rows with
     null keys form a key of their own; rows with a null bucket come first.
 
@@ -134,7 +136,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], bucket: Column, **out
     fwd = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order])
     bwd = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
     rank = F.struct(*[F.col(c) for c in order])
-    totals = df.groupBy(*part).agg(*[_total(s, rank).alias(f"__t_{n}") for n, s in outs.items()])
+    whole = df.withColumns(late) if late else df
+    df = df.repartition(*part).withColumns(late) if late else df
+    totals = whole.groupBy(*part).agg(*[_total(s, rank).alias(f"__t_{n}") for n, s in outs.items()])
     cf = Window.partitionBy(*plain).orderBy(BUCKET)
     cb = Window.partitionBy(*plain).orderBy(F.col(BUCKET).desc())
     carries = totals.select(*part, *[_carry(s, f"__t_{n}", cf, cb).alias(f"__c_{n}") for n, s in outs.items()])
