@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -242,10 +242,7 @@ def linked_detections(log: DataFrame, key: str, frame_ms: int, gate: float, dela
     """
     w = log.withWatermark("ts", delay).select(key, "seq", "ts", "t_ms", "x", "y", F.coalesce("cut", F.lit(False)).alias("cut"), (F.unix_millis("ts") - F.col("t_ms")).alias("origin"))
     kind = w.schema[key].dataType.simpleString()
-    record = Row(key, "seq", "shot", "track")
-
-    def number(x: float | None) -> float:
-        return float("nan") if x is None else x
+    names = [key, "seq", "shot", "track"]
 
     def over_at(r: tuple) -> int:
         return (r[0] // frame_ms + 1) * frame_ms + r[5]
@@ -256,8 +253,8 @@ def linked_detections(log: DataFrame, key: str, frame_ms: int, gate: float, dela
             self.waiting = handle.getListState("waiting", "t_ms bigint, seq bigint, x double, y double, cut boolean, origin bigint")
             self.tracks = handle.getValueState("tracks", "state string")
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-            new = [(r.t_ms, r.seq, number(r.x), number(r.y), r.cut, r.origin) for r in rows]
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            new = [tuple(r) for b in rows for r in zip(*(b[c].tolist() for c in ("t_ms", "seq", "x", "y", "cut", "origin")))]
             self.waiting.appendList(new)
             due, held = min(map(over_at, new)), list(self.handle.listTimers())
             if not held or due < min(held):
@@ -266,7 +263,7 @@ def linked_detections(log: DataFrame, key: str, frame_ms: int, gate: float, dela
                     self.handle.deleteTimer(t)
             return iter(())
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             mark = timerValues.getCurrentWatermarkInMs()
             rows = sorted(tuple(r) for r in self.waiting.get())
             ready, rest = [r for r in rows if over_at(r) <= mark], [r for r in rows if over_at(r) > mark]
@@ -284,19 +281,19 @@ def linked_detections(log: DataFrame, key: str, frame_ms: int, gate: float, dela
                 if shot != at:
                     linker, at = Linker(gate), shot
                 held.sort(key=lambda r: r[1])
-                out += [record(key[0], r[1], shot, t) for r, t in zip(held, linker.link(frame, [(r[2], r[3]) for r in held]))]
+                out += [(key[0], r[1], shot, t) for r, t in zip(held, linker.link(frame, [(r[2], r[3]) for r in held]))]
             self.tracks.update((json.dumps({"shot": at, "live": linker.live, "next": linker.next, "frame": linker.frame}),))
             if rest:
                 self.waiting.put(rest)
                 self.handle.registerTimer(min(map(over_at, rest)))
             else:
                 self.waiting.clear()
-            return iter(out)
+            yield pd.DataFrame(out, columns=names)
 
         def close(self) -> None:
             pass
 
-    return w.groupBy(key).transformWithState(Link(), f"{key} {kind}, seq bigint, shot bigint, track bigint", "Append", "EventTime")
+    return w.groupBy(key).transformWithStateInPandas(Link(), f"{key} {kind}, seq bigint, shot bigint, track bigint", "Append", "EventTime")
 
 
 @contextmanager
